@@ -44,11 +44,13 @@ def relative_path(path: Column, root: str) -> Column:
 
 
 def relative_bytes(path_bytes: Column, root: bytes) -> Column:
-    """Byte form of :func:`relative_path` for paths known to lie below ``root``."""
+    """Byte form of :func:`relative_path`."""
     prefix = root.rstrip(b"/") + b"/"
-    cut = root.rfind(b"/") + 2
-    start = F.when(path_bytes == F.lit(root), F.lit(cut)).otherwise(F.lit(len(prefix) + 1))
-    return F.substring(path_bytes, start, F.lit(1 << 30))
+    base_at = root.rfind(b"/") + 2
+    return (
+        F.when(F.startswith(path_bytes, F.lit(prefix)), F.substring(path_bytes, len(prefix) + 1, 1 << 30))
+        .when(path_bytes == F.lit(root), F.substring(path_bytes, base_at, 1 << 30))
+    )
 
 
 def parent_dir(path: Column) -> Column:

@@ -59,20 +59,16 @@ def render(template: str, mtime_ns: Column, tz: str) -> Column:
     return F.concat(*columns) if columns else F.lit("")
 
 
-def destination(template: str, mtime_ns: Column, rel: Column, tz: str) -> Column:
-    """Rendered prefix joined to a relative path.
-
-    ``rel`` may be STRING or BINARY; the result has the same type, so a path
-    that is not valid UTF-8 reaches the copy unchanged.
-    """
+def _prefix(template: str, mtime_ns: Column, tz: str) -> Column:
     prefix = render(template, mtime_ns, tz)
-    if template and not template.endswith("/"):
-        prefix = F.concat(prefix, F.lit("/"))
-    return F.concat(prefix, rel)
+    return F.concat(prefix, F.lit("/")) if template and not template.endswith("/") else prefix
+
+
+def destination(template: str, mtime_ns: Column, rel_path: Column, tz: str) -> Column:
+    """Rendered prefix joined to a relative path; NULL if either is missing."""
+    return F.concat(_prefix(template, mtime_ns, tz), rel_path)
 
 
 def destination_bytes(template: str, mtime_ns: Column, rel_bytes: Column, tz: str) -> Column:
-    prefix = render(template, mtime_ns, tz)
-    if template and not template.endswith("/"):
-        prefix = F.concat(prefix, F.lit("/"))
-    return F.concat(prefix.cast("binary"), rel_bytes)
+    """The same over bytes: a path that is not valid UTF-8 stays as it is."""
+    return F.concat(_prefix(template, mtime_ns, tz).cast("binary"), rel_bytes)

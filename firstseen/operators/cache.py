@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firstseen.schemas import CACHE
@@ -55,8 +55,14 @@ def keep_present(marked: DataFrame) -> DataFrame:
     return marked.filter(F.coalesce(F.col("present"), F.lit(True))).select(*_COLUMNS)
 
 
+def cleanup_metrics() -> list[Column]:
+    """Entries checked and removed, as aggregates over marked rows."""
+    gone = ~F.coalesce(F.col("present"), F.lit(True))
+    return [
+        F.count(F.lit(1)).cast("bigint").alias("checked"),
+        F.count_if(gone).cast("bigint").alias("removed"),
+    ]
+
+
 def cleanup_counts(marked: DataFrame) -> DataFrame:
-    return marked.agg(
-        F.count("*").cast("bigint").alias("checked"),
-        F.count_if(~F.coalesce(F.col("present"), F.lit(True))).cast("bigint").alias("removed"),
-    )
+    return marked.agg(*cleanup_metrics())

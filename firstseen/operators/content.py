@@ -95,20 +95,21 @@ def decide(rows: DataFrame, ledger: DataFrame | None = None, salts: int = SALTS)
 
     Rows without a digest fail.
     """
-    keyed = _salted(rows, salts).withColumn("_key", paths.order_key(F.col("path_bytes")))
+    salted = _salted(rows, salts)
+    key = paths.order_key(F.col("path_bytes"))
     ok = F.coalesce(F.col("eligible"), F.lit(False))
 
     # A share has at most one row per (digest, salt), so the window partition
     # below never exceeds ``salts`` rows however hot the content is.
-    hashed = keyed.filter(F.col("content_hash").isNotNull())
-    shares = hashed.groupBy("content_hash", "_salt").agg(F.min(F.when(ok, F.col("_key"))).alias("_first"))
+    hashed = salted.filter(F.col("content_hash").isNotNull())
+    shares = hashed.groupBy("content_hash", "_salt").agg(F.min(F.when(ok, key)).alias("_first"))
     facts = shares.withColumn("_first", F.min("_first").over(Window.partitionBy("content_hash")))
     known = F.col("known") if ledger is None else F.coalesce(F.col("_hit"), F.lit(False))
     if ledger is not None:
         hits = distinct_contents(ledger).withColumn("_hit", F.lit(True))
         facts = facts.join(hits, "content_hash", "left")
 
-    first, key = F.col("_first"), F.col("_key")
+    first = F.col("_first")
     outcome = (
         F.when(F.col("content_hash").isNull(), F.lit(FAILED))
         .when(known, F.lit(SKIPPED))
@@ -117,16 +118,18 @@ def decide(rows: DataFrame, ledger: DataFrame | None = None, salts: int = SALTS)
         .otherwise(F.lit(SKIPPED))
     )
     return (
-        keyed.join(facts, ["content_hash", "_salt"], "left")
+        salted.join(facts, ["content_hash", "_salt"], "left")
         .withColumn("outcome", outcome)
-        .drop("_salt", "_key", "_first", "_hit")
+        .drop("_salt", "_first", "_hit")
     )
 
 
 def dedup_exact(rows: DataFrame, *carry: str) -> DataFrame:
     """One row per content: the first path, with the ``carry`` columns of it."""
-    first = F.min(F.struct(paths.order_key(F.col("path_bytes")).alias("_key"), "path", *carry)).alias("_first")
-    return rows.groupBy("content_hash").agg(first).select("content_hash", "_first.path", *[f"_first.{c}" for c in carry])
+    first = F.min(F.struct(paths.order_key(F.col("path_bytes")).alias("_key"), *carry)).alias("_first")
+    best = rows.groupBy("content_hash").agg(first)
+    path = paths.display(paths.path_of_key(F.col("_first._key")))
+    return best.select("content_hash", path.alias("path"), *[f"_first.{c}" for c in carry])
 
 
 def duplicate_groups(rows: DataFrame) -> DataFrame:
@@ -137,7 +140,7 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("n_files"),
             F.sum("size").alias("n_bytes"),
-            paths.path_of_key(F.min(paths.order_key(F.col("path_bytes")))).alias("first_path"),
+            paths.display(paths.path_of_key(F.min(paths.order_key(F.col("path_bytes"))))).alias("first_path"),
         )
         .filter(F.col("n_files") > 1)
     )

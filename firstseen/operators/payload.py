@@ -30,12 +30,12 @@ def keep_keys(source: DataFrame, decided: DataFrame, wanted, limit: int = BROADC
 def accepted_rows(source: DataFrame, decided: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Source rows that were accepted, payload included.
 
-    In the general case the join shuffles by the unique path digest, which
-    cannot skew; rows that were not accepted are dropped by the runtime filter
-    Spark builds from the narrow side.
+    In the general case the rows are shuffled by the unique path digest, which
+    cannot skew, and meet a hash table of digests; the payload is never sorted.
     """
     wanted = F.col("outcome") == "copied"
     kept = keep_keys(source, decided, wanted, limit)
     if kept is None:
-        kept = source.join(decided.filter(wanted).select("path_hash"), "path_hash", "left_semi")
+        keys = decided.filter(wanted).select("path_hash").hint("shuffle_hash")
+        kept = source.join(keys, "path_hash", "left_semi")
     return kept

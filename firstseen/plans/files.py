@@ -6,15 +6,15 @@ import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from firstseen.functions import digest, paths, template
 from firstseen.operators import cache as cache_ops
 from firstseen.operators import classify as classify_ops
 from firstseen.operators import content, filters, ledger, stats
-from firstseen.plans.tables import load_outcome
-from firstseen.schemas import COPIED, FAILED
+from firstseen.plans.tables import COMPACT_RUNS, check_mode, load_outcome
+from firstseen.schemas import COPIED, CORE, FAILED
 from firstseen.sources.content import CHUNK_BYTES, THREADS, copy_files, hash_files, probe, spread_by_bytes
 from firstseen.sources.tree import Listing, scan_tree
 from firstseen.state.store import State, now_ms
@@ -60,37 +60,32 @@ def with_hashes(classified: DataFrame, digests: DataFrame) -> DataFrame:
     )
 
 
-def place(rows: DataFrame, root: bytes, dest_template: str, tz: str) -> DataFrame:
-    """Append the destination as bytes and for display."""
-    rel = paths.relative_bytes(F.col("path_bytes"), root)
-    dest = template.destination_bytes(dest_template, F.col("mtime_ns"), rel, tz)
-    return rows.withColumn("dest_bytes", dest).withColumn("dest_path", paths.display(F.col("dest_bytes")))
-
-
-def check_destinations(rows: DataFrame, override: bool, trust_copy: bool, threads: int) -> DataFrame:
+def check_destinations(
+    marked: DataFrame, files: int, dest: Column, override: bool, trust_copy: bool, threads: int
+) -> DataFrame:
     """Append ``eligible``, and ``error`` where a destination is taken.
 
-    Only content that is not known is looked up on the file system. When a
-    crashed run is redone the check is left to the copy, which accepts a target
-    that already holds this row's bytes.
+    Only the destinations of content that is not known are looked up on the file
+    system. When a crashed run is redone the check is left to the copy, which
+    accepts a target that already holds this row's bytes.
     """
-    renders = F.col("dest_bytes").isNotNull() & F.col("error").isNull()
+    unplaced = F.when(dest.isNull(), F.lit("destination cannot be rendered"))
+    rows = marked.withColumn("error", F.coalesce("error", unplaced))
     if override or trust_copy:
-        return rows.withColumn("eligible", renders)
-    wanted = F.when(renders & ~F.col("known"), F.col("dest_bytes"))
-    files = rows.filter(~F.col("known")).count()
+        return rows.withColumn("eligible", F.col("error").isNull())
+    wanted = F.when(F.col("error").isNull() & ~F.col("known"), dest)
     spread = spread_by_bytes(rows.withColumn("_probe", wanted), "path_hash", files, 0)
-    probed = probe(spread, "_probe", threads)
     taken = F.when(F.col("present"), F.lit("destination already exists")).otherwise(F.col("probe_error"))
     return (
-        probed.withColumn("eligible", renders & F.coalesce(~F.col("present"), F.lit(False)))
-        .withColumn("error", F.when(F.col("known"), F.col("error")).otherwise(F.coalesce(F.col("error"), taken)))
+        probe(spread, "_probe", threads)
+        .withColumn("error", F.coalesce("error", taken))
+        .withColumn("eligible", F.col("error").isNull())
         .drop("_probe", "present", "probe_error")
     )
 
 
 def copy_winners(
-    checked: DataFrame, folder: str, override: bool, how: str, chunk_bytes: int, threads: int
+    checked: DataFrame, dest: Column, folder: str, override: bool, how: str, chunk_bytes: int, threads: int
 ) -> DataFrame:
     """Decide, copy, and decide again for contents whose winner failed to copy.
 
@@ -108,18 +103,18 @@ def copy_winners(
         if files == 0:
             settled.append(decided)
             break
-        work = winners.select("path_hash", "path_bytes", "dest_bytes", "content_hash")
+        work = winners.select("path_hash", "path_bytes", dest.alias("dest_bytes"), "content_hash")
         spread = spread_by_bytes(work, "path_hash", files, total)
         copied = stage(copy_files(spread, override, how, chunk_bytes, threads), f"copied-{turn}", folder)
         broken = copied.filter(F.col("copy_error").isNotNull())
         if broken.isEmpty():
             settled.append(decided)
             break
-        reasons = broken.select("path_hash", "copy_error")
         # Contents with a failed winner are opened again, without that file.
-        again = content.known_content(decided, broken)
+        reasons = broken.select("path_hash", "copy_error")
         retry = (
-            again.join(reasons, "path_hash", "left")
+            content.known_content(decided, broken)
+            .join(reasons, "path_hash", "left")
             .withColumn("eligible", F.col("eligible") & F.col("copy_error").isNull())
             .withColumn("error", F.coalesce("error", "copy_error"))
             .drop("outcome", "copy_error")
@@ -134,23 +129,27 @@ def copy_winners(
     return result
 
 
-def _results(decided: DataFrame) -> DataFrame:
-    reason = (
-        F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("dest_path").isNull(), F.lit("destination cannot be rendered"))
-        .otherwise(F.lit("copy failed"))
-    )
+def _results(decided: DataFrame, root: bytes, dest: Column) -> DataFrame:
     return decided.select(
-        "path", "path_bytes", "path_hash", "rel_path", "size", "mtime_ns", "ctime_ns", "content_hash",
-        "cache_result", "outcome", "dest_path",
-        F.when(F.col("outcome") == FAILED, reason).alias("error"),
+        paths.display(F.col("path_bytes")).alias("path"), "path_bytes", "path_hash",
+        paths.display(paths.relative_bytes(F.col("path_bytes"), root)).alias("rel_path"),
+        "size", "mtime_ns", "ctime_ns", "content_hash", "cache_result", "outcome",
+        paths.display(dest).alias("dest_path"),
+        F.when(F.col("outcome") == FAILED, F.col("error")).alias("error"),
     )
 
 
-def clean_cache(cache: DataFrame, threads: int) -> DataFrame:
-    """Append ``present`` by asking the file system about every cached path."""
-    rows = cache.count()
-    return probe(spread_by_bytes(cache, "path_hash", rows, 0), "path_bytes", threads)
+def mark_present(cache: DataFrame, listed: DataFrame, rows: int, threads: int) -> DataFrame:
+    """Append ``present`` to every cache entry, of this source or another.
+
+    A path the scan has just listed exists; the file system is asked about the
+    others only. A check that fails leaves NULL, which keeps the entry.
+    """
+    marked = cache.join(listed.select("path_hash", F.lit(True).alias("_listed")), "path_hash", "left")
+    unknown = F.when(F.col("_listed").isNull(), F.col("path_bytes"))
+    spread = spread_by_bytes(marked.withColumn("_probe", unknown), "path_hash", rows, 0)
+    probed = probe(spread, "_probe", threads)
+    return probed.withColumn("present", F.coalesce("_listed", "present")).drop("_listed", "_probe", "probe_error")
 
 
 def ingest_files(
@@ -177,10 +176,7 @@ def ingest_files(
     destination is then ignored. Files are placed first, then the cache is
     written, the ledger last.
     """
-    if mode not in ("copy", "load"):
-        raise ValueError(f"unknown mode {mode!r}")
-    if mode == "copy" and dest_template is None:
-        raise ValueError("dest_template is required unless mode='load'")
+    check_mode(mode, dest_template)
     tz = local_tz or spark.conf.get("spark.sql.session.timeZone")
     root = os.fsencode(os.path.realpath(source))
     listing = scan_tree(spark, source, globs, ignore_hidden)
@@ -189,41 +185,44 @@ def ingest_files(
     run_id = state.open_run(resume)
     folder = fresh_folder(spark, "file-run")
     manifest = listing.files.withColumn("path_hash", digest.path_digest(F.col("path_bytes")))
-    manifest = stage(filters.with_errors(manifest), "manifest", folder)
-    classify = classify_ops.classify_without_cache(manifest)
+    manifest = filters.with_errors(manifest).select(*CORE)
     if use_cache:
-        classify = classify_ops.classify(manifest, state.cache())
-    classified = stage(classify, "classified", folder)
+        classified = stage(classify_ops.classify(manifest, state.cache()), "classified", folder)
+    else:
+        classified = stage(classify_ops.classify_without_cache(manifest), "classified", folder)
+    files = classified.count()
     digests = stage(hash_misses(classified, chunk_bytes, threads), "digests", folder)
     hashed = stage(with_hashes(classified, digests), "hashed", folder)
 
     known = state.ledger()
     if mode == "load":
+        dest = F.lit(None).cast("binary")
         decided = load_outcome(hashed)
         additions = ledger.new_entries(hashed, known, now_ms())
     else:
-        prefix = dest_template if dest_template.startswith("/") else os.path.join(os.getcwd(), dest_template)
-        marked = stage(place(content.mark_known(hashed, known), root, prefix, tz), "marked", folder)
-        checked = stage(check_destinations(marked, override, resume, threads), "checked", folder)
-        decided = copy_winners(checked, folder, override, copy_mode, chunk_bytes, threads)
-        additions = None
-    results = stage(_results(decided), "results", folder)
-    if additions is None:
-        additions = ledger.entries(results.filter(F.col("outcome") == COPIED), now_ms())
-
-    checked_entries = removed = 0
+        prefix = os.path.join(os.getcwd(), dest_template)
+        rel = paths.relative_bytes(F.col("path_bytes"), root)
+        dest = template.destination_bytes(prefix, F.col("mtime_ns"), rel, tz)
+        marked = content.mark_known(hashed, known)
+        checked = stage(check_destinations(marked, files, dest, override, resume, threads), "checked", folder)
+        decided = copy_winners(checked, dest, folder, override, copy_mode, chunk_bytes, threads)
+        additions = ledger.entries(decided.filter(F.col("outcome") == COPIED), now_ms())
+
+    removal = {"checked": 0, "removed": 0}
     if use_cache or cleanup:
-        cache = state.cache()
+        cache, rows = state.cache(), state.cache().count()
         if use_cache:
-            cache = cache_ops.upsert(cache, cache_ops.cache_entries(hashed))
+            cache, rows = cache_ops.upsert(cache, cache_ops.cache_entries(hashed)), rows + files
         if cleanup:
-            probed = stage(clean_cache(cache, threads), "cache", folder)
-            counts = cache_ops.cleanup_counts(probed).first()
-            checked_entries, removed = counts["checked"], counts["removed"]
-            cache = cache_ops.keep_present(probed)
-        state.write_cache(cache)
+            watch = Observation("cleanup")
+            marked = mark_present(cache, classified, rows, threads).observe(watch, *cache_ops.cleanup_metrics())
+            state.write_cache(cache_ops.keep_present(marked))
+            removal = watch.get
+        else:
+            state.write_cache(cache)
     state.append_ledger(additions, run_id=run_id)
     state.close_run(run_id)
     if cleanup:
-        state.compact_ledger()
-    return FileRun(results, stats.ingest_stats(results), listing, checked_entries, removed)
+        state.compact_ledger(min_runs=COMPACT_RUNS)
+    results = _results(decided, root, dest)
+    return FileRun(results, stats.ingest_stats(decided), listing, removal["checked"], removal["removed"])

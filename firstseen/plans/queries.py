@@ -162,8 +162,9 @@ def no_cache_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = tables.hash_rows(binding.documents(spark, sf_dir), binding.earlier_cache(spark, sf_dir), (), False)
-    return _hex(hashed, "content_hash").select("path", "cache_result", "content_hash")
+    hashed = tables.hash_rows(binding.documents(spark, sf_dir), binding.earlier_cache(spark, sf_dir))
+    path = paths.display(F.col("path_bytes")).alias("path")
+    return _hex(hashed, "content_hash").select(path, "cache_result", "content_hash")
 
 
 def unseen_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,24 +205,26 @@ def dest_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, sf_dir: str, override: bool) -> DataFrame:
-    hashed = tables.hash_rows(binding.documents(spark, sf_dir), binding.earlier_cache(spark, sf_dir), (), False)
-    placed = tables.place(
-        stage(hashed, "hashed"), binding.TEMPLATE, "UTC", binding.occupied(spark, sf_dir), override
-    )
-    placed = stage(placed, "placed")
-    return tables.explain_failures(content.decide(placed, binding.earlier_ledger(spark, sf_dir)))
+    hashed = tables.hash_rows(binding.documents(spark, sf_dir), binding.earlier_cache(spark, sf_dir))
+    occupied = binding.occupied(spark, sf_dir)
+    placed = stage(tables.place(hashed, binding.ROOT, binding.TEMPLATE, "UTC", occupied, override), "placed")
+    return content.decide(placed, binding.earlier_ledger(spark, sf_dir))
+
+
+def _described(spark: SparkSession, sf_dir: str, override: bool = False) -> DataFrame:
+    return tables.describe(_decided(spark, sf_dir, override), binding.ROOT, binding.TEMPLATE, "UTC")
 
 
 def ingest_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir, override=False).select("path", "dest_path", "outcome")
+    return _described(spark, sf_dir).select("path", "dest_path", "outcome")
 
 
 def ingest_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir, override=True).select("path", "dest_path", "outcome")
+    return _described(spark, sf_dir, override=True).select("path", "dest_path", "outcome")
 
 
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.failures(_decided(spark, sf_dir, override=False))
+    return stats.failures(_described(spark, sf_dir))
 
 
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +283,7 @@ def _cache_report(cache: DataFrame) -> DataFrame:
 def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = State(spark, fresh_folder(spark, "state"))
     state.write_cache(binding.earlier_cache(spark, sf_dir))
-    hashed = stage(tables.hash_rows(binding.documents(spark, sf_dir), state.cache(), (), False), "hashed")
+    hashed = stage(tables.hash_rows(binding.documents(spark, sf_dir), state.cache()), "hashed")
     state.write_cache(cache_ops.upsert(state.cache(), cache_ops.cache_entries(hashed)))
     return _cache_report(state.cache())
 

@@ -16,11 +16,14 @@ from firstseen.functions import digest, paths, template
 from firstseen.operators import cache as cache_ops
 from firstseen.operators import classify as classify_ops
 from firstseen.operators import content, filters, ledger, payload, stats
-from firstseen.schemas import FAILED, SKIPPED
+from firstseen.schemas import COPIED, CORE, FAILED, SKIPPED, UNCHANGED
 from firstseen.sources import tables
 from firstseen.state.store import State, now_ms
 from firstseen.workspace import fresh_folder, stage
 
+# Ledger runs that may pile up before a run folds them.
+COMPACT_RUNS = 8
+
 
 @dataclass(frozen=True)
 class TableSource:
@@ -61,7 +64,7 @@ def digests_of_misses(source: TableSource, classified: DataFrame) -> DataFrame:
     payload that is scanned is also digested: that costs less than shuffling
     payloads to find out which ones to leave out.
     """
-    needed = F.col("cache_result") != "unchanged"
+    needed = F.col("cache_result") != UNCHANGED
     rows = source.keyed()
     kept = payload.keep_keys(rows, classified, needed)
     rows = rows if kept is None else kept
@@ -71,54 +74,76 @@ def digests_of_misses(source: TableSource, classified: DataFrame) -> DataFrame:
 def hash_rows(
     source: TableSource,
     cache: DataFrame | None,
-    globs: Sequence[str],
-    ignore_hidden: bool,
+    globs: Sequence[str] = (),
+    ignore_hidden: bool = False,
     folder: str | None = None,
 ) -> DataFrame:
-    """Manifest rows with ``cache_result``, ``error`` and ``content_hash``."""
-    chosen = filters.with_errors(filters.select_files(source.manifest(), globs, ignore_hidden))
+    """CORE rows of the selected files with ``cache_result`` and ``content_hash``."""
+    chosen = filters.with_errors(filters.select_files(source.manifest(), globs, ignore_hidden)).select(*CORE)
     if cache is None:
-        classified = stage(classify_ops.classify_without_cache(chosen), "classified", folder)
+        digested = tables.manifest(
+            source.table, source.path, source.payload, source.mtime_ns, source.root,
+            source.ctime_ns, source.size, with_digest=True,
+        )
+        chosen = filters.with_errors(filters.select_files(digested, globs, ignore_hidden))
+        hashed = classify_ops.classify_without_cache(chosen.select(*CORE, "content_hash")).drop("cached_hash")
     else:
         classified = stage(classify_ops.classify(chosen, cache), "classified", folder)
-    hashed = classify_ops.with_digests(classified, digests_of_misses(source, classified))
+        hashed = classify_ops.with_digests(classified, digests_of_misses(source, classified))
     missing = F.col("content_hash").isNull() & F.col("error").isNull()
     return hashed.withColumn("error", F.when(missing, F.lit("no payload")).otherwise(F.col("error"))).withColumn(
         "content_hash", F.when(F.col("error").isNull(), F.col("content_hash"))
     )
 
 
+def _path() -> Column:
+    return paths.display(F.col("path_bytes"))
+
+
+def _dest(root: str, dest_template: str, tz: str) -> Column:
+    return template.destination(dest_template, F.col("mtime_ns"), paths.relative_path(_path(), root), tz)
+
+
 def place(
-    hashed: DataFrame, dest_template: str, tz: str, existing: DataFrame | None, override: bool
+    hashed: DataFrame,
+    root: str,
+    dest_template: str,
+    tz: str,
+    existing: DataFrame | None = None,
+    override: bool = False,
 ) -> DataFrame:
-    """Append ``dest_path``, ``dest_exists``, ``eligible`` and the error of rows
-    that cannot be placed."""
-    rows = hashed.withColumn("dest_path", template.destination(dest_template, F.col("mtime_ns"), F.col("rel_path"), tz))
+    """Append ``eligible``, and ``error`` for rows that cannot be placed."""
+    rows = hashed.withColumn("dest_path", _dest(root, dest_template, tz))
     if existing is None or override:
         rows = rows.withColumn("dest_exists", F.lit(False))
     else:
         rows = content.destination_conflicts(rows, existing)
-    rendered = F.col("dest_path").isNotNull()
-    return rows.withColumn("eligible", rendered & ~F.col("dest_exists") & F.col("error").isNull())
-
-
-def explain_failures(decided: DataFrame) -> DataFrame:
-    """Give failed rows a reason and clear it everywhere else."""
     reason = (
-        F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("rel_path").isNull(), F.lit("path is outside the source root"))
+        F.when(paths.relative_path(_path(), root).isNull(), F.lit("path is outside the source root"))
         .when(F.col("dest_path").isNull(), F.lit("destination cannot be rendered"))
-        .otherwise(F.lit("destination already exists"))
+        .when(F.col("dest_exists"), F.lit("destination already exists"))
+    )
+    return (
+        rows.withColumn("error", F.coalesce(F.col("error"), reason))
+        .withColumn("eligible", F.col("error").isNull())
+        .drop("dest_path", "dest_exists")
+    )
+
+
+def describe(decided: DataFrame, root: str, dest_template: str | None, tz: str) -> DataFrame:
+    """Result rows: derived paths are added, reasons stay on failed rows only."""
+    dest = F.lit(None).cast("string") if dest_template is None else _dest(root, dest_template, tz)
+    return decided.select(
+        _path().alias("path"), paths.relative_path(_path(), root).alias("rel_path"), "path_hash", "size",
+        "mtime_ns", "ctime_ns", "content_hash", "cache_result", "outcome", dest.alias("dest_path"),
+        F.when(F.col("outcome") == FAILED, F.col("error")).alias("error"),
     )
-    return decided.withColumn("error", F.when(F.col("outcome") == FAILED, reason)).drop("eligible", "dest_exists")
 
 
 def load_outcome(hashed: DataFrame) -> DataFrame:
     """Load mode: every readable row counts as skipped, nothing is placed."""
     ok = F.col("content_hash").isNotNull()
-    return hashed.withColumn("dest_path", F.lit(None).cast("string")).withColumn(
-        "outcome", F.when(ok, F.lit(SKIPPED)).otherwise(F.lit(FAILED))
-    )
+    return hashed.withColumn("outcome", F.when(ok, F.lit(SKIPPED)).otherwise(F.lit(FAILED)))
 
 
 def ingest_table(
@@ -142,40 +167,61 @@ def ingest_table(
     Paths must be unique within the table. After a crash ``resume=True`` redoes
     the unfinished run; its output folder is overwritten.
     """
-    if mode not in ("copy", "load"):
-        raise ValueError(f"unknown mode {mode!r}")
-    if mode == "copy" and dest_template is None:
-        raise ValueError("dest_template is required unless mode='load'")
+    check_mode(mode, dest_template)
     spark = source.table.sparkSession
     tz = local_tz or spark.conf.get("spark.sql.session.timeZone")
     state = State(spark, state_dir)
     run_id = state.open_run(resume)
     folder = fresh_folder(spark, "table-run")
 
-    cache = state.cache() if use_cache else None
-    hashed = stage(hash_rows(source, cache, globs, ignore_hidden, folder), "hashed", folder)
-    _require_unique_paths(hashed)
-    known = state.ledger()
-    if mode == "load":
-        results = stage(load_outcome(hashed), "results", folder)
-        additions = ledger.new_entries(hashed, known, now_ms())
-    else:
-        placed = place(hashed, dest_template, tz, existing, override)
-        results = stage(explain_failures(content.decide(placed, known)), "results", folder)
-        additions = ledger.entries(results.filter(F.col("outcome") == "copied"), now_ms())
+    rows = hash_rows(source, state.cache() if use_cache else None, globs, ignore_hidden, folder)
+    decided, additions = decide_rows(rows, state.ledger(), source.root, mode, dest_template, tz, existing, override, folder)
+    require_unique_paths(decided)
 
-    accepted = payload.accepted_rows(source.keyed(), results)
-    if sink is not None:
+    accepted = payload.accepted_rows(source.keyed(), decided)
+    if sink is not None and mode == "copy":
         write_by_day(accepted, source.mtime_ns, f"{sink}/run_id={run_id}")
-    _maintain_cache(state, source, hashed, use_cache, cleanup)
+    _maintain_cache(state, source, decided, use_cache, cleanup)
     state.append_ledger(additions, run_id=run_id)
     state.close_run(run_id)
     if cleanup:
-        state.compact_ledger()
-    return TableRun(results, stats.ingest_stats(results), accepted)
+        state.compact_ledger(min_runs=COMPACT_RUNS)
+    results = describe(decided, source.root, dest_template if mode == "copy" else None, tz)
+    return TableRun(results, stats.ingest_stats(decided), accepted)
+
+
+def check_mode(mode: str, dest_template: str | None) -> None:
+    if mode not in ("copy", "load"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "copy" and dest_template is None:
+        raise ValueError("dest_template is required unless mode='load'")
+
+
+def decide_rows(
+    hashed: DataFrame,
+    known: DataFrame,
+    root: str,
+    mode: str,
+    dest_template: str | None,
+    tz: str,
+    existing: DataFrame | None,
+    override: bool,
+    folder: str,
+) -> tuple[DataFrame, DataFrame]:
+    """Staged rows with ``outcome``, and the ledger entries they add.
+
+    Rows are staged before the decision, which reads them twice, and after it,
+    so that sink, cache, ledger and counters all see the same outcome.
+    """
+    if mode == "load":
+        decided = stage(load_outcome(hashed), "decided", folder)
+        return decided, ledger.new_entries(decided, known, now_ms())
+    placed = stage(place(hashed, root, dest_template, tz, existing, override), "placed", folder)
+    decided = stage(content.decide(placed, known), "decided", folder)
+    return decided, ledger.entries(decided.filter(F.col("outcome") == COPIED), now_ms())
 
 
-def _require_unique_paths(rows: DataFrame) -> None:
+def require_unique_paths(rows: DataFrame) -> None:
     repeated = rows.filter(F.col("path_hash").isNotNull()).groupBy("path_hash").count().filter("count > 1")
     if not repeated.isEmpty():
         raise ValueError("the path column is not unique")

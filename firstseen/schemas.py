@@ -23,6 +23,10 @@ MANIFEST = T.StructType([
     T.StructField("error", T.StringType()),
 ])
 
+# What travels through shuffles. Display paths and destinations are pure
+# functions of these columns and are derived where they are needed.
+CORE = ["path_hash", "path_bytes", "size", "mtime_ns", "ctime_ns", "error"]
+
 CACHE = T.StructType([
     T.StructField("path_hash", T.BinaryType()),
     T.StructField("path_bytes", T.BinaryType()),

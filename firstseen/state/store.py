@@ -125,11 +125,13 @@ class State:
             self.folder.delete(name)
         return run_id
 
-    def compact_ledger(self, replayable: dict[str, int] | None = None) -> int | None:
+    def compact_ledger(self, replayable: dict[str, int] | None = None, min_runs: int = 2) -> int | None:
         """Fold all runs that can no longer be replayed into one.
 
         ``replayable`` gives, per streaming writer, the first run that may still
-        be replayed; those runs stay as they are.
+        be replayed; those runs stay as they are. Nothing happens below
+        ``min_runs`` runs, which spreads the cost of a rewrite over many runs.
+        One compaction may run at a time.
         """
         keep = replayable or {}
         names = []
@@ -137,7 +139,7 @@ class State:
             writer, run = self._writer_and_run(name)
             if writer in (BATCH, COMPACT) or run < keep.get(writer, 0):
                 names.append(name)
-        if len(names) < 2:
+        if len(names) < max(min_runs, 2):
             return None
         return self._rewrite_ledger(ledger_ops.folded(self._read_ledger(names)), names)
 

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from firstseen.operators import content, ledger, payload
-from firstseen.plans.tables import TableSource, explain_failures, hash_rows, load_outcome, place, write_by_day
-from firstseen.schemas import COPIED
+from firstseen.operators import payload
+from firstseen.plans.tables import TableSource, check_mode, decide_rows, hash_rows, write_by_day
 from firstseen.state.folder import Folder
-from firstseen.state.store import State, now_ms
-from firstseen.workspace import fresh_folder, stage
+from firstseen.state.store import State
+from firstseen.workspace import fresh_folder
 
 
 def _claim_writer(state: State, writer: str, checkpoint: str) -> None:
@@ -60,6 +59,7 @@ def ingest_stream(
     once. A batch is idempotent. It hides its own earlier attempt from the ledger
     it reads, overwrites its output folder, and writes the ledger last.
     """
+    check_mode(mode, dest_template)
     spark = stream.sparkSession
     tz = local_tz or spark.conf.get("spark.sql.session.timeZone")
     state = State(spark, state_dir)
@@ -68,16 +68,13 @@ def ingest_stream(
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         source = as_files(batch)
         folder = fresh_folder(batch.sparkSession, f"stream-{writer}-{batch_id}")
-        hashed = stage(hash_rows(source, None, globs, ignore_hidden, folder), "hashed", folder)
+        rows = hash_rows(source, None, globs, ignore_hidden, folder)
         known = state.ledger(replaying=(writer, batch_id))
-        if mode == "load":
-            results = stage(load_outcome(hashed), "results", folder)
-            additions = ledger.new_entries(hashed, known, now_ms())
-        else:
-            placed = place(hashed, dest_template, tz, existing, override)
-            results = stage(explain_failures(content.decide(placed, known)), "results", folder)
-            additions = ledger.entries(results.filter(F.col("outcome") == COPIED), now_ms())
-            accepted = payload.accepted_rows(source.keyed(), results)
+        decided, additions = decide_rows(
+            rows, known, source.root, mode, dest_template, tz, existing, override, folder
+        )
+        if mode == "copy":
+            accepted = payload.accepted_rows(source.keyed(), decided)
             write_by_day(accepted, source.mtime_ns, f"{sink}/writer={writer}/batch_id={batch_id}")
         state.append_ledger(additions, writer, batch_id, replay=True)
         if compact_every and batch_id % compact_every == compact_every - 1:
