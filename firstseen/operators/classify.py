@@ -47,15 +47,10 @@ def misses(classified: DataFrame) -> DataFrame:
     return classified.filter((F.col("cache_result") != UNCHANGED) & ok)
 
 
-def with_digests(classified: DataFrame, digests: DataFrame) -> DataFrame:
-    """Give every row its content digest: the cached one if unchanged, else the
-    one computed for it. ``digests`` is narrow and unique by ``path_hash``."""
-    fresh = digests.select("path_hash", F.col("content_hash").alias("_fresh"))
-    return (
-        classified.join(fresh, "path_hash", "left")
-        .withColumn(
-            "content_hash",
-            F.when(F.col("cache_result") == UNCHANGED, F.col("cached_hash")).otherwise(F.col("_fresh")),
-        )
-        .drop("_fresh", "cached_hash")
+def resolve_digest(rows: DataFrame) -> DataFrame:
+    """Replace ``cached_hash`` and ``fresh_hash`` by the ``content_hash`` that
+    counts: the cached one of an unchanged file, else the one just computed."""
+    cached = F.col("cache_result") == UNCHANGED
+    return rows.withColumn("content_hash", F.when(cached, F.col("cached_hash")).otherwise(F.col("fresh_hash"))).drop(
+        "cached_hash", "fresh_hash"
     )

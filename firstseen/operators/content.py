@@ -31,8 +31,13 @@ def _shares(salted: DataFrame) -> DataFrame:
 
 
 def distinct_contents(rows: DataFrame) -> DataFrame:
-    """One row per digest; partial aggregation runs before the shuffle."""
-    return rows.filter(F.col("content_hash").isNotNull()).select("content_hash").distinct()
+    """One row per digest; partial aggregation runs before the shuffle.
+
+    Rows without a digest are dropped by a count after the aggregation. A null
+    test would be pushed below it and digest every payload a second time.
+    """
+    counted = rows.groupBy("content_hash").agg(F.count("content_hash").alias("_n"))
+    return counted.filter("_n > 0").select("content_hash")
 
 
 def unseen_content(rows: DataFrame, ledger: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -135,10 +140,9 @@ def dedup_exact(rows: DataFrame, *carry: str) -> DataFrame:
 def duplicate_groups(rows: DataFrame) -> DataFrame:
     """Contents that occur more than once: how often, how large, who is first."""
     return (
-        rows.filter(F.col("content_hash").isNotNull())
-        .groupBy("content_hash")
+        rows.groupBy("content_hash")
         .agg(
-            F.count("*").alias("n_files"),
+            F.count("content_hash").alias("n_files"),
             F.sum("size").alias("n_bytes"),
             paths.display(paths.path_of_key(F.min(paths.order_key(F.col("path_bytes"))))).alias("first_path"),
         )

@@ -8,14 +8,16 @@ files have been touched since; German destinations are occupied.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firstseen.functions import digest, template
-from firstseen.operators import classify, content
+from firstseen.operators import classify, ledger
 from firstseen.plans.tables import TableSource
 from firstseen.schemas import CACHE
-from firstseen.sources import tables
+from firstseen.workspace import stage
 
 ROOT = "/source"
 TEMPLATE = "/dest/{year_utc}/{month_utc}/{day_utc}"
@@ -44,39 +46,29 @@ def documents(spark: SparkSession, sf_dir: str) -> TableSource:
 
 
 def document_files(spark: SparkSession, sf_dir: str, with_digest: bool = False) -> DataFrame:
-    source = documents(spark, sf_dir)
-    return _manifest(source, with_digest)
-
-
-def _manifest(source: TableSource, with_digest: bool) -> DataFrame:
-    return tables.manifest(
-        source.table, source.path, source.payload, source.mtime_ns, source.root, with_digest=with_digest
-    )
+    return documents(spark, sf_dir).manifest(with_digest)
 
 
 def earlier_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents accepted by earlier runs: those labelled as good."""
+    """Contents accepted by earlier runs, a stored table: those labelled good."""
     good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     kept = read(spark, sf_dir, "documents").join(good, "doc_id", "left_semi")
     hashes = kept.select(digest.content_digest(F.col("text")).alias("content_hash"))
-    return content.distinct_contents(hashes).select(
-        "content_hash", F.lit(EARLIER_MS).cast("bigint").alias("copied_time")
-    )
+    return stage(ledger.entries(hashes, EARLIER_MS), "memory")
 
 
-def earlier_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+def earlier_cache(spark: SparkSession, sf_dir: str, size: Column | None = None) -> DataFrame:
     """Cache of earlier runs; French files were hashed with an older time."""
     source = documents(spark, sf_dir)
     older = F.when(F.col("lang") == "fr", source.mtime_ns - 1).otherwise(source.mtime_ns)
-    cached = TableSource(source.table.filter("lang <> 'es'"), source.path, source.payload, older, ROOT)
-    return _manifest(cached, True).select(*CACHE.fieldNames())
+    cached = replace(source, table=source.table.filter("lang <> 'es'"), mtime_ns=older, size=size)
+    return cached.manifest(with_digest=True).select(*CACHE.fieldNames())
 
 
 def occupied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing of the destination: the German files are already there."""
     source = documents(spark, sf_dir)
-    german = TableSource(source.table.filter("lang = 'de'"), source.path, source.payload, source.mtime_ns, ROOT)
-    files = _manifest(german, False)
+    files = replace(source, table=source.table.filter("lang = 'de'")).manifest()
     return files.select(template.destination(TEMPLATE, F.col("mtime_ns"), F.col("rel_path"), "UTC").alias("dest_path"))
 
 
@@ -93,7 +85,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") * 1000,
         ROOT,
     )
-    return _manifest(source, True)
+    return source.manifest(with_digest=True)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,4 +97,4 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(T0).cast("bigint") * 1_000_000_000,
         ROOT,
     )
-    return _manifest(source, True)
+    return source.manifest(with_digest=True)

@@ -37,24 +37,21 @@ def _work_size(rows: DataFrame) -> tuple[int, int]:
     return row["n"], row["b"]
 
 
-def hash_misses(classified: DataFrame, chunk_bytes: int, threads: int) -> DataFrame:
-    """Read and digest the files that are new or modified.
+def hash_misses(classified: DataFrame, folder: str, chunk_bytes: int, threads: int) -> DataFrame:
+    """Read and digest the files that are new or modified, once.
 
-    ``classified`` is staged. The work is spread by a uniform key over tasks
-    sized by bytes. The result has ``content_hash`` and ``error``.
+    ``classified`` is staged, and so are the digests. The work is spread by a
+    uniform key over tasks sized by bytes. Appends ``content_hash``; a file that
+    cannot be read gets an ``error``.
     """
     unread = classify_ops.misses(classified)
     files, total = _work_size(unread)
     keys = spread_by_bytes(unread.select("path_hash", "path_bytes"), "path_hash", files, total)
-    return hash_files(keys, chunk_bytes, threads).select("path_hash", "content_hash", "hash_error")
-
-
-def with_hashes(classified: DataFrame, digests: DataFrame) -> DataFrame:
-    hashed = classify_ops.with_digests(classified, digests)
-    errors = digests.filter(F.col("hash_error").isNotNull()).select("path_hash", "hash_error")
+    digests = hash_files(keys, chunk_bytes, threads).withColumnRenamed("content_hash", "fresh_hash")
+    digests = stage(digests.drop("path_bytes"), "digests", folder)
+    hashed = classify_ops.resolve_digest(classified.join(digests, "path_hash", "left"))
     return (
-        hashed.join(errors, "path_hash", "left")
-        .withColumn("error", F.coalesce("error", "hash_error"))
+        hashed.withColumn("error", F.coalesce("error", "hash_error"))
         .withColumn("content_hash", F.when(F.col("error").isNull(), F.col("content_hash")))
         .drop("hash_error")
     )
@@ -191,8 +188,7 @@ def ingest_files(
     else:
         classified = stage(classify_ops.classify_without_cache(manifest), "classified", folder)
     files = classified.count()
-    digests = stage(hash_misses(classified, chunk_bytes, threads), "digests", folder)
-    hashed = stage(with_hashes(classified, digests), "hashed", folder)
+    hashed = stage(hash_misses(classified, folder, chunk_bytes, threads), "hashed", folder)
 
     known = state.ledger()
     if mode == "load":

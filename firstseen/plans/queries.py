@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -162,7 +163,10 @@ def no_cache_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = tables.hash_rows(binding.documents(spark, sf_dir), binding.earlier_cache(spark, sf_dir))
+    """With a stored size the rows are classified without reading any text."""
+    sized = replace(binding.documents(spark, sf_dir), size=F.col("n_chars"))
+    cache = stage(binding.earlier_cache(spark, sf_dir, F.col("n_chars")), "cache")
+    hashed = tables.hash_rows(sized, cache)
     path = paths.display(F.col("path_bytes")).alias("path")
     return _hex(hashed, "content_hash").select(path, "cache_result", "content_hash")
 

@@ -37,9 +37,9 @@ class TableSource:
     ctime_ns: Column | None = None
     size: Column | None = None
 
-    def manifest(self) -> DataFrame:
+    def manifest(self, with_digest: bool = False) -> DataFrame:
         return tables.manifest(
-            self.table, self.path, self.payload, self.mtime_ns, self.root, self.ctime_ns, self.size
+            self.table, self.path, self.payload, self.mtime_ns, self.root, self.ctime_ns, self.size, with_digest
         )
 
     def keyed(self) -> DataFrame:
@@ -78,24 +78,35 @@ def hash_rows(
     ignore_hidden: bool = False,
     folder: str | None = None,
 ) -> DataFrame:
-    """CORE rows of the selected files with ``cache_result`` and ``content_hash``."""
-    chosen = filters.with_errors(filters.select_files(source.manifest(), globs, ignore_hidden)).select(*CORE)
-    if cache is None:
-        digested = tables.manifest(
-            source.table, source.path, source.payload, source.mtime_ns, source.root,
-            source.ctime_ns, source.size, with_digest=True,
-        )
-        chosen = filters.with_errors(filters.select_files(digested, globs, ignore_hidden))
-        hashed = classify_ops.classify_without_cache(chosen.select(*CORE, "content_hash")).drop("cached_hash")
-    else:
+    """CORE rows of the selected files with ``cache_result`` and ``content_hash``.
+
+    The payload is scanned at most once. If the table stores payload sizes, rows
+    are classified without it and only the misses are read. If a size has to be
+    measured, the same scan takes the digest.
+    """
+    if cache is not None and source.size is not None:
+        chosen = _selected(source.manifest(), globs, ignore_hidden).select(*CORE)
         classified = stage(classify_ops.classify(chosen, cache), "classified", folder)
-        hashed = classify_ops.with_digests(classified, digests_of_misses(source, classified))
+        fresh = digests_of_misses(source, classified).withColumnRenamed("content_hash", "fresh_hash")
+        rows = classified.join(fresh, "path_hash", "left")
+    else:
+        chosen = _selected(source.manifest(with_digest=True), globs, ignore_hidden)
+        chosen = chosen.select(*CORE, F.col("content_hash").alias("fresh_hash"))
+        if cache is None:
+            rows = classify_ops.classify_without_cache(chosen)
+        else:
+            rows = classify_ops.classify(chosen, cache)
+    hashed = classify_ops.resolve_digest(rows)
     missing = F.col("content_hash").isNull() & F.col("error").isNull()
     return hashed.withColumn("error", F.when(missing, F.lit("no payload")).otherwise(F.col("error"))).withColumn(
         "content_hash", F.when(F.col("error").isNull(), F.col("content_hash"))
     )
 
 
+def _selected(manifest: DataFrame, globs: Sequence[str], ignore_hidden: bool) -> DataFrame:
+    return filters.with_errors(filters.select_files(manifest, globs, ignore_hidden))
+
+
 def _path() -> Column:
     return paths.display(F.col("path_bytes"))
 
