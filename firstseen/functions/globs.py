@@ -4,7 +4,7 @@ Globs follow the conventions of ignore-file overrides: a pattern without a
 slash matches the base name at any depth, a slash anchors it at the root, ``*``
 and ``?`` stay inside one path component, ``**`` crosses components, ``{a,b}``
 and ``[a-z]`` work as usual, a leading ``!`` excludes, a trailing ``/`` matches
-directories only, matching ignores case, and the last matching glob wins. A
+directories only, matching ignores ASCII case, and the last matching glob wins. A
 directory that is excluded takes everything below it with it.
 
 Every glob becomes one regular expression on the driver. The expressions use
@@ -163,7 +163,7 @@ def keeps_file(rel_path: Column, patterns: Sequence[str] = (), ignore_hidden: bo
 
 def dir_pruner(globs: Sequence[Glob], ignore_hidden: bool):
     """The directory rule as a plain function, for use inside listing tasks."""
-    rules = [(re.compile(g.regex), g.exclude) for g in globs]
+    rules = [(re.compile(g.regex, re.ASCII), g.exclude) for g in globs]
 
     def pruned(rel_dir: str) -> bool:
         verdicts = [exclude for regex, exclude in rules if regex.search(rel_dir)]
