@@ -129,6 +129,19 @@ def decide(rows: DataFrame, ledger: DataFrame | None = None, salts: int = SALTS)
     )
 
 
+def leading(rows: DataFrame, n: int, salts: int = SALTS) -> DataFrame:
+    """The first ``n`` rows of every content in path order.
+
+    Shares are cut to ``n`` rows before the content comes together, so one task
+    sees at most ``n`` rows per share.
+    """
+    key = paths.order_key(F.col("path_bytes"))
+    share = Window.partitionBy("content_hash", "_salt").orderBy(key)
+    whole = Window.partitionBy("content_hash").orderBy(key)
+    cut = _salted(rows, salts).withColumn("_rank", F.row_number().over(share)).filter(F.col("_rank") <= n)
+    return cut.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= n).drop("_salt", "_rank")
+
+
 def dedup_exact(rows: DataFrame, *carry: str) -> DataFrame:
     """One row per content: the first path, with the ``carry`` columns of it."""
     first = F.min(F.struct(paths.order_key(F.col("path_bytes")).alias("_key"), *carry)).alias("_first")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firstseen.functions import paths
@@ -17,8 +17,8 @@ def _files_and_bytes(name: str, condition: Column) -> list[Column]:
     ]
 
 
-def ingest_stats(results: DataFrame) -> DataFrame:
-    """One row of files and bytes per class and per outcome.
+def counters() -> list[Column]:
+    """Files and bytes per class and per outcome, as aggregates over results.
 
     Failed rows are in no counter but ``failed_files``.
     """
@@ -28,8 +28,18 @@ def ingest_stats(results: DataFrame) -> DataFrame:
         columns += _files_and_bytes(value, done & (F.col("cache_result") == value))
     for value in (COPIED, SKIPPED):
         columns += _files_and_bytes(value, F.col("outcome") == value)
-    failed = F.count_if(F.col("outcome") == FAILED).cast("bigint").alias("failed_files")
-    return results.agg(*columns, failed)
+    return [*columns, F.count_if(F.col("outcome") == FAILED).cast("bigint").alias("failed_files")]
+
+
+def observed(spark: SparkSession, metrics: dict[str, int]) -> DataFrame:
+    """Observed counters as the one-row frame that :func:`ingest_stats` gives."""
+    schema = ", ".join(f"{name} bigint" for name in metrics)
+    return spark.createDataFrame([tuple(metrics.values())], schema)
+
+
+def ingest_stats(results: DataFrame) -> DataFrame:
+    """The counters of a run in one row."""
+    return results.agg(*counters())
 
 
 def scan_counts(manifest: DataFrame) -> DataFrame:

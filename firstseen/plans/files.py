@@ -15,7 +15,15 @@ from firstseen.operators import classify as classify_ops
 from firstseen.operators import content, filters, ledger, stats
 from firstseen.plans.tables import COMPACT_RUNS, check_mode, load_outcome
 from firstseen.schemas import COPIED, CORE, FAILED
-from firstseen.sources.content import CHUNK_BYTES, THREADS, copy_files, hash_files, probe, spread_by_bytes
+from firstseen.sources.content import (
+    CHUNK_BYTES,
+    THREADS,
+    copy_files,
+    copy_in_turn,
+    hash_files,
+    probe,
+    spread_by_bytes,
+)
 from firstseen.sources.tree import Listing, scan_tree
 from firstseen.state.store import State, now_ms
 from firstseen.workspace import fresh_folder, stage
@@ -87,34 +95,45 @@ def copy_winners(
     """Decide, copy, and decide again for contents whose winner failed to copy.
 
     A failed copy records nothing, so the next file with the same content gets
-    its turn. Every round copies at most one file per content and settles all
-    contents whose copy worked; rounds go on until no file is left to try.
-    ``checked`` is staged and has ``known``. Returns it with ``outcome``.
+    its turn. The first round copies one file per content. Later rounds take
+    only contents without a good copy and try twice as many files of each as the
+    round before, in order, so even a content all of whose files fail is
+    settled after a logarithmic number of rounds. ``checked`` is staged and has
+    ``known``. Returns it with ``outcome``.
     """
     settled: list[DataFrame] = []
-    open_rows, turn = checked, 0
+    open_rows, turn = checked.withColumn("done", F.lit(False)), 0
     while True:
         decided = stage(content.decide(open_rows), f"decided-{turn}", folder)
-        winners = decided.filter(F.col("outcome") == COPIED)
+        winners = decided.filter((F.col("outcome") == COPIED) & ~F.col("done"))
         files, total = _work_size(winners)
         if files == 0:
             settled.append(decided)
             break
-        work = winners.select("path_hash", "path_bytes", dest.alias("dest_bytes"), "content_hash")
-        spread = spread_by_bytes(work, "path_hash", files, total)
-        copied = stage(copy_files(spread, override, how, chunk_bytes, threads), f"copied-{turn}", folder)
-        broken = copied.filter(F.col("copy_error").isNotNull())
+        if turn == 0:
+            spread = spread_by_bytes(_copy_work(winners, dest), "path_hash", files, total)
+            tried = copy_files(spread, override, how, chunk_bytes, threads)
+        else:
+            left = content.known_content(decided.filter("eligible"), winners)
+            work = _copy_work(content.leading(left, 2**turn), dest)
+            spread = spread_by_bytes(work, "content_hash", files, total * 2**turn)
+            ordered = spread.sortWithinPartitions("content_hash", paths.order_key(F.col("path_bytes")))
+            tried = copy_in_turn(ordered, override, how, chunk_bytes)
+        tried = stage(tried, f"copied-{turn}", folder)
+        broken = tried.filter(F.col("copy_error").isNotNull())
         if broken.isEmpty():
             settled.append(decided)
             break
-        # Contents with a failed winner are opened again, without that file.
-        reasons = broken.select("path_hash", "copy_error")
+        # Contents with a failed copy are decided again, without the files that
+        # failed; all others are settled.
+        reasons = tried.select("path_hash", "copy_error", F.lit(True).alias("_tried"))
         retry = (
             content.known_content(decided, broken)
             .join(reasons, "path_hash", "left")
             .withColumn("eligible", F.col("eligible") & F.col("copy_error").isNull())
+            .withColumn("done", F.col("done") | (F.col("_tried").isNotNull() & F.col("copy_error").isNull()))
             .withColumn("error", F.coalesce("error", "copy_error"))
-            .drop("outcome", "copy_error")
+            .drop("outcome", "copy_error", "_tried")
         )
         no_hash = decided.filter(F.col("content_hash").isNull())
         settled.append(content.unseen_content(decided, broken).unionByName(no_hash))
@@ -123,7 +142,11 @@ def copy_winners(
     result = settled[0]
     for part in settled[1:]:
         result = result.unionByName(part)
-    return result
+    return result.drop("done")
+
+
+def _copy_work(rows: DataFrame, dest: Column) -> DataFrame:
+    return rows.select("path_hash", "path_bytes", dest.alias("dest_bytes"), "content_hash")
 
 
 def _results(decided: DataFrame, root: bytes, dest: Column) -> DataFrame:

@@ -19,7 +19,7 @@ from firstseen.sources.tree import scan_tree
 from firstseen.state.store import State
 from firstseen.streaming.dedup import first_seen
 from firstseen.streaming.ingest import ingest_stream
-from firstseen.workspace import fresh_folder, stage
+from firstseen.workspace import fresh_folder, mounted, stage
 
 LOCAL_TZ = "America/New_York"
 
@@ -54,9 +54,7 @@ def _write_tree_task(root: str):
 
 def document_tree(spark: SparkSession, sf_dir: str) -> str:
     """Write every document as a file below a fresh shared folder."""
-    root = fresh_folder(spark, "tree").removeprefix("file://").removeprefix("file:")
-    if not root.startswith("/"):
-        raise ValueError("file queries need spark.checkpoint.dir on a mounted file system")
+    root = mounted(fresh_folder(spark, "tree"))
     source = binding.documents(spark, sf_dir)
     rows = source.table.select(
         paths.relative_path(source.path, source.root).alias("rel_path"),
@@ -396,7 +394,7 @@ def accepted_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def copy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole file run on the document tree, read back from the destination."""
-    tree, dest = document_tree(spark, sf_dir), fresh_folder(spark, "dest").removeprefix("file://")
+    tree, dest = document_tree(spark, sf_dir), mounted(fresh_folder(spark, "dest"))
     ingest_files(
         spark, tree, dest + "/{year_utc}/{month_utc}/{day_utc}", fresh_folder(spark, "state"), local_tz="UTC"
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from firstseen.functions import digest, paths, template
@@ -186,7 +186,9 @@ def ingest_table(
     folder = fresh_folder(spark, "table-run")
 
     rows = hash_rows(source, state.cache() if use_cache else None, globs, ignore_hidden, folder)
-    decided, additions = decide_rows(rows, state.ledger(), source.root, mode, dest_template, tz, existing, override, folder)
+    decided, additions, counts = decide_rows(
+        rows, state.ledger(), source.root, mode, dest_template, tz, existing, override, folder
+    )
     require_unique_paths(decided)
 
     accepted = payload.accepted_rows(source.keyed(), decided)
@@ -198,7 +200,7 @@ def ingest_table(
     if cleanup:
         state.compact_ledger(min_runs=COMPACT_RUNS)
     results = describe(decided, source.root, dest_template if mode == "copy" else None, tz)
-    return TableRun(results, stats.ingest_stats(decided), accepted)
+    return TableRun(results, stats.observed(spark, counts.get), accepted)
 
 
 def check_mode(mode: str, dest_template: str | None) -> None:
@@ -218,18 +220,20 @@ def decide_rows(
     existing: DataFrame | None,
     override: bool,
     folder: str,
-) -> tuple[DataFrame, DataFrame]:
-    """Staged rows with ``outcome``, and the ledger entries they add.
+) -> tuple[DataFrame, DataFrame, Observation]:
+    """Staged rows with ``outcome``, the ledger entries they add, the counters.
 
     Rows are staged before the decision, which reads them twice, and after it,
-    so that sink, cache, ledger and counters all see the same outcome.
+    so that sink, cache and ledger all see the same outcome. The counters are
+    observed while the outcome is written.
     """
+    watch = Observation()
     if mode == "load":
-        decided = stage(load_outcome(hashed), "decided", folder)
-        return decided, ledger.new_entries(decided, known, now_ms())
+        decided = stage(load_outcome(hashed).observe(watch, *stats.counters()), "decided", folder)
+        return decided, ledger.new_entries(decided, known, now_ms()), watch
     placed = stage(place(hashed, root, dest_template, tz, existing, override), "placed", folder)
-    decided = stage(content.decide(placed, known), "decided", folder)
-    return decided, ledger.entries(decided.filter(F.col("outcome") == COPIED), now_ms())
+    decided = stage(content.decide(placed, known).observe(watch, *stats.counters()), "decided", folder)
+    return decided, ledger.entries(decided.filter(F.col("outcome") == COPIED), now_ms()), watch
 
 
 def require_unique_paths(rows: DataFrame) -> None:

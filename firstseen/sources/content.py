@@ -154,6 +154,11 @@ def _place(source: bytes, target: bytes, digest: bytes, override: bool, how: str
             os.unlink(temp)
 
 
+def _check_mode(how: str) -> None:
+    if how not in ("reflink", "copy", "hard-link"):
+        raise ValueError(f"unknown copy mode {how!r}")
+
+
 def copy_files(
     rows: DataFrame,
     override: bool = False,
@@ -168,8 +173,7 @@ def copy_files(
     step is a link, which fails if the target appeared meanwhile. A target that
     already has this row's digest counts as done, so a retried task is harmless.
     """
-    if how not in ("reflink", "copy", "hard-link"):
-        raise ValueError(f"unknown copy mode {how!r}")
+    _check_mode(how)
 
     def work(source, target, digest):
         try:
@@ -181,3 +185,37 @@ def copy_files(
     schema = _extended(rows, ("copy_error", T.StringType()))
     inputs = ["path_bytes", "dest_bytes", "content_hash"]
     return rows.mapInArrow(_appender([("copy_error", pa.string())], work, inputs, threads), schema)
+
+
+def copy_in_turn(
+    rows: DataFrame, override: bool = False, how: str = "reflink", chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
+    """Copy the first file of each content that can be copied; append ``copy_error``.
+
+    Rows are sorted by content and path order within their partition and each
+    content lies in one partition. The files of a content are tried one after
+    the other; those after the first good copy are not returned.
+    """
+    _check_mode(how)
+
+    def run(batches):
+        placed = None
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()
+            keep, errors = [], []
+            for source, target, digest in zip(column("path_bytes"), column("dest_bytes"), column("content_hash")):
+                keep.append(digest != placed)
+                if digest == placed:
+                    continue
+                try:
+                    _place(source, target, digest, override, how, chunk_bytes)
+                    errors.append(None)
+                    placed = digest
+                except OSError as problem:
+                    errors.append(str(problem))
+            tried = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(
+                [*tried.columns, pa.array(errors, pa.string())], names=[*tried.schema.names, "copy_error"]
+            )
+
+    return rows.mapInArrow(run, _extended(rows, ("copy_error", T.StringType())))

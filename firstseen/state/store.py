@@ -70,8 +70,11 @@ class State:
         return reader.parquet(*[self.folder.path(name) for name in names])
 
     def next_run(self, writer: str = BATCH) -> int:
+        """First unused run number; numbers of folded runs are not used again."""
         runs = self.folder.subfolders(f"ledger/writer={writer}")
-        return max((int(r.split("=", 1)[1]) for r in runs), default=-1) + 1
+        used = [int(r.split("=", 1)[1]) for r in runs]
+        used += [record["folded"][writer] for record in self._runs().values() if writer in record.get("folded", {})]
+        return max(used, default=-1) + 1
 
     def open_run(self, resume: bool = False) -> int:
         """Claim the next batch run; a second batch writer fails here.
@@ -120,11 +123,21 @@ class State:
         df.repartitionByRange(files, "content_hash").sortWithinPartitions("content_hash").write.mode(
             "errorifexists"
         ).parquet(self.folder.path(target))
-        self.folder.write_once(f"{target}/{_MARK}", {"replaces": names})
+        self.folder.write_once(f"{target}/{_MARK}", {"replaces": names, "folded": self._last_folded(names)})
         for name in names:
             self.folder.delete(name)
         return run_id
 
+    def _last_folded(self, names: list[str]) -> dict[str, int]:
+        """Highest run number per writer that has gone into a rewrite, ever."""
+        records = self._runs()
+        last: dict[str, int] = {}
+        for name in names:
+            writer, run = self._writer_and_run(name)
+            for known, number in [(writer, run), *records[name].get("folded", {}).items()]:
+                last[known] = max(last.get(known, -1), number)
+        return last
+
     def compact_ledger(self, replayable: dict[str, int] | None = None, min_runs: int = 2) -> int | None:
         """Fold all runs that can no longer be replayed into one.
 

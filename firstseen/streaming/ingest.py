@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from firstseen.operators import payload
@@ -50,6 +49,7 @@ def ingest_stream(
     local_tz: str | None = None,
     compact_every: int = 100,
     trigger: dict | None = None,
+    on_batch: Callable[[int, dict[str, int]], None] | None = None,
 ) -> StreamingQuery:
     """Start the query; ``as_files`` says how to read a batch as a set of files.
 
@@ -58,6 +58,7 @@ def ingest_stream(
     operators as a batch run, without the hash cache: a stream delivers a row
     once. A batch is idempotent. It hides its own earlier attempt from the ledger
     it reads, overwrites its output folder, and writes the ledger last.
+    ``on_batch`` is called with the batch number and the counters of the batch.
     """
     check_mode(mode, dest_template)
     spark = stream.sparkSession
@@ -70,7 +71,7 @@ def ingest_stream(
         folder = fresh_folder(batch.sparkSession, f"stream-{writer}-{batch_id}")
         rows = hash_rows(source, None, globs, ignore_hidden, folder)
         known = state.ledger(replaying=(writer, batch_id))
-        decided, additions = decide_rows(
+        decided, additions, counts = decide_rows(
             rows, known, source.root, mode, dest_template, tz, existing, override, folder
         )
         if mode == "copy":
@@ -79,10 +80,11 @@ def ingest_stream(
         state.append_ledger(additions, writer, batch_id, replay=True)
         if compact_every and batch_id % compact_every == compact_every - 1:
             state.compact_ledger({writer: batch_id})
+        if on_batch is not None:
+            on_batch(batch_id, counts.get)
 
-    measured = stream.observe("arrived", F.count(F.lit(1)).alias("rows"))
     return (
-        measured.writeStream.foreachBatch(run_batch)
+        stream.writeStream.foreachBatch(run_batch)
         .option("checkpointLocation", checkpoint)
         .queryName(writer)
         .trigger(**(trigger or {"availableNow": True}))

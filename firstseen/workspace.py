@@ -18,14 +18,22 @@ _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's shared folder; a scratch one only on a local master."""
-    configured = spark.conf.get(_CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    configured = spark.conf.get(_CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {_CHECKPOINT_DIR} to a folder every executor can reach")
-    scratch = tempfile.mkdtemp(prefix="firstseen-")
-    spark.conf.set(_CHECKPOINT_DIR, scratch)
-    return scratch
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="firstseen-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def mounted(folder: str) -> str:
+    """The plain path of a shared folder that tasks open as a file system."""
+    path = folder.removeprefix("file://").removeprefix("file:")
+    if not path.startswith("/"):
+        raise ValueError(f"{folder} is not on a mounted file system")
+    return path
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:

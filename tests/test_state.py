@@ -69,8 +69,11 @@ def test_forget_everything_and_again(spark, state):
     state.append_ledger(entries(spark, 1, "a"))
     state.forget(hashes(spark, "a", "zzz"))
     assert held(state) == {}
-    state.append_ledger(entries(spark, 2, "a"))
+    assert state.append_ledger(entries(spark, 2, "a")) == 1
     assert held(state) == {"a": 2}
+    state.append_ledger(entries(spark, 3, "b"))
+    state.compact_ledger()
+    assert state.next_run() == 3 and held(state) == {"a": 2, "b": 3}
 
 
 def test_replay_hides_own_runs(spark, state):
