@@ -23,6 +23,15 @@ def cache_entries(hashed: DataFrame) -> DataFrame:
     return hashed.filter(F.col("content_hash").isNotNull() & (F.col("cache_result") != "unchanged")).select(*_COLUMNS)
 
 
+def listed_entries(hashed: DataFrame) -> DataFrame:
+    """Cache rows for all files of a run that have a digest.
+
+    For an unchanged file this is the row the cache already holds, so upserting
+    them all equals upserting the files that were read.
+    """
+    return hashed.filter(F.col("content_hash").isNotNull()).select(*_COLUMNS)
+
+
 def upsert(cache: DataFrame, entries: DataFrame) -> DataFrame:
     """Replace or insert by path digest."""
     kept = cache.join(entries.select("path_hash"), "path_hash", "left_anti")

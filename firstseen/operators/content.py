@@ -76,13 +76,17 @@ def seen_lookup(rows: DataFrame, ledger: DataFrame, salts: int = SALTS) -> DataF
 def destination_conflicts(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Append ``dest_exists`` from a listing of the destination.
 
-    Destination paths are unique on both sides, so this join cannot skew.
+    Destination paths are unique on both sides, so this join cannot skew. A row
+    without a destination joins by its own path behind a NUL, which no listed
+    path contains, because NULL keys would all meet in one task.
     """
-    taken = existing.select("dest_path").distinct().withColumn("_taken", F.lit(True))
+    taken = existing.select(F.col("dest_path").alias("_dest"), F.lit(True).alias("_taken")).distinct()
+    none = F.concat(F.lit("\x00"), F.hex("path_bytes"))
     return (
-        rows.join(taken, "dest_path", "left")
+        rows.withColumn("_dest", F.coalesce(F.col("dest_path"), none))
+        .join(taken, "_dest", "left")
         .withColumn("dest_exists", F.coalesce("_taken", F.lit(False)))
-        .drop("_taken")
+        .drop("_taken", "_dest")
     )
 
 

@@ -1,4 +1,4 @@
-"""Fetch payload columns for decided rows without shuffling the payload."""
+"""Joins that keep the large side where it was read, when the small side allows."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ BROADCAST_KEYS = 2_000_000
 def keep_keys(source: DataFrame, decided: DataFrame, wanted, limit: int = BROADCAST_KEYS) -> DataFrame | None:
     """Rows of ``source`` whose ``path_hash`` is wanted, filtered map-side.
 
-    ``decided`` covers every key of ``source`` and is staged, so counting it is
-    cheap. Whichever of the wanted and the unwanted keys is small enough is
+    ``decided`` must cover every key of ``source``, and is staged, so counting it
+    is cheap. Whichever of the wanted and the unwanted keys is small enough is
     broadcast, and the payload stays where it was read. Returns None when
     neither is small; the caller then picks a plan for the general case.
     """
@@ -39,3 +39,16 @@ def accepted_rows(source: DataFrame, decided: DataFrame, limit: int = BROADCAST_
         keys = decided.filter(wanted).select("path_hash").hint("shuffle_hash")
         kept = source.join(keys, "path_hash", "left_semi")
     return kept
+
+
+def relevant_memory(ledger: DataFrame, rows: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """The part of the ledger that can concern ``rows``.
+
+    ``rows`` is staged, so its row count comes from file footers. A small batch
+    is broadcast to the ledger scan, and a ledger of any size is not shuffled. A
+    large batch leaves the ledger as it is, for an ordinary join.
+    """
+    if rows.count() > limit:
+        return ledger
+    hashes = rows.filter(F.col("content_hash").isNotNull()).select("content_hash").distinct()
+    return ledger.join(F.broadcast(hashes), "content_hash", "left_semi")

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from firstseen.functions import digest, paths, template
 from firstseen.operators import cache as cache_ops
 from firstseen.operators import classify as classify_ops
-from firstseen.operators import content, filters, ledger, stats
+from firstseen.operators import content, filters, ledger, payload, stats
 from firstseen.plans.tables import COMPACT_RUNS, check_mode, load_outcome
-from firstseen.schemas import COPIED, CORE, FAILED
+from firstseen.schemas import COPIED, CORE, FAILED, SKIPPED
 from firstseen.sources.content import (
     CHUNK_BYTES,
     THREADS,
@@ -66,20 +66,20 @@ def hash_misses(classified: DataFrame, folder: str, chunk_bytes: int, threads: i
 
 
 def check_destinations(
-    marked: DataFrame, files: int, dest: Column, override: bool, trust_copy: bool, threads: int
+    unseen: DataFrame, dest: Column, override: bool, trust_copy: bool, threads: int
 ) -> DataFrame:
     """Append ``eligible``, and ``error`` where a destination is taken.
 
-    Only the destinations of content that is not known are looked up on the file
-    system. When a crashed run is redone the check is left to the copy, which
-    accepts a target that already holds this row's bytes.
+    ``unseen`` is staged and holds content that is not known, the only kind
+    whose destination matters. When a crashed run is redone the check is left to
+    the copy, which accepts a target that already holds this row's bytes.
     """
     unplaced = F.when(dest.isNull(), F.lit("destination cannot be rendered"))
-    rows = marked.withColumn("error", F.coalesce("error", unplaced))
+    rows = unseen.withColumn("error", F.coalesce("error", unplaced))
     if override or trust_copy:
         return rows.withColumn("eligible", F.col("error").isNull())
-    wanted = F.when(F.col("error").isNull() & ~F.col("known"), dest)
-    spread = spread_by_bytes(rows.withColumn("_probe", wanted), "path_hash", files, 0)
+    wanted = F.when(F.col("error").isNull(), dest)
+    spread = spread_by_bytes(rows.withColumn("_probe", wanted), "path_hash", unseen.count(), 0)
     taken = F.when(F.col("present"), F.lit("destination already exists")).otherwise(F.col("probe_error"))
     return (
         probe(spread, "_probe", threads)
@@ -159,17 +159,34 @@ def _results(decided: DataFrame, root: bytes, dest: Column) -> DataFrame:
     )
 
 
-def mark_present(cache: DataFrame, listed: DataFrame, rows: int, threads: int) -> DataFrame:
-    """Append ``present`` to every cache entry, of this source or another.
+def mark_present(others: DataFrame, rows: int, threads: int) -> DataFrame:
+    """Append ``present`` by asking the file system about every path.
 
-    A path the scan has just listed exists; the file system is asked about the
-    others only. A check that fails leaves NULL, which keeps the entry.
+    A check that fails leaves NULL, which keeps the entry.
     """
-    marked = cache.join(listed.select("path_hash", F.lit(True).alias("_listed")), "path_hash", "left")
-    unknown = F.when(F.col("_listed").isNull(), F.col("path_bytes"))
-    spread = spread_by_bytes(marked.withColumn("_probe", unknown), "path_hash", rows, 0)
-    probed = probe(spread, "_probe", threads)
-    return probed.withColumn("present", F.coalesce("_listed", "present")).drop("_listed", "_probe", "probe_error")
+    spread = spread_by_bytes(others, "path_hash", rows, 0)
+    return probe(spread, "path_bytes", threads).drop("probe_error")
+
+
+def refresh_cache(state: State, hashed: DataFrame, use_cache: bool, cleanup: bool, threads: int) -> dict[str, int]:
+    """Write the next cache snapshot; return the cleanup counts.
+
+    One anti join separates the entries of this run, which exist, from all
+    others, of this source or any other; only those are looked up on disk.
+    """
+    listed = cache_ops.listed_entries(hashed)
+    others = cache_ops.delete(state.cache(), listed)
+    if not use_cache:
+        listed = state.cache().join(listed.select("path_hash"), "path_hash", "left_semi")
+    kept = listed.withColumn("present", F.lit(True))
+    if not cleanup:
+        state.write_cache(others.unionByName(listed))
+        return {"checked": 0, "removed": 0}
+    watch = Observation()
+    probed = mark_present(others, state.cache().count(), threads)
+    marked = probed.unionByName(kept).observe(watch, *cache_ops.cleanup_metrics())
+    state.write_cache(cache_ops.keep_present(marked))
+    return watch.get
 
 
 def ingest_files(
@@ -210,35 +227,29 @@ def ingest_files(
         classified = stage(classify_ops.classify(manifest, state.cache()), "classified", folder)
     else:
         classified = stage(classify_ops.classify_without_cache(manifest), "classified", folder)
-    files = classified.count()
     hashed = stage(hash_misses(classified, folder, chunk_bytes, threads), "hashed", folder)
 
     known = state.ledger()
     if mode == "load":
         dest = F.lit(None).cast("binary")
         decided = load_outcome(hashed)
-        additions = ledger.new_entries(hashed, known, now_ms())
+        additions = ledger.new_entries(hashed, payload.relevant_memory(known, hashed), now_ms())
     else:
         prefix = os.path.join(os.getcwd(), dest_template)
         rel = paths.relative_bytes(F.col("path_bytes"), root)
         dest = template.destination_bytes(prefix, F.col("mtime_ns"), rel, tz)
-        marked = content.mark_known(hashed, known)
-        checked = stage(check_destinations(marked, files, dest, override, resume, threads), "checked", folder)
+        marked = stage(content.mark_known(hashed, payload.relevant_memory(known, hashed)), "marked", folder)
+        unseen = marked.filter(~F.col("known"))
+        checked = stage(check_destinations(unseen, dest, override, resume, threads), "checked", folder)
         decided = copy_winners(checked, dest, folder, override, copy_mode, chunk_bytes, threads)
         additions = ledger.entries(decided.filter(F.col("outcome") == COPIED), now_ms())
+        # Known content is skipped without going through the decision.
+        skipped = marked.filter("known").withColumn("eligible", F.lit(False))
+        decided = decided.unionByName(skipped.withColumn("outcome", F.lit(SKIPPED)))
 
     removal = {"checked": 0, "removed": 0}
     if use_cache or cleanup:
-        cache, rows = state.cache(), state.cache().count()
-        if use_cache:
-            cache, rows = cache_ops.upsert(cache, cache_ops.cache_entries(hashed)), rows + files
-        if cleanup:
-            watch = Observation("cleanup")
-            marked = mark_present(cache, classified, rows, threads).observe(watch, *cache_ops.cleanup_metrics())
-            state.write_cache(cache_ops.keep_present(marked))
-            removal = watch.get
-        else:
-            state.write_cache(cache)
+        removal = refresh_cache(state, hashed, use_cache, cleanup, threads)
     state.append_ledger(additions, run_id=run_id)
     state.close_run(run_id)
     if cleanup:

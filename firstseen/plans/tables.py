@@ -7,12 +7,13 @@ shuffled; accepted payloads go from the source scan to the sink.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from firstseen.functions import digest, paths, template
+from firstseen.functions.globs import keeps_file
 from firstseen.operators import cache as cache_ops
 from firstseen.operators import classify as classify_ops
 from firstseen.operators import content, filters, ledger, payload, stats
@@ -42,6 +43,13 @@ class TableSource:
             self.table, self.path, self.payload, self.mtime_ns, self.root, self.ctime_ns, self.size, with_digest
         )
 
+    def selected(self, globs: Sequence[str], ignore_hidden: bool) -> TableSource:
+        """The source reduced to the rows that the scan filters keep."""
+        if not globs and not ignore_hidden:
+            return self
+        rel = paths.relative_path(self.path, self.root)
+        return replace(self, table=self.table.filter(keeps_file(rel, globs, ignore_hidden)))
+
     def keyed(self) -> DataFrame:
         """All source columns plus the row key, for fetching payloads."""
         return self.table.withColumn("path_hash", digest.path_digest(self.path))
@@ -71,26 +79,20 @@ def digests_of_misses(source: TableSource, classified: DataFrame) -> DataFrame:
     return rows.select("path_hash", digest.content_digest(source.payload).alias("content_hash"))
 
 
-def hash_rows(
-    source: TableSource,
-    cache: DataFrame | None,
-    globs: Sequence[str] = (),
-    ignore_hidden: bool = False,
-    folder: str | None = None,
-) -> DataFrame:
-    """CORE rows of the selected files with ``cache_result`` and ``content_hash``.
+def hash_rows(source: TableSource, cache: DataFrame | None, folder: str | None = None) -> DataFrame:
+    """CORE rows of a source with ``cache_result`` and ``content_hash``.
 
     The payload is scanned at most once. If the table stores payload sizes, rows
     are classified without it and only the misses are read. If a size has to be
     measured, the same scan takes the digest.
     """
     if cache is not None and source.size is not None:
-        chosen = _selected(source.manifest(), globs, ignore_hidden).select(*CORE)
+        chosen = filters.with_errors(source.manifest()).select(*CORE)
         classified = stage(classify_ops.classify(chosen, cache), "classified", folder)
         fresh = digests_of_misses(source, classified).withColumnRenamed("content_hash", "fresh_hash")
         rows = classified.join(fresh, "path_hash", "left")
     else:
-        chosen = _selected(source.manifest(with_digest=True), globs, ignore_hidden)
+        chosen = filters.with_errors(source.manifest(with_digest=True))
         chosen = chosen.select(*CORE, F.col("content_hash").alias("fresh_hash"))
         if cache is None:
             rows = classify_ops.classify_without_cache(chosen)
@@ -103,10 +105,6 @@ def hash_rows(
     )
 
 
-def _selected(manifest: DataFrame, globs: Sequence[str], ignore_hidden: bool) -> DataFrame:
-    return filters.with_errors(filters.select_files(manifest, globs, ignore_hidden))
-
-
 def _path() -> Column:
     return paths.display(F.col("path_bytes"))
 
@@ -185,16 +183,15 @@ def ingest_table(
     run_id = state.open_run(resume)
     folder = fresh_folder(spark, "table-run")
 
-    rows = hash_rows(source, state.cache() if use_cache else None, globs, ignore_hidden, folder)
+    whole, source = source, source.selected(globs, ignore_hidden)
+    rows = hash_rows(source, state.cache() if use_cache else None, folder)
     decided, additions, counts = decide_rows(
         rows, state.ledger(), source.root, mode, dest_template, tz, existing, override, folder
     )
-    require_unique_paths(decided)
-
     accepted = payload.accepted_rows(source.keyed(), decided)
     if sink is not None and mode == "copy":
         write_by_day(accepted, source.mtime_ns, f"{sink}/run_id={run_id}")
-    _maintain_cache(state, source, decided, use_cache, cleanup)
+    _maintain_cache(state, whole, decided, use_cache, cleanup)
     state.append_ledger(additions, run_id=run_id)
     state.close_run(run_id)
     if cleanup:
@@ -230,8 +227,12 @@ def decide_rows(
     watch = Observation()
     if mode == "load":
         decided = stage(load_outcome(hashed).observe(watch, *stats.counters()), "decided", folder)
-        return decided, ledger.new_entries(decided, known, now_ms()), watch
+        require_unique_paths(decided)
+        memory = payload.relevant_memory(known, decided)
+        return decided, ledger.new_entries(decided, memory, now_ms()), watch
     placed = stage(place(hashed, root, dest_template, tz, existing, override), "placed", folder)
+    require_unique_paths(placed)
+    known = payload.relevant_memory(known, placed)
     decided = stage(content.decide(placed, known).observe(watch, *stats.counters()), "decided", folder)
     return decided, ledger.entries(decided.filter(F.col("outcome") == COPIED), now_ms()), watch
 
@@ -242,17 +243,20 @@ def require_unique_paths(rows: DataFrame) -> None:
         raise ValueError("the path column is not unique")
 
 
-def _maintain_cache(state: State, source: TableSource, hashed: DataFrame, use_cache: bool, cleanup: bool) -> None:
-    """One rewrite does the upsert and the removal of vanished paths."""
+def _maintain_cache(state: State, whole: TableSource, hashed: DataFrame, use_cache: bool, cleanup: bool) -> None:
+    """One rewrite does the upsert and the removal of vanished paths.
+
+    Rows of this run exist; only the other entries are held against the whole
+    source, which the scan filters do not narrow.
+    """
     if not use_cache and not cleanup:
         return
-    cache = state.cache()
-    if use_cache:
-        cache = cache_ops.upsert(cache, cache_ops.cache_entries(hashed))
+    listed = cache_ops.listed_entries(hashed) if use_cache else state.cache().limit(0)
+    others = cache_ops.delete(state.cache(), listed)
     if cleanup:
-        present = source.keyed().select("path_hash")
-        cache = cache_ops.keep_present(cache_ops.mark_present(cache, present, source.root))
-    state.write_cache(cache)
+        present = whole.keyed().select("path_hash")
+        others = cache_ops.keep_present(cache_ops.mark_present(others, present, whole.root))
+    state.write_cache(others.unionByName(listed))
 
 
 def write_by_day(accepted: DataFrame, mtime_ns: Column, folder: str) -> None:

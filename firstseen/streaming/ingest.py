@@ -58,7 +58,8 @@ def ingest_stream(
     operators as a batch run, without the hash cache: a stream delivers a row
     once. A batch is idempotent. It hides its own earlier attempt from the ledger
     it reads, overwrites its output folder, and writes the ledger last.
-    ``on_batch`` is called with the batch number and the counters of the batch.
+    Paths must be unique within a batch. While a query runs, no other writer may
+    use the same state. ``on_batch`` is called with the batch number and the counters of the batch.
     """
     check_mode(mode, dest_template)
     spark = stream.sparkSession
@@ -67,9 +68,9 @@ def ingest_stream(
     _claim_writer(state, writer, checkpoint)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        source = as_files(batch)
+        source = as_files(batch).selected(globs, ignore_hidden)
         folder = fresh_folder(batch.sparkSession, f"stream-{writer}-{batch_id}")
-        rows = hash_rows(source, None, globs, ignore_hidden, folder)
+        rows = hash_rows(source, None, folder)
         known = state.ledger(replaying=(writer, batch_id))
         decided, additions, counts = decide_rows(
             rows, known, source.root, mode, dest_template, tz, existing, override, folder

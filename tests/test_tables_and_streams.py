@@ -79,6 +79,30 @@ def outcomes_of(run):
     return run._classes
 
 
+@pytest.mark.parametrize("limit", [0, 1, 2, 10])
+def test_scan_filters_hold_for_every_payload_plan(spark, tmp_path, monkeypatch, limit):
+    """Rows that a glob leaves out must not come back with the payload."""
+    monkeypatch.setattr("firstseen.operators.payload.accepted_rows.__defaults__", (limit,))
+    monkeypatch.setattr("firstseen.operators.payload.relevant_memory.__defaults__", (limit,))
+    rows = [("/in/a.txt", "x", 1), ("/in/b.txt", "y", 1), ("/in/c.txt", "y", 1), ("/in/d.log", "z", 1), (None, "n", 1)]
+    source = as_files(spark.createDataFrame(rows, SCHEMA))
+    run = ingest_table(source, str(tmp_path / "s"), "/d", globs=["*.txt"])
+    assert sorted(r["name"] for r in run.accepted.collect()) == ["/in/a.txt", "/in/b.txt"]
+    assert run.stats.first()["total_files"] == 3 and len(held(spark, str(tmp_path / "s"))) == 2
+    again = ingest_table(source, str(tmp_path / "s"), "/d")
+    assert [r["name"] for r in again.accepted.collect()] == ["/in/d.log"]
+
+
+def test_cache_keeps_rows_that_globs_left_out(spark, tmp_path):
+    source = as_files(spark.createDataFrame([("/in/a.txt", "x", 1), ("/in/d.log", "z", 1)], SCHEMA))
+    ingest_table(source, str(tmp_path / "s"), "/d")
+    ingest_table(source, str(tmp_path / "s"), "/d", globs=["*.txt"])
+    assert State(spark, str(tmp_path / "s")).cache().count() == 2
+    fewer = as_files(spark.createDataFrame([("/in/a.txt", "x", 1)], SCHEMA))
+    ingest_table(fewer, str(tmp_path / "s"), "/d", use_cache=False)
+    assert State(spark, str(tmp_path / "s")).cache().count() == 1
+
+
 def test_repeated_paths_are_refused(spark, tmp_path):
     rows = [("/in/a", "x", 1), ("/in/a", "y", 1)]
     with pytest.raises(ValueError, match="unique"):
