@@ -1 +1,4 @@
-"""DataFrame -> DataFrame operators; none of them runs an action."""
+"""DataFrame -> DataFrame operators.
+
+They run no action except row counts of staged tables, which come from footers.
+"""

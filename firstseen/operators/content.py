@@ -1,10 +1,12 @@
 """Joins and groups on the content digest, the one key that can be hot.
 
 All empty files share a digest, and one boilerplate payload may make up a third
-of a source. So rows are never grouped by digest in one piece: a salt taken from
-the path splits each group into at most ``SALTS`` shares, shares are aggregated
-on the map side, facts are joined per share, and the rows meet those facts on
-(digest, salt). No task ever holds a whole hot group.
+of a source. So rows are never brought together by digest as they are. Facts per
+content come from an aggregation that combines on the map side. The rows then
+meet the facts of hot contents by broadcast, and only rows of other contents by
+a shuffle on the digest. A content is hot if it has more than one in
+``HOT_PARTS`` of all rows, so fewer than ``HOT_PARTS`` contents can be hot, and
+no shuffled group is larger than that share, whatever the data.
 """
 
 from __future__ import annotations
@@ -15,21 +17,10 @@ from pyspark.sql import functions as F
 from firstseen.functions import paths
 from firstseen.schemas import COPIED, FAILED, SKIPPED
 
+HOT_PARTS = 10_000
 SALTS = 1024
 
 
-def salt(salts: int = SALTS) -> Column:
-    return F.pmod(F.xxhash64("path_bytes"), F.lit(salts)).cast("int")
-
-
-def _salted(rows: DataFrame, salts: int) -> DataFrame:
-    return rows.withColumn("_salt", salt(salts))
-
-
-def _shares(salted: DataFrame) -> DataFrame:
-    return salted.select("content_hash", "_salt").distinct()
-
-
 def distinct_contents(rows: DataFrame) -> DataFrame:
     """One row per digest; partial aggregation runs before the shuffle.
 
@@ -40,37 +31,55 @@ def distinct_contents(rows: DataFrame) -> DataFrame:
     return counted.filter("_n > 0").select("content_hash")
 
 
-def unseen_content(rows: DataFrame, ledger: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Rows whose content the ledger does not hold."""
-    salted = _salted(rows, salts)
-    wanted = _shares(salted).join(ledger.select("content_hash"), "content_hash", "left_anti")
-    return salted.join(wanted, ["content_hash", "_salt"], "left_semi").drop("_salt")
+def _per_content(rows: DataFrame, *facts: Column) -> DataFrame:
+    """Facts and the row count ``_n`` of every content."""
+    return rows.filter(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.count("*").alias("_n"), *facts)
 
 
-def known_content(rows: DataFrame, ledger: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Rows whose content the ledger holds."""
-    salted = _salted(rows, salts)
-    wanted = _shares(salted).join(ledger.select("content_hash"), "content_hash", "left_semi")
-    return salted.join(wanted, ["content_hash", "_salt"], "left_semi").drop("_salt")
+def _with_facts(rows: DataFrame, facts: DataFrame, hot_parts: int) -> DataFrame:
+    """Left-join facts per content to all rows; ``rows`` is staged.
+
+    Its row count, read from file footers, sets the bound above which a content
+    is hot. Rows of hot contents and rows without a digest take their path as
+    the shuffle key, which no digest equals, so they spread evenly.
+    """
+    above = max(rows.count() // hot_parts, 1)
+    names = [c for c in facts.columns if c not in ("content_hash", "_n")]
+    hot = facts.filter(F.col("_n") > above).select("content_hash", F.struct(*names).alias("_hot"))
+    cold = facts.filter(F.col("_n") <= above).select(F.col("content_hash").alias("_key"), F.struct(*names).alias("_cold"))
+    spread = F.col("_hot").isNotNull() | F.col("content_hash").isNull()
+    joined = (
+        rows.join(F.broadcast(hot), "content_hash", "left")
+        .withColumn("_key", F.when(spread, F.col("path_bytes")).otherwise(F.col("content_hash")))
+        .join(cold, "_key", "left")
+    )
+    found = {name: F.coalesce(F.col(f"_hot.{name}"), F.col(f"_cold.{name}")) for name in names}
+    return joined.withColumns(found).drop("_key", "_hot", "_cold")
 
 
-def mark_known(rows: DataFrame, ledger: DataFrame, salts: int = SALTS) -> DataFrame:
+def mark_known(rows: DataFrame, ledger: DataFrame, hot_parts: int = HOT_PARTS) -> DataFrame:
     """Append ``known``; rows without a digest are not known."""
-    salted = _salted(rows, salts)
-    hits = _shares(salted).join(ledger.select("content_hash"), "content_hash", "left_semi")
-    return (
-        salted.join(hits.withColumn("_hit", F.lit(True)), ["content_hash", "_salt"], "left")
-        .withColumn("known", F.coalesce("_hit", F.lit(False)))
-        .drop("_salt", "_hit")
-    )
+    hits = _per_content(rows).join(ledger.select("content_hash"), "content_hash", "left_semi")
+    marked = _with_facts(rows, hits.withColumn("_hit", F.lit(True)), hot_parts)
+    return marked.withColumn("known", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def seen_lookup(rows: DataFrame, ledger: DataFrame, salts: int = SALTS) -> DataFrame:
+def unseen_content(rows: DataFrame, ledger: DataFrame, hot_parts: int = HOT_PARTS) -> DataFrame:
+    """Rows whose content the ledger does not hold."""
+    marked = mark_known(rows.filter(F.col("content_hash").isNotNull()), ledger, hot_parts)
+    return marked.filter(~F.col("known")).drop("known")
+
+
+def known_content(rows: DataFrame, ledger: DataFrame, hot_parts: int = HOT_PARTS) -> DataFrame:
+    """Rows whose content the ledger holds."""
+    return mark_known(rows, ledger, hot_parts).filter("known").drop("known")
+
+
+def seen_lookup(rows: DataFrame, ledger: DataFrame, hot_parts: int = HOT_PARTS) -> DataFrame:
     """Rows the ledger knows, with the time their content was first accepted."""
-    salted = _salted(rows, salts)
     first = ledger.groupBy("content_hash").agg(F.min("copied_time").alias("copied_time"))
-    facts = _shares(salted).join(first, "content_hash")
-    return salted.join(facts, ["content_hash", "_salt"]).drop("_salt")
+    found = _with_facts(rows, _per_content(rows).join(first, "content_hash"), hot_parts)
+    return found.filter(F.col("copied_time").isNotNull())
 
 
 def destination_conflicts(rows: DataFrame, existing: DataFrame) -> DataFrame:
@@ -90,12 +99,12 @@ def destination_conflicts(rows: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def decide(rows: DataFrame, ledger: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
+def decide(rows: DataFrame, ledger: DataFrame | None = None, hot_parts: int = HOT_PARTS) -> DataFrame:
     """Append ``outcome``: the first file that can be placed wins its content.
 
-    Reads ``path_bytes``, ``content_hash``, ``eligible``, and ``known`` when no
-    ledger is given. The result equals visiting the files one by one in
-    component-wise path order, where a failed file records nothing:
+    ``rows`` is staged and has ``path_bytes``, ``content_hash``, ``eligible``,
+    and ``known`` when no ledger is given. The result equals visiting the files
+    one by one in component-wise path order, where a failed file records nothing:
 
     * known content is skipped, whatever else is wrong with the row;
     * the first eligible file of a content is copied;
@@ -104,20 +113,13 @@ def decide(rows: DataFrame, ledger: DataFrame | None = None, salts: int = SALTS)
 
     Rows without a digest fail.
     """
-    salted = _salted(rows, salts)
     key = paths.order_key(F.col("path_bytes"))
     ok = F.coalesce(F.col("eligible"), F.lit(False))
-
-    # A share has at most one row per (digest, salt), so the window partition
-    # below never exceeds ``salts`` rows however hot the content is.
-    hashed = salted.filter(F.col("content_hash").isNotNull())
-    shares = hashed.groupBy("content_hash", "_salt").agg(F.min(F.when(ok, key)).alias("_first"))
-    facts = shares.withColumn("_first", F.min("_first").over(Window.partitionBy("content_hash")))
-    known = F.col("known") if ledger is None else F.coalesce(F.col("_hit"), F.lit(False))
+    facts = _per_content(rows, F.min(F.when(ok, key)).alias("_first"))
     if ledger is not None:
-        hits = distinct_contents(ledger).withColumn("_hit", F.lit(True))
-        facts = facts.join(hits, "content_hash", "left")
-
+        # Contents are unique on both sides and already partitioned by digest.
+        facts = facts.join(distinct_contents(ledger).withColumn("_hit", F.lit(True)), "content_hash", "left")
+    known = F.col("known") if ledger is None else F.coalesce(F.col("_hit"), F.lit(False))
     first = F.col("_first")
     outcome = (
         F.when(F.col("content_hash").isNull(), F.lit(FAILED))
@@ -126,23 +128,20 @@ def decide(rows: DataFrame, ledger: DataFrame | None = None, salts: int = SALTS)
         .when(key == first, F.lit(COPIED))
         .otherwise(F.lit(SKIPPED))
     )
-    return (
-        salted.join(facts, ["content_hash", "_salt"], "left")
-        .withColumn("outcome", outcome)
-        .drop("_salt", "_first", "_hit")
-    )
+    return _with_facts(rows, facts, hot_parts).withColumn("outcome", outcome).drop("_first", "_hit")
 
 
-def leading(rows: DataFrame, n: int, salts: int = SALTS) -> DataFrame:
+def leading(rows: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows of every content in path order.
 
-    Shares are cut to ``n`` rows before the content comes together, so one task
-    sees at most ``n`` rows per share.
+    A salt from the path splits every content into shares, which are cut to
+    ``n`` rows before the content comes together.
     """
     key = paths.order_key(F.col("path_bytes"))
+    salt = F.pmod(F.xxhash64("path_bytes"), F.lit(SALTS)).cast("int")
     share = Window.partitionBy("content_hash", "_salt").orderBy(key)
     whole = Window.partitionBy("content_hash").orderBy(key)
-    cut = _salted(rows, salts).withColumn("_rank", F.row_number().over(share)).filter(F.col("_rank") <= n)
+    cut = rows.withColumn("_salt", salt).withColumn("_rank", F.row_number().over(share)).filter(F.col("_rank") <= n)
     return cut.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= n).drop("_salt", "_rank")
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firstseen.operators import content
+from firstseen.workspace import stage
 
 
 def rows_frame(spark, rows):
@@ -72,8 +73,8 @@ def test_random_runs_with_carried_memory(spark, seed):
         rows = [(p, rng.choice(texts), rng.random() < 0.6, False) for p in paths]
         expected, after = one_by_one(rows, memory)
         frame, ledger = rows_frame(spark, rows), ledger_frame(spark, memory)
-        for salts in (1, 7):
-            assert outcomes(content.decide(frame, ledger, salts)) == expected
+        for hot_parts in (3, 50, 10_000):
+            assert outcomes(content.decide(frame, ledger, hot_parts)) == expected
         marked = content.mark_known(frame.drop("known"), ledger)
         assert outcomes(content.decide(marked)) == expected
         memory = after
@@ -85,14 +86,14 @@ def test_content_joins(spark):
     ledger = ledger_frame(spark, ["hot", "t1", "absent", "hot"])
     known = {r[0] for r in rows if r[1] in ("hot", "t1")}
     names = lambda df: [r["path"] for r in df.collect()]
-    for salts in (1, 5, 1024):
-        got = names(content.known_content(frame, ledger, salts))
+    for hot_parts in (1, 4, 10_000):
+        got = names(content.known_content(frame, ledger, hot_parts))
         assert len(got) == len(known) and set(got) == known
-        got = names(content.unseen_content(frame, ledger, salts))
+        got = names(content.unseen_content(frame, ledger, hot_parts))
         assert len(got) == 90 - len(known) and not set(got) & known
-        marked = {r["path"]: r["known"] for r in content.mark_known(frame, ledger, salts).collect()}
+        marked = {r["path"]: r["known"] for r in content.mark_known(frame, ledger, hot_parts).collect()}
         assert len(marked) == 91 and {p for p, k in marked.items() if k} == known
-        found = content.seen_lookup(frame, ledger, salts).collect()
+        found = content.seen_lookup(frame, ledger, hot_parts).collect()
         assert {r["path"] for r in found} == known and len(found) == len(known) and {r["copied_time"] for r in found} == {5}
 
 
@@ -105,23 +106,36 @@ def test_dedup_and_groups(spark):
     assert [(g["n_files"], g["n_bytes"], g["first_path"]) for g in groups] == [(2, 2, "a/b")]
 
 
-def test_hot_content_is_spread_and_partially_aggregated(spark):
-    """A single content: no task of the decision may hold all of its rows."""
-    frame = spark.range(20_000).select(
-        F.concat(F.lit("/s/"), F.col("id").cast("string")).alias("path"),
-        F.concat(F.lit("/s/"), F.col("id").cast("string")).cast("binary").alias("path_bytes"),
-        F.concat(F.lit("hot"), (F.col("id") % 1).cast("string")).cast("binary").alias("content_hash"), F.lit(True).alias("eligible"), F.lit(False).alias("known"),
+def test_hot_content_is_spread(spark):
+    """One content has a third of the rows: no task may hold all of it."""
+    path = F.concat(F.lit("/s/"), F.col("id").cast("string"))
+    text = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
+    frame = spark.range(30_000).select(
+        path.alias("path"), path.cast("binary").alias("path_bytes"), text.cast("binary").alias("content_hash"),
+        F.lit(True).alias("eligible"), F.lit(False).alias("known"),
     )
+    frame = stage(frame, "hot")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         decided = content.decide(frame).cache()
-        per_task = decided.groupBy(F.spark_partition_id()).count().collect()
-        assert max(r["count"] for r in per_task) < 20_000 / 4
-        assert decided.filter("outcome = 'copied'").count() == 1
+        hot = decided.filter(F.col("content_hash") == F.lit("hot").cast("binary"))
+        per_task = [r["count"] for r in hot.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per_task) == 10_000 and max(per_task) < 10_000 / 4
+        assert hot.filter("outcome = 'copied'").count() == 1
+        assert decided.filter("outcome = 'copied'").count() == 20_001
         decided.unpersist()
         plan = content.decide(frame)._jdf.queryExecution().executedPlan().toString()
-        assert "partial_min" in plan and "hashpartitioning(content_hash" in plan
+        assert "partial_min" in plan and plan.count("BroadcastHashJoin") == 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_leading(spark):
+    rows = [(f"{i:03}", "hot" if i % 2 else f"t{i % 6}", True, False) for i in range(100)]
+    got = sorted(r["path"] for r in content.leading(rows_frame(spark, rows), 3).collect())
+    expected = []
+    for text in {r[1] for r in rows}:
+        expected += sorted(r[0] for r in rows if r[1] == text)[:3]
+    assert got == sorted(expected)
