@@ -23,8 +23,8 @@ ROOT = "/source"
 TEMPLATE = "/dest/{year_utc}/{month_utc}/{day_utc}"
 # Acceptance time of everything the ledger holds before the run, and the run's.
 EARLIER_MS, NOW_MS = 1_600_000_000_000, 1_700_000_000_000
-# Fixed values of the binding: start of the file times, step, and span (400 days).
-T0, STEP, SPAN = 1_700_000_000, 43_201, 34_560_000
+# Fixed values of the binding: start of the file times, step, and span (150 days).
+T0, STEP, SPAN = 1_700_000_000, 43_201, 12_960_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
