@@ -57,22 +57,26 @@ def _with_facts(rows: DataFrame, facts: DataFrame, hot_parts: int) -> DataFrame:
     return joined.withColumns(found).drop("_key", "_hot", "_cold")
 
 
+def _with_hit(rows: DataFrame, ledger: DataFrame, hot_parts: int) -> DataFrame:
+    hits = _per_content(rows).join(ledger.select("content_hash"), "content_hash", "left_semi")
+    return _with_facts(rows, hits.withColumn("_hit", F.lit(True)), hot_parts)
+
+
 def mark_known(rows: DataFrame, ledger: DataFrame, hot_parts: int = HOT_PARTS) -> DataFrame:
     """Append ``known``; rows without a digest are not known."""
-    hits = _per_content(rows).join(ledger.select("content_hash"), "content_hash", "left_semi")
-    marked = _with_facts(rows, hits.withColumn("_hit", F.lit(True)), hot_parts)
+    marked = _with_hit(rows, ledger, hot_parts)
     return marked.withColumn("known", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def unseen_content(rows: DataFrame, ledger: DataFrame, hot_parts: int = HOT_PARTS) -> DataFrame:
-    """Rows whose content the ledger does not hold."""
-    marked = mark_known(rows.filter(F.col("content_hash").isNotNull()), ledger, hot_parts)
-    return marked.filter(~F.col("known")).drop("known")
+    """Rows whose content the ledger does not hold; rows without a digest are none."""
+    marked = _with_hit(rows, ledger, hot_parts)
+    return marked.filter(F.col("_hit").isNull() & F.col("content_hash").isNotNull()).drop("_hit")
 
 
 def known_content(rows: DataFrame, ledger: DataFrame, hot_parts: int = HOT_PARTS) -> DataFrame:
     """Rows whose content the ledger holds."""
-    return mark_known(rows, ledger, hot_parts).filter("known").drop("known")
+    return _with_hit(rows, ledger, hot_parts).filter(F.col("_hit").isNotNull()).drop("_hit")
 
 
 def seen_lookup(rows: DataFrame, ledger: DataFrame, hot_parts: int = HOT_PARTS) -> DataFrame:

@@ -82,13 +82,14 @@ def test_random_runs_with_carried_memory(spark, seed):
 
 def test_content_joins(spark):
     rows = [(f"p{i:03}", "hot" if i % 3 == 0 else f"t{i}", True, False) for i in range(90)] + [("n", None, True, False)]
-    frame = rows_frame(spark, rows).drop("known")
+    frame = rows_frame(spark, rows)  # its own ``known`` column must survive
     ledger = ledger_frame(spark, ["hot", "t1", "absent", "hot"])
     known = {r[0] for r in rows if r[1] in ("hot", "t1")}
     names = lambda df: [r["path"] for r in df.collect()]
     for hot_parts in (1, 4, 10_000):
         got = names(content.known_content(frame, ledger, hot_parts))
         assert len(got) == len(known) and set(got) == known
+        assert content.known_content(frame, ledger, hot_parts).columns.count("known") == 1
         got = names(content.unseen_content(frame, ledger, hot_parts))
         assert len(got) == 90 - len(known) and not set(got) & known
         marked = {r["path"]: r["known"] for r in content.mark_known(frame, ledger, hot_parts).collect()}
