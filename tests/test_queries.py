@@ -13,7 +13,7 @@ def connection():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, connection, name):
     assert spark_result(entry.queries()[name](spark, SF)) == duck_result(connection, entry.oracle_sql()[name])
 
