@@ -23,8 +23,12 @@ from pyspark.sql import functions as F
 from firstseen.llm.common import SHARE, located, spread_join, stored, with_facts
 from firstseen.workspace import fresh_folder, stage
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A store is closed when its batch is committed: its files are in the checkpoint
+    # folder, and an open one would hold preallocated space on the executor.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -47,8 +51,9 @@ def run_state(spark: SparkSession, arrivals: str, schema, checkpoint: str, files
     seen = stream.groupBy("digest").agg(
         F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")
     )
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in _STATE_STORE}
+    for key, value in _STATE_STORE.items():
+        spark.conf.set(key, value)
     try:
         query = (
             seen.writeStream.outputMode("update")
@@ -59,10 +64,8 @@ def run_state(spark: SparkSession, arrivals: str, schema, checkpoint: str, files
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     state = spark.read.format("statestore").load(checkpoint)
     keep, size = state.schema["value"].dataType.names
     return state.select(
