@@ -62,11 +62,12 @@ def with_facts(docs: DataFrame, facts: DataFrame, how: str) -> DataFrame:
     """All columns of ``docs`` (from ``stored``) joined to ``facts`` by place.
 
     ``facts`` has (file, row) and its own columns under names starting with two
-    underscores, so that they cannot clash with the rows' own.
+    underscores, so that they cannot clash with the rows' own. Places are unique
+    and spread evenly; whole rows are shuffled once and not sorted.
     """
     place = docs.metadataColumn("_metadata")
     rows = docs.select("*", place["file_path"].alias("__file"), place["row_index"].alias("__row"))
-    facts = facts.withColumnsRenamed({"file": "__file", "row": "__row"})
+    facts = facts.withColumnsRenamed({"file": "__file", "row": "__row"}).hint("shuffle_hash")
     return rows.join(facts, ["__file", "__row"], how).drop("__file", "__row")
 
 

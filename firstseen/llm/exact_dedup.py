@@ -86,7 +86,7 @@ def shared_digests(docs: DataFrame, state: DataFrame, total: int, digest=sha256)
     hot, cold = hits.filter(heavy).select("digest"), hits.filter(~heavy).select("digest")
     # Fewer than SHARE digests are heavy; their rows are not dealt out by digest.
     checked = rows.join(F.broadcast(hot), "digest", "left_semi").unionByName(
-        rows.join(F.broadcast(hot), "digest", "left_anti").join(cold, "digest", "left_semi")
+        rows.join(F.broadcast(hot), "digest", "left_anti").join(cold.hint("shuffle_hash"), "digest", "left_semi")
     )
     texts = checked.groupBy("digest", "text").agg(F.lit(1).alias("one"))
     return texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n_texts")).filter("n_texts > 1").select("digest")
@@ -125,5 +125,4 @@ def _by_text(docs: DataFrame, shared: DataFrame, digest) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class of equal texts."""
     docs = stored(docs)
-    dropped = decisions(docs).filter("not kept").select("file", "row")
-    return with_facts(docs, dropped, "left_anti")
+    return with_facts(docs, decisions(docs).filter("kept").select("file", "row"), "left_semi")
