@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firstseen.llm import exact_dedup, source_mix
+from firstseen.llm import exact_dedup, simhash, source_mix
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,5 +66,14 @@ FROM cut GROUP BY doc_id, key, source, size, source_size, target
 """
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_source_mix": op2_source_mix}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_source_mix": op2_source_mix,
+    "op8_simhash": op8_simhash,
+}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_source_mix": OP2_SQL}

@@ -1,0 +1,99 @@
+"""SimHash against a one-by-one model: all pairs, no join."""
+
+import random
+
+import xxhash
+from pyspark.sql import functions as F
+
+from firstseen.llm import queries, simhash
+from firstseen.llm.common import components
+
+
+def model_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def model_components(nodes, near):
+    parent = {n: n for n in nodes}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            if near(a, b):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {n: root(n) for n in nodes}
+
+
+def model(rows):
+    prints = {doc_id: model_fingerprint(text) for doc_id, text in rows}
+    first = {}
+    for doc_id, print_ in sorted(prints.items()):
+        first.setdefault(print_, doc_id)
+    found = model_components(sorted(first), lambda a, b: (a ^ b).bit_count() <= 3)
+    smallest = {}
+    for print_, r in found.items():
+        smallest[r] = min(smallest.get(r, first[print_]), first[print_])
+    return sorted((d, f"{p:016x}", smallest[found[p]]) for d, p in prints.items())
+
+
+def test_whole_table(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in queries.read(spark, folder, "documents").select("doc_id", "text").collect()]
+    found = queries.op8_simhash(spark, folder).collect()
+    assert sorted(map(tuple, found)) == model(rows)
+
+
+def test_nulls_empty_long_and_clashing_columns(spark):
+    rng = random.Random(3)
+    long = " ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(200_000))
+    rows = [(1, "a b"), (2, None), (3, ""), (4, " \t"), (5, "A  b"), (6, long), (7, long + " x"), (8, "one"), (9, "é É é")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, fingerprint string, file int")
+    found = simhash.near_duplicates(docs)
+    assert sorted((r.doc_id, f"{r.fingerprint % 2**64:016x}", r.component_id) for r in found.collect()) == model(rows)
+    kept = simhash.near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in model(rows)})
+
+
+def test_null_ids_and_empty_table(spark):
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([(None, "p q r s"), (None, "p q r s"), (4, "p q r s"), (None, "zz yy")], schema)
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(docs).collect()) == [(0, 0), (0, 4), (0, 4), (4, 4)]
+    assert sorted((r.doc_id or 0) for r in simhash.near_dedup(docs).collect()) == [0, 4]
+    assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_random_fingerprints_in_crowded_keys(spark):
+    rng = random.Random(5)
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    prints = {c ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) for c in centres for _ in range(60)}
+    prints = sorted({p % 2**64 for p in prints})
+    signed = [(p - 2**64 if p >> 63 else p,) for p in prints]
+    classes = spark.createDataFrame(signed, "fingerprint long")
+    want = model_components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
+    groups = {}
+    for p, r in want.items():
+        groups.setdefault(r, set()).add(p)
+    for key_rows in (8, 8192):
+        found = components(simhash.links(classes, len(prints), key_rows)).collect()
+        got = {}
+        for r in found:
+            got.setdefault(r.root % 2**64, set()).add(r.node % 2**64)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+def test_components_of_chains_and_hubs(spark):
+    chain = [(i, i + 1) for i in range(300)]
+    hub = [(1000, 1001 + i) for i in range(500)] + [(5, 5)]
+    found = components(spark.createDataFrame(chain + hub, "a long, b long"))
+    sizes = sorted(r["count"] for r in found.groupBy("root").count().collect())
+    assert sizes == [301, 501]
+    assert found.select(F.countDistinct("node")).first()[0] == 802
