@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firstseen.llm import exact_dedup, simhash, source_mix
+from firstseen.llm import bpe, exact_dedup, language, secret_scan, simhash, source_mix
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = exact_dedup.decisions(read(spark, sf_dir, "documents"))
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -66,14 +72,35 @@ FROM cut GROUP BY doc_id, key, source, size, source_size, target
 """
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language.fit(docs.filter(~held_out))
+    return language.predict(docs, model, F.col("doc_id"), held_out.alias("held_out"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    path = tokenizer or public_tokenizer()
+    encoded = bpe.encode(read(spark, sf_dir, "documents"), path, F.col("doc_id"))
+    decoded = bpe.decode(encoded, path, F.col("doc_id"), F.col("ids"))
+    return decoded.select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
-    "op1_exact_dedup": op1_exact_dedup,
-    "op2_source_mix": op2_source_mix,
-    "op8_simhash": op8_simhash,
+    query.__name__: query
+    for query in (op1_exact_dedup, op2_source_mix, op4_secret_scan, op6_language_id, op8_simhash, op10_bpe)
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_source_mix": OP2_SQL}

@@ -30,7 +30,6 @@ from firstseen.workspace import stage
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5  # of the size of all documents
 REPEATS = 2  # passes over a source at most
-SLICE_ROWS = 20_000
 # Words: fixed pattern of the contract.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,6 +43,11 @@ def shuffle_key(doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat(spell(doc_id), F.lit("/"), F.md5(spell(text))))
 
 
+def _slices(rows: int) -> int:
+    """As many slices as a slice has rows: neither level of a running sum grows faster."""
+    return max(1, math.isqrt(rows))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
     """(source, place, source_size, target) from (source, source_size).
 
@@ -86,11 +90,11 @@ def finish_times(docs: DataFrame, **options) -> DataFrame:
         located(docs, F.col("doc_id"), F.col("source").cast("string").alias("source"), size_of(text).alias("size"), shuffle_key(F.col("doc_id"), text).alias("key")),
         "mix-rows",
     )
-    slices = max(1, math.ceil(rows.count() / SLICE_ROWS))
+    slices = _slices(rows.count())
     part = (F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * slices / 2**32).cast("int")
     sums = stage(rows.groupBy("source", part.alias("slice")).agg(F.sum("size").alias("words")), "mix-slices")
     wanted = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), **options)
-    # Slice totals: one row per source and slice, 1 / SLICE_ROWS of the rows.
+    # Slice totals: one row per source and slice.
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("source", "slice", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
     within = Window.partitionBy("source", "slice").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -124,7 +128,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int =
     places = [_position(copy) for copy in range(repeats)]
     copies = timed.select("size", F.explode(F.array(*places)).alias("at")).filter("at.finish is not null")
     # Ranges of finish time; words are spread evenly over time 0 to 1 by construction.
-    ranges = max(1, math.ceil(count / SLICE_ROWS))
+    ranges = _slices(count)
     copies = copies.withColumn("range", F.floor(F.col("at.finish") * ranges))
     sums = copies.groupBy("range").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.orderBy("range"))
