@@ -15,8 +15,8 @@ shards of token ids have; ``decode`` turns them back.
 
 Defined results. Null text counts as empty: no ids. The special token's string in
 a text becomes its id, as in the tokenizer's own encoding, and is decoded as that
-string. Whole texts are encoded; a task keeps at most CACHED pieces, and one very
-long piece needs memory in proportion to its length. Repeated rows get equal ids.
+string. Whole texts are encoded, ROWS at a time; a task keeps at most CACHED chunks
+and pieces beside, and a very long text needs memory in proportion to its length. Repeated rows get equal ids.
 Only the named columns are read. An empty table gives an empty result. Null ids
 decode to an empty text.
 """
@@ -40,7 +40,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED = 600_000
+CACHED = 400_000
+ROWS = 1_000  # texts that are cut and sorted together
 _NEVER = 1 << 60
 
 
@@ -145,16 +146,25 @@ class Vocabulary:
 
 
 class Encoder:
+    """Encodes many texts with one cache.
+
+    Text is first split before single spaces, where a piece always begins; the
+    pattern then runs once per distinct chunk. A chunk with white space at an edge
+    depends on its neighbours, so a text with one is cut by the pattern as a whole.
+    """
+
     def __init__(self, vocabulary: Vocabulary, cached: int = CACHED):
         self.vocabulary = vocabulary
         self.cached = cached
+        self.chunks: dict[str, bytes | None] = {}  # without their space; None: cut the whole text
         self.pieces: dict[str, bytes] = {}
         self.cut = regex.compile(PATTERN).findall
-        special = sorted(self.vocabulary.special, key=len, reverse=True)
+        self.edged = regex.compile(r"^$|^\s|\s$").search
+        special = sorted(vocabulary.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else lambda text: [text]
 
     def _learn(self, wanted: set[str]) -> None:
-        """Make sure that all of ``wanted`` are cached."""
+        """Make sure that the encodings of all these pieces are cached."""
         fresh = {piece for piece in wanted if piece not in self.pieces}
         if len(self.pieces) + len(fresh) > self.cached:
             self.pieces.clear()
@@ -163,48 +173,74 @@ class Encoder:
         for (_, piece), ids in zip(spelled, self.vocabulary.encode_sorted([b for b, _ in spelled])):
             self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
 
+    def _learn_chunks(self, parts: list[str]) -> None:
+        fresh: set[str] = set()
+        for part in parts:
+            fresh.update([chunk for chunk in part.split(" ")[1:] if chunk not in self.chunks])
+        if len(self.chunks) + len(fresh) > self.cached:
+            self.chunks.clear()
+            fresh = {chunk for part in parts for chunk in part.split(" ")[1:]}
+        cut = {chunk: None if self.edged(chunk) else self.cut(" " + chunk) for chunk in fresh}
+        self._learn({piece for pieces in cut.values() if pieces for piece in pieces})
+        get = self.pieces.__getitem__
+        for chunk, pieces in cut.items():
+            self.chunks[chunk] = None if pieces is None else b"".join(map(get, pieces))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         special = self.vocabulary.special
-        group: list[list[list[str] | bytes]] = []
-        out: list[bytes] = []
-        fresh: set[str] = set()
+        split = [[part for part in self.split(text or "") if part] for text in texts]
+        plain = [part for parts in split for part in parts if part not in special]
+        self._learn_chunks(plain)
+        whole: dict[str, list[str]] = {}
+        firsts: dict[str, list[str]] = {}
+        known = self.chunks
+        for part in plain:
+            first, *rest = part.split(" ")
+            if None in map(known.__getitem__, rest) or rest and self.edged(first):
+                whole[part] = self.cut(part)
+            else:
+                firsts[first] = self.cut(first)
+        self._learn({piece for pieces in (*whole.values(), *firsts.values()) for piece in pieces})
+        get, chunk_of = self.pieces.__getitem__, known.__getitem__
 
-        def finish() -> None:
-            self._learn(fresh)
-            get = self.pieces.__getitem__
-            out.extend(b"".join(part if isinstance(part, bytes) else b"".join(map(get, part)) for part in parts) for parts in group)
-            group.clear()
-            fresh.clear()
-
-        for text in texts:
-            parts: list[list[str] | bytes] = []
-            for part in self.split(text or ""):
-                if part in special:
-                    parts.append(struct.pack("<I", special[part]))
-                elif part:
-                    cut = self.cut(part)
-                    parts.append(cut)
-                    fresh.update(cut)
-            group.append(parts)
-            if len(fresh) > self.cached // 2:
-                finish()
-        finish()
-        return out
+        def ids(part: str) -> bytes:
+            if part in special:
+                return struct.pack("<I", special[part])
+            if part in whole:
+                return b"".join(map(get, whole[part]))
+            first, *rest = part.split(" ")
+            return b"".join(map(get, firsts[first])) + b"".join(map(chunk_of, rest))
+
+        return [b"".join(map(ids, parts)) for parts in split]
 
     def decode(self, ids: bytes | None) -> str:
         tokens = struct.unpack(f"<{len(ids) // 4}I", ids) if ids else ()
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, tokens)).decode("utf-8", "replace")
 
 
-def _apply(vocabulary, work: str, source: str, target: str, kind: pa.DataType):
+def _encoded(vocabulary, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # no cycles here; tracing millions of pieces would take a third of the time
         encoder = Encoder(vocabulary.value)
         for batch in batches:
-            values = batch.column(source).to_pylist()
-            found = encoder.encode(values) if work == "encode" else [encoder.decode(value) for value in values]
-            names = [name for name in batch.schema.names if name != source]
-            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), pa.array(found, kind)], [*names, target])
+            for begin in range(0, batch.num_rows, ROWS):
+                part = batch.slice(begin, ROWS)
+                found = encoder.encode(part.column("__text").to_pylist())
+                arrays, names = list(part.columns[:-1]), part.schema.names[:-1]
+                arrays.append(pa.array(found, pa.binary()))
+                if back:
+                    arrays.append(pa.array([encoder.decode(ids) for ids in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, [*names, "ids", "decoded"][: len(arrays)])
+
+    return run
+
+
+def _decoded(vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(vocabulary.value)
+        for batch in batches:
+            found = [encoder.decode(ids) for ids in batch.column("__ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], [*batch.schema.names[:-1], "text"])
 
     return run
 
@@ -215,15 +251,19 @@ def _tokenizer(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(Vocabulary(file.read()))
 
 
-def encode(docs: DataFrame, path: str, *keep: Column) -> DataFrame:
-    """``keep`` columns of ``docs`` and ``ids``, the encoding of ``text``."""
+def encode(docs: DataFrame, path: str, *keep: Column, back: bool = False) -> DataFrame:
+    """``keep`` columns of ``docs`` and ``ids``, the encoding of ``text``.
+
+    ``back`` adds ``decoded``, the text decoded again from the ids.
+    """
     rows = docs.select(*keep, F.col("text").alias("__text"))
-    out = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.BinaryType())])
-    return rows.mapInArrow(_apply(_tokenizer(docs, path), "encode", "__text", "ids", pa.binary()), out)
+    fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    out = T.StructType([*rows.schema.fields[:-1], *fields[: 1 + back]])
+    return rows.mapInArrow(_encoded(_tokenizer(docs, path), back), out)
 
 
 def decode(encoded: DataFrame, path: str, *keep: Column) -> DataFrame:
     """``keep`` columns of ``encoded`` and ``text``, decoded from ``ids``."""
     rows = encoded.select(*keep, F.col("ids").alias("__ids"))
     out = T.StructType([*rows.schema.fields[:-1], T.StructField("text", T.StringType())])
-    return rows.mapInArrow(_apply(_tokenizer(encoded, path), "decode", "__ids", "text", pa.string()), out)
+    return rows.mapInArrow(_decoded(_tokenizer(encoded, path)), out)

@@ -40,7 +40,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WORDS = 30_000
 GRAMS = 20_000
 LONGEST = 4
-FLUSH = 200_000
+FLUSH = 300_000
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 _CACHED = 200_000
@@ -56,20 +56,36 @@ def grams_of(word: str, length: int) -> list[str]:
     return [padded[i : i + length] for i in range(len(padded) - length + 1)]
 
 
+def gram_counts(words: Counter, longest: int = LONGEST) -> dict[int, Counter]:
+    """Counts of the words' n-grams by length. Shorter ones are the heads of longer
+    ones, plus one at each word's end, so only the longest are cut out of words."""
+    counts: dict[int, Counter] = {}
+    above: Counter = Counter()
+    for length in range(longest, 0, -1):
+        grams: Counter = Counter()
+        if length == longest:
+            for word, n in words.items():
+                padded = f"<{word}>"
+                for i in range(len(padded) - length + 1):
+                    grams[padded[i : i + length]] += n
+        else:
+            for gram, n in above.items():
+                grams[gram[:length]] += n
+            for word, n in words.items():
+                if len(word) + 2 >= length:
+                    grams[f"<{word}>"[-length:]] += n
+        counts[length] = above = grams
+    counts[1] = Counter({gram: n for gram, n in counts[1].items() if gram not in "<>"})
+    return counts
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, length, gram, n) of a task's texts; length 0 are words."""
     counts: dict[str, Counter] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, words in counts.items():
-            for length in range(LONGEST + 1):
-                if length:
-                    grams: Counter = Counter()
-                    for word, n in words.items():
-                        for gram in grams_of(word, length):
-                            grams[gram] += n
-                else:
-                    grams = words
+            for length, grams in [(0, words), *gram_counts(words).items()]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(grams)), pa.array([length] * len(grams), pa.int32()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())],
                     ["lang", "length", "gram", "n"],
@@ -89,24 +105,38 @@ class Model:
 
     def __init__(self, langs: list[str], totals: dict[int, np.ndarray], rows: dict[int, dict[str, np.ndarray]]):
         self.langs = langs
-        self.known: list[dict[str, np.ndarray]] = []
+        self.known: list[dict[str, int]] = []
+        scores = [np.zeros((1, len(langs)))]  # row 0: a word with nothing known
+        at = 1
         for length in range(LONGEST + 1):
             table = rows.get(length, {})
             below = totals.get(length, np.zeros(len(langs))) + SMOOTHING * (len(table) + 1)
-            self.known.append({gram: np.log((n + SMOOTHING) / below) for gram, n in table.items()})
+            self.known.append({gram: at + i for i, gram in enumerate(table)})
+            at += len(table)
+            if table:
+                scores.append(np.log((np.array(list(table.values())) + SMOOTHING) / below))
+        self.scores = np.concatenate(scores)
         spoken = totals.get(0, np.zeros(len(langs)))
         self.prior = np.log((spoken + 1) / (spoken + 1).sum())
 
-    def word(self, word: str) -> np.ndarray:
-        found = self.known[0].get(word)
-        if found is not None:
-            return found
+    def places(self, word: str) -> list[int]:
+        """Rows whose mean is the word's score: its own, or its longest known n-grams'."""
+        own = self.known[0].get(word)
+        if own is not None:
+            return [own]
         for length in range(LONGEST, 0, -1):
-            table = self.known[length]
-            scores = [table[gram] for gram in grams_of(word, length) if gram in table]
-            if scores:
-                return sum(scores) / len(scores)
-        return np.zeros(len(self.langs))
+            get = self.known[length].get
+            found = [at for gram in grams_of(word, length) if (at := get(gram)) is not None]
+            if found:
+                return found
+        return [0]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores of each of the words."""
+        places = list(map(self.places, words))
+        sizes = np.fromiter(map(len, places), np.int64, len(places))
+        flat = np.fromiter((at for each in places for at in each), np.int64, int(sizes.sum()))
+        return np.add.reduceat(self.scores[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
 
 
 def fit(docs: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model:
@@ -153,7 +183,7 @@ def _predictor(model):
                     cache.update((word, begin + i) for i, word in enumerate(fresh))
                     if len(cache) > len(table):
                         table = np.concatenate([table[:begin], np.empty((max(len(fresh), begin), len(m.langs)))])
-                    table[begin : begin + len(fresh)] = [m.word(word) for word in fresh]
+                    table[begin : begin + len(fresh)] = m.words(fresh)
                 rows = np.fromiter((cache[word] for word in counts), np.int64, len(counts))
                 total = np.fromiter(counts.values(), float, len(counts)) @ table[rows] + m.prior
                 best = int(np.argmax(total))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firstseen.llm import bpe, exact_dedup, language, secret_scan, simhash, source_mix
+from firstseen.llm import bpe, exact_dedup, language, quality, secret_scan, simhash, source_mix
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,11 +77,30 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+THRESHOLD = 0.3
+
+
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Model:
+    """Learned from the labels of documents that are not held out."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.fit(docs, labels.filter(~held_out(5, 0)))
+
+
+def held_out(parts: int, part: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_model(spark, sf_dir, docs), F.col("doc_id"), held_out(5, 0).alias("held_out"))
+    score = F.col("__score")
+    return scored.select("doc_id", "held_out", score.alias("score"), F.when(score >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    model = language.fit(docs.filter(~held_out))
-    return language.predict(docs, model, F.col("doc_id"), held_out.alias("held_out"))
+    model = language.fit(docs.filter(~held_out(4, 2)))
+    return language.predict(docs, model, F.col("doc_id"), held_out(4, 2).alias("held_out"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,16 +110,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or public_tokenizer()
-    encoded = bpe.encode(read(spark, sf_dir, "documents"), path, F.col("doc_id"))
-    decoded = bpe.decode(encoded, path, F.col("doc_id"), F.col("ids"))
-    return decoded.select(
+    encoded = bpe.encode(read(spark, sf_dir, "documents"), path, F.col("doc_id"), back=True)
+    return encoded.select(
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_exact_dedup, op2_source_mix, op4_secret_scan, op6_language_id, op8_simhash, op10_bpe)
+    for query in (op1_exact_dedup, op2_source_mix, op4_secret_scan, op5_quality, op6_language_id, op8_simhash, op10_bpe)
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_source_mix": OP2_SQL}
