@@ -40,7 +40,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED = 400_000
+CACHED = 700_000
 ROWS = 1_000  # texts that are cut and sorted together
 _NEVER = 1 << 60
 
@@ -173,55 +173,57 @@ class Encoder:
         for (_, piece), ids in zip(spelled, self.vocabulary.encode_sorted([b for b, _ in spelled])):
             self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn_chunks(self, parts: list[str]) -> None:
-        fresh: set[str] = set()
-        for part in parts:
-            fresh.update([chunk for chunk in part.split(" ")[1:] if chunk not in self.chunks])
+    def _learn_chunks(self, wanted: set[str]) -> None:
+        fresh = [chunk for chunk in wanted if chunk not in self.chunks]
         if len(self.chunks) + len(fresh) > self.cached:
             self.chunks.clear()
-            fresh = {chunk for part in parts for chunk in part.split(" ")[1:]}
+            fresh = list(wanted)
         cut = {chunk: None if self.edged(chunk) else self.cut(" " + chunk) for chunk in fresh}
         self._learn({piece for pieces in cut.values() if pieces for piece in pieces})
         get = self.pieces.__getitem__
         for chunk, pieces in cut.items():
             self.chunks[chunk] = None if pieces is None else b"".join(map(get, pieces))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        special = self.vocabulary.special
-        split = [[part for part in self.split(text or "") if part] for text in texts]
-        plain = [part for parts in split for part in parts if part not in special]
-        self._learn_chunks(plain)
-        whole: dict[str, list[str]] = {}
-        firsts: dict[str, list[str]] = {}
-        known = self.chunks
-        for part in plain:
-            first, *rest = part.split(" ")
-            if None in map(known.__getitem__, rest) or rest and self.edged(first):
-                whole[part] = self.cut(part)
-            else:
-                firsts[first] = self.cut(first)
-        self._learn({piece for pieces in (*whole.values(), *firsts.values()) for piece in pieces})
-        get, chunk_of = self.pieces.__getitem__, known.__getitem__
+    def _whole(self, text: str) -> bytes:
+        pieces = self.cut(text)
+        self._learn(set(pieces))
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
-        def ids(part: str) -> bytes:
-            if part in special:
-                return struct.pack("<I", special[part])
-            if part in whole:
-                return b"".join(map(get, whole[part]))
-            first, *rest = part.split(" ")
-            return b"".join(map(get, firsts[first])) + b"".join(map(chunk_of, rest))
+    def _part(self, first: str, rest: list[str]) -> bytes:
+        """Ids of the text whose chunks these are; those of ``rest`` are cached."""
+        if not (rest and self.edged(first)):
+            try:
+                return self._whole(first) + b"".join(map(self.chunks.__getitem__, rest))
+            except TypeError:  # a None among them
+                pass
+        return self._whole(" ".join([first, *rest]))
 
-        return [b"".join(map(ids, parts)) for parts in split]
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        special = self.vocabulary.special
+        split: list[list] = []
+        wanted: set[str] = set()
+        for text in texts:
+            parts: list = []
+            for part in self.split(text or ""):
+                if part in special:
+                    parts.append(struct.pack("<I", special[part]))
+                elif part:
+                    first, *rest = part.split(" ")
+                    wanted.update(rest)
+                    parts.append((first, rest))
+            split.append(parts)
+        self._learn_chunks(wanted)
+        return [b"".join([part if isinstance(part, bytes) else self._part(*part) for part in parts]) for parts in split]
 
     def decode(self, ids: bytes | None) -> str:
         tokens = struct.unpack(f"<{len(ids) // 4}I", ids) if ids else ()
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, tokens)).decode("utf-8", "replace")
 
 
-def _encoded(vocabulary, back: bool):
+def _encoded(shared, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # no cycles here; tracing millions of pieces would take a third of the time
-        encoder = Encoder(vocabulary.value)
+        encoder = shared.value  # with what earlier tasks of this worker have cached
         for batch in batches:
             for begin in range(0, batch.num_rows, ROWS):
                 part = batch.slice(begin, ROWS)
@@ -235,9 +237,9 @@ def _encoded(vocabulary, back: bool):
     return run
 
 
-def _decoded(vocabulary):
+def _decoded(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder = shared.value
         for batch in batches:
             found = [encoder.decode(ids) for ids in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], [*batch.schema.names[:-1], "text"])
@@ -246,9 +248,9 @@ def _decoded(vocabulary):
 
 
 def _tokenizer(docs: DataFrame, path: str):
-    """The vocabulary, read once on the driver and broadcast: a fixed size of some MB."""
+    """An encoder, its file read once on the driver, broadcast: a fixed size of some MB."""
     with open(path, encoding="utf-8") as file:
-        return docs.sparkSession.sparkContext.broadcast(Vocabulary(file.read()))
+        return docs.sparkSession.sparkContext.broadcast(Encoder(Vocabulary(file.read())))
 
 
 def encode(docs: DataFrame, path: str, *keep: Column, back: bool = False) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firstseen.llm import bpe, exact_dedup, language, quality, secret_scan, simhash, source_mix
+from firstseen.llm import (
+    bpe, exact_dedup, language, line_templates, quality, secret_scan, simhash, source_mix, url_filter, vector_dedup,
+)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,6 +74,65 @@ FROM cut GROUP BY doc_id, key, source, size, source_size, target
 """
 
 
+# Fixed values of the derived capture and list times: start, steps and span in seconds.
+T0, CAPTURE_STEP, LIST_STEP, SPAN = 1_700_000_000, 43_201, 104_729, 12_960_000
+# Hosts with these names come onto the derived list, as domains.
+LISTED = "(spam-farm|cheap-pills|free-bets|adult-x)[.].*"
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, with a fetch time derived from its id."""
+    fetched = F.lit(T0) + (F.col("page_id") * CAPTURE_STEP) % SPAN
+    return read(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+
+
+def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dated list derived from the pages: each page of a listed host adds or removes
+    its domain, each page linked to with a fragment adds or removes itself."""
+    url = F.col("url")
+    domain = F.concat(F.lit("domain:"), F.regexp_extract(url_filter.host(url), LISTED, 0))
+    page = F.concat(F.lit("url:"), url_filter.host(url), url_filter.path(url))
+    rule = F.when(url_filter.host(url).rlike(LISTED), domain).when(url.endswith("#top"), page)
+    action = F.when(F.col("page_id") % 3 == 0, "remove").otherwise("add")
+    at = F.lit(T0) + (F.col("page_id") * LIST_STEP) % SPAN
+    return read(spark, sf_dir, "pages").select(rule.alias("rule"), action.alias("action"), at.alias("at"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.evaluate(captures(spark, sf_dir), list_entries(spark, sf_dir))
+
+
+OP3_SQL = """
+WITH parsed AS (
+  SELECT page_id, url, 1700000000 + (page_id * 43201) % 12960000 AS fetched_at,
+         lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host,
+         regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS path
+  FROM pages
+), entries AS (
+  SELECT CASE WHEN regexp_matches(host, '(spam-farm|cheap-pills|free-bets|adult-x)[.]')
+              THEN 'domain:' || regexp_extract(host, '(spam-farm|cheap-pills|free-bets|adult-x)[.].*', 0)
+              WHEN url LIKE '%#top' THEN 'url:' || host || path END AS rule,
+         page_id % 3 = 0 AS removed, 1700000000 + (page_id * 104729) % 12960000 AS listed_at
+  FROM parsed
+), dated AS (
+  SELECT rule, listed_at, bool_or(removed) AS removed FROM entries WHERE rule IS NOT NULL GROUP BY rule, listed_at
+), valid AS (
+  SELECT rule, listed_at AS since, lead(listed_at) OVER (PARTITION BY rule ORDER BY listed_at) AS until, removed FROM dated
+), asked AS (
+  SELECT page_id, fetched_at, unnest(
+    [ 'domain:' || array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(1, len(string_split(host, '.'))) ]
+    || [ 'url:' || host || path ]) AS rule
+  FROM parsed
+), hits AS (
+  SELECT page_id, min({'l': -length(v.rule), 'rule': v.rule, 'since': since}) AS hit
+  FROM asked a JOIN valid v ON a.rule = v.rule AND fetched_at >= since AND (until IS NULL OR fetched_at < until) AND NOT removed
+  GROUP BY page_id
+)
+SELECT p.page_id, url, fetched_at, hit IS NOT NULL AS rejected, hit.rule AS rule, hit.since AS since
+FROM parsed p LEFT JOIN hits USING (page_id)
+"""
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -103,11 +164,20 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, F.col("doc_id"), held_out(4, 2).alias("held_out"))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.dropped_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or public_tokenizer()
     encoded = bpe.encode(read(spark, sf_dir, "documents"), path, F.col("doc_id"), back=True)
@@ -119,6 +189,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_exact_dedup, op2_source_mix, op4_secret_scan, op5_quality, op6_language_id, op8_simhash, op10_bpe)
+    for query in (
+        op1_exact_dedup, op2_source_mix, op3_url_filter, op4_secret_scan, op5_quality, op6_language_id, op7_vector_dedup,
+        op8_simhash, op9_line_templates, op10_bpe,
+    )
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_source_mix": OP2_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_source_mix": OP2_SQL, "op3_url_filter": OP3_SQL}
