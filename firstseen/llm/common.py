@@ -32,6 +32,23 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner")
     return hot.unionByName(cold)
 
 
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """``rows`` joined to ``facts`` on ``key``, heavy keys dealt out over salts.
+
+    For rows that are many per key and cheap to move: they are read once, and a key
+    with a share of the rows is cut into as many parts, by the hash of ``by``, as
+    keep each below 1 / SHARE of them; its one fact is copied to each part.
+    """
+    total = rows.count()
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") * SHARE > total)
+    salts = F.ceil(F.col("__n") * SHARE / F.lit(max(total, 1))).cast("int")
+    heavy = stage(counts.select(key, salts.alias("__salts")), "heavy-keys")
+    spread = F.coalesce("__salts", F.lit(1))
+    salted = rows.join(F.broadcast(heavy), key, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), spread).cast("int"))
+    copied = facts.join(F.broadcast(heavy), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), spread - 1)))
+    return salted.drop("__salts").join(copied.drop("__salts"), [key, "__salt"]).drop("__salt")
+
+
 def located(docs: DataFrame, *columns) -> DataFrame:
     """``columns`` of ``docs`` plus ``file`` and ``row``: where each row is stored.
 

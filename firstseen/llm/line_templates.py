@@ -11,7 +11,7 @@ many documents recurs in any case.
 
 Every step is a count by key that combines before its shuffle. Only the leaves
 with enough documents have their lines looked at token by token, each distinct line
-once. Lookups of a very common line or token are spread by ``spread_join``.
+once. A very common line or token does not gather in one task when it is joined.
 
 Defined results. Null text counts as empty and has no lines. Lines are separated by
 line feeds; one with fewer than TOKENS tokens never recurs and stays, so blank lines
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firstseen.llm.common import located, spread_join, stored, with_facts
+from firstseen.llm.common import located, salted_join, spread_join, stored, with_facts
 from firstseen.workspace import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -116,7 +116,7 @@ def recurring(docs: DataFrame, lines: DataFrame, documents: int = DOCUMENTS, kee
         "line-fields",
     )
     fixed = each.groupBy("field").agg(F.sum("n").alias("support"))
-    marked = spread_join(each, fixed, "field")
+    marked = salted_join(each, fixed, "field", ["leaf", "line"])
     constant = (F.col("support") >= documents) & (F.col("token") != _ANY)
     patterns = marked.withColumn("constant", constant).groupBy("leaf", "line").agg(
         F.first("n").alias("n"), F.bit_xor(F.when(F.col("constant"), F.col("field")).otherwise(F.xxhash64("at"))).alias("pattern"),
