@@ -150,9 +150,12 @@ def leading(rows: DataFrame, n: int) -> DataFrame:
 
 
 def dedup_exact(rows: DataFrame, *carry: str) -> DataFrame:
-    """One row per content: the first path, with the ``carry`` columns of it."""
+    """One row per content: the first path, with the ``carry`` columns of it.
+
+    Rows without a digest have no content and give no row.
+    """
     first = F.min(F.struct(paths.order_key(F.col("path_bytes")).alias("_key"), *carry)).alias("_first")
-    best = rows.groupBy("content_hash").agg(first)
+    best = rows.filter(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(first)
     path = paths.display(paths.path_of_key(F.col("_first._key")))
     return best.select("content_hash", path.alias("path"), *[f"_first.{c}" for c in carry])
 

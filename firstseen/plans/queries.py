@@ -405,8 +405,8 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of a second table run: all is unchanged and known by then."""
     state_dir = fresh_folder(spark, "state")
     source = binding.documents(spark, sf_dir)
-    tables.ingest_table(source, state_dir, binding.TEMPLATE, local_tz="UTC")
-    return tables.ingest_table(source, state_dir, binding.TEMPLATE, local_tz="UTC").stats
+    tables.ingest_table(source, state_dir, binding.TEMPLATE, local_tz="UTC", caller_stores=True)
+    return tables.ingest_table(source, state_dir, binding.TEMPLATE, local_tz="UTC", caller_stores=True).stats
 
 
 # ---------------------------------------------------------------- streaming

@@ -48,7 +48,9 @@ class TableSource:
         if not globs and not ignore_hidden:
             return self
         rel = paths.relative_path(self.path, self.root)
-        return replace(self, table=self.table.filter(keeps_file(rel, globs, ignore_hidden)))
+        # A row without a relative path stays, so that it is reported as failed.
+        kept = F.coalesce(keeps_file(rel, globs, ignore_hidden), F.lit(True))
+        return replace(self, table=self.table.filter(kept))
 
     def keyed(self) -> DataFrame:
         """All source columns plus the row key, for fetching payloads."""
@@ -170,13 +172,18 @@ def ingest_table(
     local_tz: str | None = None,
     sink: str | None = None,
     resume: bool = False,
+    caller_stores: bool = False,
 ) -> TableRun:
     """Run one batch. Data is written first, then the cache, the ledger last.
 
+    Contents are remembered as accepted, so they must be stored: by ``sink``, or
+    by the caller, who then says so with ``caller_stores=True``.
     Paths must be unique within the table. After a crash ``resume=True`` redoes
     the unfinished run; its output folder is overwritten.
     """
     check_mode(mode, dest_template)
+    if mode == "copy" and sink is None and not caller_stores:
+        raise ValueError("copy mode needs a sink, or caller_stores=True if the caller has stored every unseen row")
     spark = source.table.sparkSession
     tz = local_tz or spark.conf.get("spark.sql.session.timeZone")
     state = State(spark, state_dir)

@@ -9,6 +9,7 @@ crash at any point leaves either the old or the new state.
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,19 +35,24 @@ class State:
         self.spark = spark
         self.folder = Folder(spark, root)
         self.folder.make()
+        self._claims: dict[int, str] = {}
 
     # ------------------------------------------------------------- ledger
 
     def _runs(self) -> dict[str, dict]:
         """Committed, not replaced run directories and their commit records."""
+        found = self._committed()
+        replaced = {old for record in found.values() for old in record.get("replaces", ())}
+        return {name: record for name, record in found.items() if name not in replaced}
+
+    def _committed(self) -> dict[str, dict]:
         found: dict[str, dict] = {}
         for writer in self.folder.subfolders("ledger"):
             for run in self.folder.subfolders(f"ledger/{writer}"):
                 name = f"ledger/{writer}/{run}"
                 if self.folder.exists(f"{name}/{_MARK}"):
                     found[name] = self.folder.read(f"{name}/{_MARK}")
-        replaced = {old for record in found.values() for old in record.get("replaces", ())}
-        return {name: record for name, record in found.items() if name not in replaced}
+        return found
 
     @staticmethod
     def _writer_and_run(name: str) -> tuple[str, int]:
@@ -80,17 +86,28 @@ class State:
         """Claim the next batch run; a second batch writer fails here.
 
         A run that was claimed but never committed blocks new ones, because its
-        data may be half written. ``resume=True`` takes it over.
+        data may be half written. ``resume=True`` takes it over. Runs that claim a
+        number and plain ``append_ledger`` calls count from the same numbers, and
+        only what carries this run's own claim is ever deleted.
         """
         names = self.folder.files("runs")
         last = max((int(n.split("-")[1]) for n in names if n.startswith("batch-")), default=-1)
         if last >= 0 and f"done-{last}" not in names:
             if not resume:
                 raise RuntimeError(f"batch run {last} is unfinished or still active; pass resume=True to redo it")
-            self.folder.delete(f"ledger/writer={BATCH}/run_id={last}")
-            return last
-        self.folder.write_once(f"runs/batch-{last + 1}", {})
-        return last + 1
+            claim = self.folder.read(f"runs/batch-{last}").get("claim")
+            name = f"ledger/writer={BATCH}/run_id={last}"
+            written = self.folder.exists(f"{name}/{_MARK}")
+            if not written or claim and self.folder.read(f"{name}/{_MARK}").get("claim") == claim:
+                self.folder.delete(name)
+                self._claims[last] = claim
+                return last
+            # Somebody else's committed run has the number: it stays, the claim is given up.
+            self.folder.write_once(f"runs/done-{last}", {})
+        number = max(last + 1, self.next_run(BATCH))
+        self._claims[number] = uuid.uuid4().hex
+        self.folder.write_once(f"runs/batch-{number}", {"claim": self._claims[number]})
+        return number
 
     def close_run(self, run_id: int) -> None:
         """Record that a claimed run is complete and drop older claims."""
@@ -111,7 +128,8 @@ class State:
         name = f"ledger/writer={writer}/run_id={run_id}"
         mode = "overwrite" if replay else "errorifexists"
         entries.select("content_hash", "copied_time").write.mode(mode).parquet(self.folder.path(name))
-        self.folder.write_once(f"{name}/{_MARK}", {"replaces": []})
+        claim = self._claims.get(run_id) if writer == BATCH else None
+        self.folder.write_once(f"{name}/{_MARK}", {"replaces": [], "claim": claim})
         return run_id
 
     def _rewrite_ledger(self, df: DataFrame, names: list[str]) -> int:
@@ -123,8 +141,13 @@ class State:
         df.repartitionByRange(files, "content_hash").sortWithinPartitions("content_hash").write.mode(
             "errorifexists"
         ).parquet(self.folder.path(target))
-        self.folder.write_once(f"{target}/{_MARK}", {"replaces": names, "folded": self._last_folded(names)})
-        for name in names:
+        # Directories an interrupted rewrite left behind stay replaced: their record may go now.
+        committed = self._committed()
+        left = {old for record in committed.values() for old in record.get("replaces", ()) if old in committed}
+        replaced = sorted({*names, *left})
+        self.folder.write_once(f"{target}/{_MARK}", {"replaces": replaced, "folded": self._last_folded(names)})
+        # Leftovers first: while one exists, so does a record that hides it.
+        for name in sorted(replaced, key=lambda old: (old not in left, old)):
             self.folder.delete(name)
         return run_id
 

@@ -108,3 +108,36 @@ def test_second_batch_writer_fails(spark, state, tmp_path):
         State(spark, str(tmp_path / "state")).open_run()
     state.close_run(run)
     assert state.open_run() == run + 1
+
+
+def test_resume_keeps_a_run_it_did_not_write(spark, tmp_path):
+    """A preload without a claim, then a crashed run: the preload's rows stay."""
+    state = State(spark, str(tmp_path / "state"))
+    preload = state.append_ledger(spark.createDataFrame([(b"a" * 32, 1)], "content_hash binary, copied_time long"))
+    run = state.open_run()
+    assert run > preload
+    assert State(spark, str(tmp_path / "state")).open_run(resume=True) == run
+    assert state.ledger().count() == 1
+
+
+def test_resume_over_a_foreign_committed_run(spark, tmp_path):
+    state = State(spark, str(tmp_path / "state"))
+    run = state.open_run()
+    state._claims.clear()
+    state.append_ledger(spark.createDataFrame([(b"a" * 32, 1)], "content_hash binary, copied_time long"), run_id=run)
+    assert State(spark, str(tmp_path / "state")).open_run(resume=True) == run + 1
+    assert state.ledger().count() == 1
+
+
+def test_forgotten_stays_forgotten_after_an_interrupted_rewrite(spark, tmp_path, monkeypatch):
+    entry = lambda *keys: spark.createDataFrame([(k * 32, 1) for k in keys], "content_hash binary, copied_time long")
+    state = State(spark, str(tmp_path / "state"))
+    state.append_ledger(entry(b"a", b"b"))
+    state.append_ledger(entry(b"c"))
+    monkeypatch.setattr(type(state.folder), "delete", lambda self, name: None)  # a crash between commit and delete
+    state.forget(entry(b"a").select("content_hash"))
+    monkeypatch.undo()
+    state.append_ledger(entry(b"d"))
+    state.compact_ledger()
+    left = sorted(bytes(r.content_hash[:1]) for r in state.ledger().collect())
+    assert left == [b"b", b"c", b"d"]

@@ -30,7 +30,7 @@ def outcomes(run):
 def test_failure_reasons(spark, tmp_path):
     rows = [("/in/a", "x", 1), ("/in/null", None, 1), ("/out/b", "y", 1), ("/in/old", "z", -5), ("rel", "w", 1), ("/in/taken", "v", 1)]
     existing = spark.createDataFrame([("/d/1970/taken",)], "dest_path string")
-    run = ingest_table(as_files(spark.createDataFrame(rows, SCHEMA)), str(tmp_path / "s"), "/d/{year_utc}", existing=existing)
+    run = ingest_table(as_files(spark.createDataFrame(rows, SCHEMA)), str(tmp_path / "s"), "/d/{year_utc}", existing=existing, caller_stores=True)
     got = {p: (o, e) for p, (_, o, e) in outcomes(run).items()}
     assert got == {
         "/in/a": ("copied", None), "/in/null": ("failed", "no payload"),
@@ -86,27 +86,27 @@ def test_scan_filters_hold_for_every_payload_plan(spark, tmp_path, monkeypatch,
     monkeypatch.setattr("firstseen.operators.payload.relevant_memory.__defaults__", (limit,))
     rows = [("/in/a.txt", "x", 1), ("/in/b.txt", "y", 1), ("/in/c.txt", "y", 1), ("/in/d.log", "z", 1), (None, "n", 1)]
     source = as_files(spark.createDataFrame(rows, SCHEMA))
-    run = ingest_table(source, str(tmp_path / "s"), "/d", globs=["*.txt"])
+    run = ingest_table(source, str(tmp_path / "s"), "/d", globs=["*.txt"], caller_stores=True)
     assert sorted(r["name"] for r in run.accepted.collect()) == ["/in/a.txt", "/in/b.txt"]
     assert run.stats.first()["total_files"] == 3 and len(held(spark, str(tmp_path / "s"))) == 2
-    again = ingest_table(source, str(tmp_path / "s"), "/d")
+    again = ingest_table(source, str(tmp_path / "s"), "/d", caller_stores=True)
     assert [r["name"] for r in again.accepted.collect()] == ["/in/d.log"]
 
 
 def test_cache_keeps_rows_that_globs_left_out(spark, tmp_path):
     source = as_files(spark.createDataFrame([("/in/a.txt", "x", 1), ("/in/d.log", "z", 1)], SCHEMA))
-    ingest_table(source, str(tmp_path / "s"), "/d")
-    ingest_table(source, str(tmp_path / "s"), "/d", globs=["*.txt"])
+    ingest_table(source, str(tmp_path / "s"), "/d", caller_stores=True)
+    ingest_table(source, str(tmp_path / "s"), "/d", globs=["*.txt"], caller_stores=True)
     assert State(spark, str(tmp_path / "s")).cache().count() == 2
     fewer = as_files(spark.createDataFrame([("/in/a.txt", "x", 1)], SCHEMA))
-    ingest_table(fewer, str(tmp_path / "s"), "/d", use_cache=False)
+    ingest_table(fewer, str(tmp_path / "s"), "/d", use_cache=False, caller_stores=True)
     assert State(spark, str(tmp_path / "s")).cache().count() == 1
 
 
 def test_repeated_paths_are_refused(spark, tmp_path):
     rows = [("/in/a", "x", 1), ("/in/a", "y", 1)]
     with pytest.raises(ValueError, match="unique"):
-        ingest_table(as_files(spark.createDataFrame(rows, SCHEMA)), str(tmp_path / "s"), "/d")
+        ingest_table(as_files(spark.createDataFrame(rows, SCHEMA)), str(tmp_path / "s"), "/d", caller_stores=True)
 
 
 def test_load_mode_and_no_cache(spark, tmp_path):
@@ -115,12 +115,12 @@ def test_load_mode_and_no_cache(spark, tmp_path):
     run = ingest_table(table, state, mode="load", use_cache=False, cleanup=False)
     assert {o for _, o, _ in outcomes(run).values()} == {"skipped", "failed"}
     assert State(spark, state).cache().count() == 0 and len(held(spark, state)) == 1
-    again = ingest_table(table, state, "/d", use_cache=False)
+    again = ingest_table(table, state, "/d", use_cache=False, caller_stores=True)
     assert {p: o[:2] for p, o in outcomes(again).items()}["/in/a"] == ("new", "skipped")
 
 
 def test_empty_table(spark, tmp_path):
-    run = ingest_table(as_files(spark.createDataFrame([], SCHEMA)), str(tmp_path / "s"), "/d")
+    run = ingest_table(as_files(spark.createDataFrame([], SCHEMA)), str(tmp_path / "s"), "/d", caller_stores=True)
     assert run.results.count() == 0 and set(run.stats.first()) == {0}
 
 
@@ -189,3 +189,8 @@ def test_stream_dedup(spark, tmp_path, parts):
     query.awaitTermination()
     got = [bytes(r["content_hash"]).decode() for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got) == sorted(bodies)
+
+
+def test_copy_mode_needs_a_store(spark, tmp_path):
+    with pytest.raises(ValueError, match="sink"):
+        ingest_table(as_files(spark.createDataFrame([], SCHEMA)), str(tmp_path / "s"), "/d")
