@@ -49,8 +49,7 @@ class TableSource:
             return self
         rel = paths.relative_path(self.path, self.root)
         # A row without a relative path stays, so that it is reported as failed.
-        kept = F.coalesce(keeps_file(rel, globs, ignore_hidden), F.lit(True))
-        return replace(self, table=self.table.filter(kept))
+        return replace(self, table=self.table.filter(rel.isNull() | keeps_file(rel, globs, ignore_hidden)))
 
     def keyed(self) -> DataFrame:
         """All source columns plus the row key, for fetching payloads."""

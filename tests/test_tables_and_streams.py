@@ -194,3 +194,18 @@ def test_stream_dedup(spark, tmp_path, parts):
 def test_copy_mode_needs_a_store(spark, tmp_path):
     with pytest.raises(ValueError, match="sink"):
         ingest_table(as_files(spark.createDataFrame([], SCHEMA)), str(tmp_path / "s"), "/d")
+
+
+@pytest.mark.parametrize("options", [{}, {"globs": ["*.txt"]}, {"globs": ["!*.log"]}, {"ignore_hidden": True}])
+def test_rows_outside_the_root_are_reported_under_any_filter(spark, tmp_path, options):
+    rows = [("/in/a.txt", "x", 1), (None, "n", 1), ("/elsewhere/b.txt", "y", 1)]
+    run = ingest_table(as_files(spark.createDataFrame(rows, SCHEMA)), str(tmp_path / "s"), "/d", caller_stores=True, **options)
+    assert sorted(r.outcome for r in run.results.collect()) == ["copied", "failed", "failed"]
+
+
+def test_dedup_drops_rows_without_a_digest(spark):
+    from firstseen.operators.content import dedup_exact
+
+    rows = [(b"/a", b"h"), (b"/b", b"h"), (b"/c", None), (b"/d", None)]
+    found = dedup_exact(spark.createDataFrame(rows, "path_bytes binary, content_hash binary")).collect()
+    assert [(bytes(r.content_hash), r.path) for r in found] == [(b"h", "/a")]
