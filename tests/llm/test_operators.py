@@ -48,7 +48,8 @@ def test_source_mix(spark):
     for (size, target), taken in per.items():
         assert target <= 2 * size and abs(sum(taken) - target) <= 12
     again = source_mix.mix(docs_of(spark, rows)).collect()
-    assert sorted(map(str, found)) == sorted(str(r).replace("x", "x") for r in again) or sorted((r.doc_id or -1, r.taken) for r in found) == sorted((r.doc_id or -1, r.taken) for r in again)
+    by_id = lambda rows: sorted((r.doc_id or -1, r.taken) for r in rows)
+    assert by_id(found) == by_id(again)
     assert source_mix.mixed(docs_of(spark, rows)).columns == docs_of(spark, rows).columns
     assert source_mix.mix(docs_of(spark, []).limit(0)).count() == 0
     assert [r.taken for r in source_mix.mix(docs_of(spark, [(1, None, "s")])).collect()] == [0]
@@ -74,8 +75,7 @@ def base_model(text):
     kinds = (
         ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 12),
         ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]+", 0, 16))
-    found = [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (name, pattern, flags, least) in enumerate(kinds)
-             for m in re.finditer(pattern, text) if False]
+    found = []
     for k, (name, pattern, flags, least) in enumerate(kinds):
         for m in re.compile(pattern, flags).finditer(text):
             if len(m[2] if name == "assign" else m[0]) >= least:
