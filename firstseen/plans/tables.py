@@ -183,6 +183,7 @@ def ingest_table(
     check_mode(mode, dest_template)
     if mode == "copy" and sink is None and not caller_stores:
         raise ValueError("copy mode needs a sink, or caller_stores=True if the caller has stored every unseen row")
+    check_columns(source.table, sink)
     spark = source.table.sparkSession
     tz = local_tz or spark.conf.get("spark.sql.session.timeZone")
     state = State(spark, state_dir)
@@ -194,7 +195,7 @@ def ingest_table(
     decided, additions, counts = decide_rows(
         rows, state.ledger(), source.root, mode, dest_template, tz, existing, override, folder
     )
-    accepted = payload.accepted_rows(source.keyed(), decided)
+    accepted = payload.accepted_rows(source.keyed(), decided).drop(ROW_KEY)
     if sink is not None and mode == "copy":
         write_by_day(accepted, source.mtime_ns, f"{sink}/run_id={run_id}")
     _maintain_cache(state, whole, decided, use_cache, cleanup)
@@ -206,6 +207,18 @@ def ingest_table(
     return TableRun(results, stats.observed(spark, counts.get), accepted)
 
 
+# The row key while payloads are fetched, and the folders of the sink.
+ROW_KEY, SINK_FOLDERS = "path_hash", ("year", "month", "day")
+
+
+def check_columns(table: DataFrame, sink: str | None) -> None:
+    """A source's own columns are never overwritten: clashing names are refused."""
+    reserved = {ROW_KEY, *(SINK_FOLDERS if sink is not None else ())}
+    clashing = sorted(c for c in table.columns if c.lower() in reserved)
+    if clashing:
+        raise ValueError(f"rename the columns {clashing}: these names are used by the run")
+
+
 def check_mode(mode: str, dest_template: str | None) -> None:
     if mode not in ("copy", "load"):
         raise ValueError(f"unknown mode {mode!r}")

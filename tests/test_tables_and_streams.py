@@ -209,3 +209,18 @@ def test_dedup_drops_rows_without_a_digest(spark):
     rows = [(b"/a", b"h"), (b"/b", b"h"), (b"/c", None), (b"/d", None)]
     found = dedup_exact(spark.createDataFrame(rows, "path_bytes binary, content_hash binary")).collect()
     assert [(bytes(r.content_hash), r.path) for r in found] == [(b"h", "/a")]
+
+
+@pytest.mark.parametrize("name", ["year", "path_hash"])
+def test_columns_of_the_source_are_not_overwritten(spark, tmp_path, name):
+    table = spark.createDataFrame([("/in/a", "x", 1)], SCHEMA).withColumn(name, F.lit(1815))
+    with pytest.raises(ValueError, match=name):
+        ingest_table(as_files(table), str(tmp_path / "s"), "/d", sink=str(tmp_path / "sink"))
+
+
+def test_sink_holds_the_columns_of_the_source(spark, tmp_path):
+    table = spark.createDataFrame([("/in/a", "x", 1)], SCHEMA)
+    run = ingest_table(as_files(table), str(tmp_path / "s"), "/d", sink=str(tmp_path / "sink"))
+    assert run.accepted.columns == table.columns
+    written = spark.read.parquet(str(tmp_path / "sink" / "run_id=0"))
+    assert set(written.columns) == {*table.columns, "year", "month", "day"}
