@@ -1,54 +1,90 @@
-"""Joins that keep the large side where it was read, when the small side allows."""
+"""Fetching payloads: read only what is wanted, move it at most once.
+
+There is one plan for every size. The files of the source that hold no wanted row
+are left out of the scan. What is read is thinned by the first bits of the wanted
+keys, of which there are at most ``2 ** PREFIX_BITS``, so that their broadcast is
+bounded whatever the data. If few rows are wanted hardly another row passes; if
+nearly all are, nothing is lost. An exact join follows where one is needed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Digests that may be broadcast: 2 million keys of 32 bytes, about 64 MiB.
-BROADCAST_KEYS = 2_000_000
+# Distinct prefixes of keys that are broadcast: 2 million integers at most.
+PREFIX_BITS = 21
+
+# The row key and the file of a source row, while its payload is fetched.
+KEY, FILE = "_firstseen_key", "source_file"
+
+
+def reads_files(table: DataFrame) -> bool:
+    """Whether the rows of a table can be told apart by the file they come from."""
+    if "_metadata" in table.columns:
+        return False
+    try:
+        table.select("_metadata.file_path")
+    except AnalysisException:
+        return False
+    return True
+
 
+def file_of(table: DataFrame) -> Column:
+    """The stored file a row comes from; NULL if the table does not read files."""
+    return F.col("_metadata.file_path") if reads_files(table) else F.lit(None).cast("string")
 
-def keep_keys(source: DataFrame, decided: DataFrame, wanted, limit: int = BROADCAST_KEYS) -> DataFrame | None:
-    """Rows of ``source`` whose ``path_hash`` is wanted, filtered map-side.
 
-    ``decided`` must cover every key of ``source``, and is staged, so counting it
-    is cheap. Whichever of the wanted and the unwanted keys is small enough is
-    broadcast, and the payload stays where it was read. Returns None when
-    neither is small; the caller then picks a plan for the general case.
+def files_with(table: DataFrame, rows: DataFrame, wanted: Column) -> DataFrame:
+    """``table`` without the files in which no row is wanted.
+
+    ``rows`` is staged, covers the table and has ``source_file``. The driver gets
+    one flag per file, of files it lists anyway to plan the scan.
     """
-    row = decided.agg(F.count_if(wanted).alias("yes"), F.count_if(~wanted).alias("no")).first()
-    if row["yes"] <= limit:
-        keys = decided.filter(wanted).select("path_hash")
-        return source.join(F.broadcast(keys), "path_hash", "left_semi")
-    if row["no"] <= limit:
-        keys = decided.filter(~wanted).select("path_hash")
-        return source.filter(F.col("path_hash").isNotNull()).join(F.broadcast(keys), "path_hash", "left_anti")
-    return None
+    if not reads_files(table):
+        return table
+    flags = rows.filter(F.col(FILE).isNotNull()).groupBy(FILE).agg(F.bool_or(wanted).alias("keep")).collect()
+    skipped = [flag[FILE] for flag in flags if not flag["keep"]]
+    kept = [flag[FILE] for flag in flags if flag["keep"]]
+    if not skipped:
+        return table
+    name = F.col("_metadata.file_path")
+    return table.filter(name.isin(kept) if len(kept) <= len(skipped) else ~name.isin(skipped))
+
+
+def _prefix(key: Column) -> Column:
+    """The first bits of a digest, as an integer."""
+    return F.shiftright(F.conv(F.hex(F.substring(key, 1, 4)), 16, 10).cast("bigint"), 32 - PREFIX_BITS)
+
+
+def thinned(source: DataFrame, rows: DataFrame, wanted: Column) -> DataFrame:
+    """Rows of ``source`` that may be wanted: all wanted ones, few others if few are."""
+    some = rows.filter(wanted & F.col("path_hash").isNotNull()).select(_prefix(F.col("path_hash")).alias("_prefix"))
+    return (
+        source.withColumn("_prefix", _prefix(F.col(KEY)))
+        .join(F.broadcast(some.distinct()), "_prefix", "left_semi")
+        .drop("_prefix")
+    )
 
 
-def accepted_rows(source: DataFrame, decided: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Source rows that were accepted, payload included.
+def exactly(source: DataFrame, rows: DataFrame, wanted: Column, *also: str) -> DataFrame:
+    """The wanted rows of ``source``; the keys form a hash table, no payload is sorted.
 
-    In the general case the rows are shuffled by the unique path digest, which
-    cannot skew, and meet a hash table of digests; the payload is never sorted.
+    Keys are unique, so an inner join gives every row once. Unlike a semi join it is
+    not moved below a repartitioning of the rows.
     """
-    wanted = F.col("outcome") == "copied"
-    kept = keep_keys(source, decided, wanted, limit)
-    if kept is None:
-        keys = decided.filter(wanted).select("path_hash").hint("shuffle_hash")
-        kept = source.join(keys, "path_hash", "left_semi")
-    return kept
+    keys = rows.filter(wanted).select(F.col("path_hash").alias(KEY), *also)
+    if also:
+        keys = keys.repartition(*also)
+    return source.join(keys.hint("shuffle_hash"), [*also, KEY])
 
 
-def relevant_memory(ledger: DataFrame, rows: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+def relevant_memory(ledger: DataFrame, rows: DataFrame) -> DataFrame:
     """The part of the ledger that can concern ``rows``.
 
-    ``rows`` is staged, so its row count comes from file footers. A small batch
-    is broadcast to the ledger scan, and a ledger of any size is not shuffled. A
-    large batch leaves the ledger as it is, for an ordinary join.
+    ``rows`` is staged, so Spark knows its size: it broadcasts a small batch, and
+    then a ledger of any size is not shuffled.
     """
-    if rows.count() > limit:
-        return ledger
     hashes = rows.filter(F.col("content_hash").isNotNull()).select("content_hash").distinct()
-    return ledger.join(F.broadcast(hashes), "content_hash", "left_semi")
+    return ledger.join(hashes, "content_hash", "left_semi")

@@ -210,8 +210,10 @@ def ingest_files(
     """Copy new content from ``source`` to the rendered destination, once ever.
 
     ``mode="load"`` records all content as seen and copies nothing; a
-    destination is then ignored. Files are placed first, then the cache is
-    written, the ledger last.
+    destination is then ignored. The cache is written as soon as the files are
+    digested, then files are placed, the ledger comes last. A run that crashed
+    before it placed anything is taken over by the next one; after a later crash
+    ``resume=True`` redoes the unfinished run.
     """
     check_mode(mode, dest_template)
     tz = local_tz or spark.conf.get("spark.sql.session.timeZone")
@@ -229,6 +231,11 @@ def ingest_files(
         classified = stage(classify_ops.classify_without_cache(manifest), "classified", folder)
     hashed = stage(hash_misses(classified, folder, chunk_bytes, threads), "hashed", folder)
 
+    # Digests are kept before anything is placed: a crash below loses none of them.
+    removal = {"checked": 0, "removed": 0}
+    if use_cache or cleanup:
+        removal = refresh_cache(state, hashed, use_cache, cleanup, threads)
+    state.mark_placing(run_id)
     known = state.ledger()
     if mode == "load":
         dest = F.lit(None).cast("binary")
@@ -247,9 +254,6 @@ def ingest_files(
         skipped = marked.filter("known").withColumn("eligible", F.lit(False))
         decided = decided.unionByName(skipped.withColumn("outcome", F.lit(SKIPPED)))
 
-    removal = {"checked": 0, "removed": 0}
-    if use_cache or cleanup:
-        removal = refresh_cache(state, hashed, use_cache, cleanup, threads)
     state.append_ledger(additions, run_id=run_id)
     state.close_run(run_id)
     if cleanup:

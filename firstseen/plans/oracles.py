@@ -139,6 +139,20 @@ ORACLES: dict[str, str] = {
     "ingest_override": _with(_OVERRIDE, "SELECT path, dest_path, outcome FROM decided"),
     "failures": _with(_FREE, """
         SELECT path, 'destination already exists' AS error FROM decided WHERE outcome = 'failed'"""),
+    "failures_globbed": """
+        WITH keyed AS (
+          SELECT CASE WHEN starts_with(url, 'https') THEN '/source/' ELSE '' END || page_id || '/' || url AS path,
+                 starts_with(url, 'https') AS inside, sha256(html) AS content_hash
+          FROM pages WHERE NOT starts_with(url, 'https') OR NOT starts_with(CAST(page_id AS VARCHAR), '1'))
+        SELECT path, CASE WHEN NOT inside THEN 'failed' WHEN row_number() OVER (
+                       PARTITION BY inside, content_hash ORDER BY string_split(path, '/')) = 1
+                     THEN 'copied' ELSE 'skipped' END AS outcome,
+               CASE WHEN NOT inside THEN 'path must be absolute' END AS error
+        FROM keyed""",
+    "failures_metadata": _with(_FILES, """
+        SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'no modification time'
+                          ELSE 'modification time is before 1970' END AS error
+        FROM files WHERE doc_id % 5 = 0 OR doc_id % 3 = 0"""),
     "dedup_exact": _with(_FILES, _RANKED.format(columns="content_hash, path, size")),
     "dedup_events": _with(_EVENTS, _RANKED.format(columns="content_hash, path")),
     "decide_events": _with(_EVENTS, """
@@ -150,6 +164,9 @@ ORACLES: dict[str, str] = {
     "ingest_stats": _with(_FREE, _counters("decided")),
     "run_stats": _with(_FILES, _counters(
         "(SELECT size, 'unchanged' AS cache_result, 'skipped' AS outcome FROM files)")),
+    "resume_stats": _with(_CLASSIFIED, _counters("""
+        (SELECT *, CASE WHEN row_number() OVER (PARTITION BY content_hash ORDER BY string_split(path, '/')) = 1
+                        THEN 'copied' ELSE 'skipped' END AS outcome FROM classified)""")),
     "cached_path_count": _with(_FILES, "SELECT CAST(count(*) AS BIGINT) AS cached_paths FROM cache"),
     "scan_counts": _with(_FILES, """
         SELECT CAST(sum(n) AS BIGINT) AS n_files, CAST(count(*) AS BIGINT) AS n_directories,
@@ -181,6 +198,18 @@ ORACLES: dict[str, str] = {
         FROM files"""),
     "load_seen": _with(_FILES, """
         SELECT DISTINCT content_hash, 'batch' AS writer, CAST(0 AS BIGINT) AS run_id FROM files"""),
+    "load_then_ingest": _with(_FILES, """
+        SELECT path, CASE WHEN lang = 'en' THEN 'unchanged' ELSE 'new' END AS cache_result,
+               CASE WHEN rn = 1 AND content_hash NOT IN (SELECT content_hash FROM files WHERE lang = 'en')
+                    THEN 'copied' ELSE 'skipped' END AS outcome
+        FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY string_split(path, '/')) AS rn FROM files)
+        """),
+    "ledger_forget_then_compact": _with(_FILES, f"""
+        SELECT content_hash, CAST(min(copied_time) AS BIGINT) AS copied_time, 'compact' AS writer FROM (
+          SELECT content_hash, {EARLIER_MS} AS copied_time FROM memory
+          WHERE content_hash NOT IN (SELECT content_hash FROM files WHERE lang = 'en')
+          UNION ALL SELECT content_hash, {NOW_MS} FROM files WHERE lang = 'es')
+        GROUP BY content_hash"""),
     "render_utc": """
         SELECT o_orderkey, 'out/' || year(o_orderdate) || '/' || year(o_orderdate) || '-' || month(o_orderdate)
                            || '-' || day(o_orderdate) || '/{YEAR_UTC}' AS rendered FROM orders""",
@@ -192,12 +221,31 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, text, CAST(year(ts) AS BIGINT) AS year, CAST(month(ts) AS BIGINT) AS month,
                CAST(day(ts) AS BIGINT) AS day
         FROM decided WHERE outcome = 'copied'"""),
+    "accepted_by_template": _with(_FILES, """
+        SELECT doc_id, text, lang, source, n_chars, CAST(1815 + doc_id % 100 AS BIGINT) AS year,
+               CAST(year(l) AS BIGINT) AS year_local, CAST(month(l) AS BIGINT) AS month_local
+        FROM (SELECT f.*, d.n_chars, timezone('America/New_York', timezone('UTC', ts)) AS l,
+                     row_number() OVER (PARTITION BY content_hash ORDER BY string_split(path, '/')) AS rn
+              FROM files f JOIN (SELECT doc_id, n_chars FROM documents) d USING (doc_id))
+        WHERE rn = 1"""),
     "copy_files": _with(_FILES, _RANKED.format(
-        columns="year(ts) || '/' || month(ts) || '/' || day(ts) || '/' || rel_path AS rel_path, size")),
+        columns="year(ts) || '/' || month(ts) || '/' || day(ts) || '/' || rel_path AS rel_path, size, content_hash")),
+    "override_files": _with(_FILES, """
+        SELECT 'all/' || rel_path AS rel_path, CASE WHEN rn = 1 THEN size ELSE 0 END AS size,
+               CASE WHEN rn = 1 THEN content_hash ELSE sha256('') END AS content_hash
+        FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY string_split(path, '/')) AS rn FROM files)
+        """),
+    "cleanup_files": _with(_FILES, """
+        SELECT rel_path, size, content_hash,
+               (SELECT CAST(count(*) AS BIGINT) FROM files WHERE source = 'src1') AS removed
+        FROM files WHERE source <> 'src1'"""),
     "stream_ingest": _with(_FILES, """
         SELECT content_hash, 'earlier' AS writer FROM memory
         UNION ALL
         SELECT DISTINCT content_hash, 'documents' FROM files
         WHERE content_hash NOT IN (SELECT content_hash FROM memory)"""),
+    "stream_accepted": _with(_FILES, """
+        SELECT DISTINCT text, 'documents' AS accepted_by FROM files
+        WHERE content_hash NOT IN (SELECT content_hash FROM memory)"""),
     "stream_dedup": _with(_FILES, "SELECT DISTINCT content_hash FROM files"),
 }

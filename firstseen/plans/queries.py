@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -15,6 +16,7 @@ from firstseen.operators import cache as cache_ops
 from firstseen.operators import classify, content, filters, ledger, order, stats
 from firstseen.plans import binding, tables
 from firstseen.plans.files import ingest_files
+from firstseen.sources.content import hash_files
 from firstseen.sources.tree import scan_tree
 from firstseen.state.store import State
 from firstseen.streaming.dedup import first_seen
@@ -345,6 +347,16 @@ def ledger_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hex(state.ledger(), "content_hash").select("content_hash", "copied_time", "writer")
 
 
+def ledger_forget_then_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forget the English contents, accept the Spanish ones again, fold all."""
+    state = _state_with_memory(spark, sf_dir)
+    docs = binding.document_files(spark, sf_dir, with_digest=True)
+    state.forget(content.distinct_contents(docs.filter(F.contains("path", F.lit("/en/")))))
+    state.append_ledger(ledger.entries(docs.filter(F.contains("path", F.lit("/es/"))), binding.NOW_MS))
+    state.compact_ledger()
+    return _hex(state.ledger(), "content_hash").select("content_hash", "copied_time", "writer")
+
+
 def load_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     state_dir = fresh_folder(spark, "state")
     state = State(spark, state_dir)
@@ -388,7 +400,20 @@ def accepted_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     written = spark.read.parquet(f"{sink}/run_id=0")
     return written.select(
-        "doc_id", "text", *[F.col(c).cast("bigint").alias(c) for c in ("year", "month", "day")]
+        "doc_id", "text", *[F.col(f"{c}_utc").cast("bigint").alias(c) for c in ("year", "month", "day")]
+    )
+
+
+def accepted_by_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sink laid out by local year and month, of a table with a ``year`` of its own."""
+    state_dir, sink = fresh_folder(spark, "state"), fresh_folder(spark, "sink")
+    source = binding.documents(spark, sf_dir)
+    source = replace(source, table=source.table.withColumn("year", F.lit(1815) + F.col("doc_id") % 100))
+    tables.ingest_table(
+        source, state_dir, "/dest/{year_local}-{month_local}", local_tz=LOCAL_TZ, sink=sink,
+    )
+    return spark.read.parquet(f"{sink}/run_id=0").withColumns(
+        {c: F.col(c).cast("bigint") for c in ("year", "year_local", "month_local")}
     )
 
 
@@ -398,7 +423,80 @@ def copy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ingest_files(
         spark, tree, dest + "/{year_utc}/{month_utc}/{day_utc}", fresh_folder(spark, "state"), local_tz="UTC"
     )
-    return scan_tree(spark, dest).files.select("rel_path", "size")
+    return _placed(spark, dest)
+
+
+def _placed(spark: SparkSession, dest: str) -> DataFrame:
+    """What lies below a destination: names, sizes, and digests of the bytes."""
+    files = scan_tree(spark, dest).files
+    return _hex(hash_files(files), "content_hash").select("rel_path", "size", "content_hash")
+
+
+def override_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document has the same destination folder, where all names are taken
+    by empty files: the run replaces those of the files that win."""
+    tree, dest = document_tree(spark, sf_dir), mounted(fresh_folder(spark, "dest"))
+    names = scan_tree(spark, tree).files.select("rel_path", F.lit(b"").alias("payload"), F.lit(0).alias("mtime_ns"))
+    names.mapInArrow(_write_tree_task(f"{dest}/all"), "files bigint").agg(F.sum("files")).first()
+    ingest_files(spark, tree, f"{dest}/all", fresh_folder(spark, "state"), override=True)
+    return _placed(spark, dest)
+
+
+def cleanup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache after a run over a tree from which every file of one source has gone."""
+    tree, state_dir = document_tree(spark, sf_dir), fresh_folder(spark, "state")
+    ingest_files(spark, tree, None, state_dir, mode="load")
+    shutil.rmtree(f"{tree}/src1")
+    run = ingest_files(spark, tree, None, state_dir, mode="load", globs=["!*.txt"])
+    left = State(spark, state_dir).cache()
+    rel = paths.display(paths.relative_bytes(F.col("path_bytes"), tree.encode()))
+    return _hex(left, "content_hash").select(
+        rel.alias("rel_path"), "size", "content_hash", F.lit(run.removed).cast("bigint").alias("removed")
+    )
+
+
+def load_then_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The English documents are preloaded; a copy run over all skips their contents."""
+    state_dir = fresh_folder(spark, "state")
+    source = binding.documents(spark, sf_dir)
+    english = replace(source, table=source.table.filter("lang = 'en'"))
+    tables.ingest_table(english, state_dir, mode="load")
+    run = tables.ingest_table(source, state_dir, binding.TEMPLATE, local_tz="UTC", sink=fresh_folder(spark, "sink"))
+    return run.results.select("path", "cache_result", "outcome")
+
+
+def resume_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a run after one that was lost between hashing and placing."""
+    state_dir = fresh_folder(spark, "state")
+    lost = State(spark, state_dir)
+    lost.open_run()
+    lost.write_cache(binding.earlier_cache(spark, sf_dir))
+    source = binding.documents(spark, sf_dir)
+    return tables.ingest_table(
+        source, state_dir, binding.TEMPLATE, local_tz="UTC", sink=fresh_folder(spark, "sink")
+    ).stats
+
+
+def failures_globbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only secure pages lie below the root; the others fail whatever the glob says."""
+    pages = binding.read(spark, sf_dir, "pages")
+    key = F.concat_ws("/", "page_id", "url")
+    path = F.when(F.col("url").startswith("https"), F.concat(F.lit(f"{binding.ROOT}/"), key)).otherwise(key)
+    source = tables.TableSource(pages, path, F.col("html"), F.lit(binding.T0).cast("bigint"), binding.ROOT)
+    run = tables.ingest_table(
+        source, fresh_folder(spark, "state"), "/dest", globs=["!/1*/"], sink=fresh_folder(spark, "sink")
+    )
+    return run.results.select("path", "outcome", "error")
+
+
+def failures_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document was written before 1970, every fifth at an unknown time."""
+    docs = binding.documents(spark, sf_dir)
+    number = F.col("doc_id")
+    mtime_ns = F.when(number % 5 != 0, F.when(number % 3 == 0, -docs.mtime_ns).otherwise(docs.mtime_ns))
+    source = replace(docs, mtime_ns=mtime_ns)
+    run = tables.ingest_table(source, fresh_folder(spark, "state"), mode="load")
+    return stats.failures(run.results)
 
 
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,22 +518,34 @@ def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three micro-batches on top of earlier memory; the ledger afterwards."""
-    state_dir = fresh_folder(spark, "state")
+def _streamed(spark: SparkSession, sf_dir: str) -> tuple[State, str]:
+    """Three micro-batches on top of earlier memory; the state and the sink afterwards."""
+    state_dir, sink = fresh_folder(spark, "state"), fresh_folder(spark, "sink")
     state = State(spark, state_dir)
     state.append_ledger(binding.earlier_ledger(spark, sf_dir), writer="earlier")
     shape = binding.documents(spark, sf_dir)
     query = ingest_stream(
         _document_stream(spark, sf_dir),
         lambda batch: tables.TableSource(batch, shape.path, shape.payload, shape.mtime_ns, shape.root),
-        state_dir, "documents", fresh_folder(spark, "checkpoint"), fresh_folder(spark, "sink"),
-        binding.TEMPLATE, local_tz="UTC",
+        state_dir, "documents", fresh_folder(spark, "checkpoint"), sink, binding.TEMPLATE, local_tz="UTC",
     )
     query.awaitTermination()
+    return state, sink
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after a stream."""
+    state, _ = _streamed(spark, sf_dir)
     return _hex(state.ledger(), "content_hash").select("content_hash", "writer")
 
 
+def stream_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts a stream accepted. Which of equal texts comes first depends on the
+    batches, so the rows are reported without their ids."""
+    _, sink = _streamed(spark, sf_dir)
+    return spark.read.parquet(sink).select("text", F.col("writer").alias("accepted_by"))
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First rows per content over three micro-batches, from a Parquet sink."""
     out = fresh_folder(spark, "first-seen")
@@ -476,6 +586,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_decision": ingest_decision,
     "ingest_override": ingest_override,
     "failures": failures,
+    "failures_metadata": failures_metadata,
+    "failures_globbed": failures_globbed,
     "dedup_exact": dedup_exact,
     "dedup_events": dedup_events,
     "decide_events": decide_events,
@@ -483,6 +595,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_events": duplicate_events,
     "ingest_stats": ingest_stats,
     "run_stats": run_stats,
+    "resume_stats": resume_stats,
     "cached_path_count": cached_path_count,
     "scan_counts": scan_counts,
     "cache_upsert": cache_upsert,
@@ -492,12 +605,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ledger_append": ledger_append,
     "ledger_forget": ledger_forget,
     "ledger_compact": ledger_compact,
+    "ledger_forget_then_compact": ledger_forget_then_compact,
     "load_seen": load_seen,
+    "load_then_ingest": load_then_ingest,
     "render_utc": render_utc,
     "render_local": render_local,
     "destination_path": destination_path,
     "accepted_by_day": accepted_by_day,
+    "accepted_by_template": accepted_by_template,
     "copy_files": copy_files,
+    "cleanup_files": cleanup_files,
+    "override_files": override_files,
     "stream_ingest": stream_ingest,
+    "stream_accepted": stream_accepted,
     "stream_dedup": stream_dedup,
 }

@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firstseen.functions import digest, paths, template
 from firstseen.functions.globs import keeps_file
@@ -20,7 +21,7 @@ from firstseen.operators import content, filters, ledger, payload, stats
 from firstseen.schemas import COPIED, CORE, FAILED, SKIPPED, UNCHANGED
 from firstseen.sources import tables
 from firstseen.state.store import State, now_ms
-from firstseen.workspace import fresh_folder, stage
+from firstseen.workspace import discard, fresh_folder, setting, stage
 
 # Ledger runs that may pile up before a run folds them.
 COMPACT_RUNS = 8
@@ -38,9 +39,10 @@ class TableSource:
     ctime_ns: Column | None = None
     size: Column | None = None
 
-    def manifest(self, with_digest: bool = False) -> DataFrame:
+    def manifest(self, with_digest: bool = False, with_file: bool = False) -> DataFrame:
         return tables.manifest(
-            self.table, self.path, self.payload, self.mtime_ns, self.root, self.ctime_ns, self.size, with_digest
+            self.table, self.path, self.payload, self.mtime_ns, self.root, self.ctime_ns, self.size, with_digest,
+            payload.file_of(self.table) if with_file else None,
         )
 
     def selected(self, globs: Sequence[str], ignore_hidden: bool) -> TableSource:
@@ -53,7 +55,12 @@ class TableSource:
 
     def keyed(self) -> DataFrame:
         """All source columns plus the row key, for fetching payloads."""
-        return self.table.withColumn("path_hash", digest.path_digest(self.path))
+        return self.table.withColumn(payload.KEY, digest.path_digest(self.path))
+
+    def candidates(self, rows: DataFrame, wanted: Column) -> DataFrame:
+        """Keyed source rows among which all wanted ones are; ``rows`` is staged."""
+        read = replace(self, table=payload.files_with(self.table, rows, wanted))
+        return payload.thinned(read.keyed(), rows, wanted)
 
 
 @dataclass
@@ -66,18 +73,15 @@ class TableRun:
 
 
 def digests_of_misses(source: TableSource, classified: DataFrame) -> DataFrame:
-    """(path_hash, content_hash) of the rows that must be read.
+    """(path_hash, content_hash) of the rows that must be read; ``classified`` is staged.
 
-    ``classified`` is staged. If the rows to read, or the rows to leave out, are
-    few, the scan is filtered by a broadcast of their keys. Otherwise every
-    payload that is scanned is also digested: that costs less than shuffling
-    payloads to find out which ones to leave out.
+    Only files that hold a miss are read. Rows that pass by the prefix of their key
+    alone are digested as well, which costs less than moving payloads would.
     """
-    needed = F.col("cache_result") != UNCHANGED
-    rows = source.keyed()
-    kept = payload.keep_keys(rows, classified, needed)
-    rows = rows if kept is None else kept
-    return rows.select("path_hash", digest.content_digest(source.payload).alias("content_hash"))
+    read = source.candidates(classified, F.col("cache_result") != UNCHANGED)
+    return read.select(
+        F.col(payload.KEY).alias("path_hash"), digest.content_digest(source.payload).alias("content_hash")
+    )
 
 
 def hash_rows(source: TableSource, cache: DataFrame | None, folder: str | None = None) -> DataFrame:
@@ -88,13 +92,13 @@ def hash_rows(source: TableSource, cache: DataFrame | None, folder: str | None =
     measured, the same scan takes the digest.
     """
     if cache is not None and source.size is not None:
-        chosen = filters.with_errors(source.manifest()).select(*CORE)
+        chosen = filters.with_errors(source.manifest(with_file=True)).select(*CORE, payload.FILE)
         classified = stage(classify_ops.classify(chosen, cache), "classified", folder)
         fresh = digests_of_misses(source, classified).withColumnRenamed("content_hash", "fresh_hash")
         rows = classified.join(fresh, "path_hash", "left")
     else:
-        chosen = filters.with_errors(source.manifest(with_digest=True))
-        chosen = chosen.select(*CORE, F.col("content_hash").alias("fresh_hash"))
+        chosen = filters.with_errors(source.manifest(with_digest=True, with_file=True))
+        chosen = chosen.select(*CORE, payload.FILE, F.col("content_hash").alias("fresh_hash"))
         if cache is None:
             rows = classify_ops.classify_without_cache(chosen)
         else:
@@ -173,17 +177,20 @@ def ingest_table(
     resume: bool = False,
     caller_stores: bool = False,
 ) -> TableRun:
-    """Run one batch. Data is written first, then the cache, the ledger last.
+    """Run one batch. The cache is written first, then the data, the ledger last.
 
     Contents are remembered as accepted, so they must be stored: by ``sink``, or
     by the caller, who then says so with ``caller_stores=True``.
-    Paths must be unique within the table. After a crash ``resume=True`` redoes
-    the unfinished run; its output folder is overwritten.
+    Paths must be unique within the table. A run that crashed before it stored
+    anything is taken over by the next one, which finds its digests in the cache.
+    After a later crash ``resume=True`` redoes the unfinished run; its output
+    folder is overwritten. The sink has one folder level for every token of the
+    template, by the token's name (``year_utc=2024``).
     """
     check_mode(mode, dest_template)
     if mode == "copy" and sink is None and not caller_stores:
         raise ValueError("copy mode needs a sink, or caller_stores=True if the caller has stored every unseen row")
-    check_columns(source.table, sink)
+    check_columns(source.table, dest_template if sink is not None else None)
     spark = source.table.sparkSession
     tz = local_tz or spark.conf.get("spark.sql.session.timeZone")
     state = State(spark, state_dir)
@@ -195,25 +202,27 @@ def ingest_table(
     decided, additions, counts = decide_rows(
         rows, state.ledger(), source.root, mode, dest_template, tz, existing, override, folder
     )
-    accepted = payload.accepted_rows(source.keyed(), decided).drop(ROW_KEY)
-    if sink is not None and mode == "copy":
-        write_by_day(accepted, source.mtime_ns, f"{sink}/run_id={run_id}")
     _maintain_cache(state, whole, decided, use_cache, cleanup)
+    state.mark_placing(run_id)
+    if sink is not None and mode == "copy":
+        accepted = write_accepted(source, decided, dest_template, tz, f"{sink}/run_id={run_id}", folder)
+    else:
+        accepted = accepted_rows(source, decided)
     state.append_ledger(additions, run_id=run_id)
     state.close_run(run_id)
     if cleanup:
         state.compact_ledger(min_runs=COMPACT_RUNS)
+    # The frames returned below read "decided" only.
+    for name in ("classified", "placed", "dates"):
+        discard(spark, f"{folder}/{name}")
     results = describe(decided, source.root, dest_template if mode == "copy" else None, tz)
     return TableRun(results, stats.observed(spark, counts.get), accepted)
 
 
-# The row key while payloads are fetched, and the folders of the sink.
-ROW_KEY, SINK_FOLDERS = "path_hash", ("year", "month", "day")
-
-
-def check_columns(table: DataFrame, sink: str | None) -> None:
+def check_columns(table: DataFrame, sink_template: str | None) -> None:
     """A source's own columns are never overwritten: clashing names are refused."""
-    reserved = {ROW_KEY, *(SINK_FOLDERS if sink is not None else ())}
+    folders = [] if sink_template is None else [name for name, _ in layout(sink_template, F.lit(0), "UTC")]
+    reserved = {payload.KEY, "_prefix", _DATE, _SLOT, "_slots", *folders}
     clashing = sorted(c for c in table.columns if c.lower() in reserved)
     if clashing:
         raise ValueError(f"rename the columns {clashing}: these names are used by the run")
@@ -273,21 +282,75 @@ def _maintain_cache(state: State, whole: TableSource, hashed: DataFrame, use_cac
     listed = cache_ops.listed_entries(hashed) if use_cache else state.cache().limit(0)
     others = cache_ops.delete(state.cache(), listed)
     if cleanup:
-        present = whole.keyed().select("path_hash")
+        present = whole.keyed().select(F.col(payload.KEY).alias("path_hash"))
         others = cache_ops.keep_present(cache_ops.mark_present(others, present, whole.root))
     state.write_cache(others.unionByName(listed))
 
 
-def write_by_day(accepted: DataFrame, mtime_ns: Column, folder: str) -> None:
-    """Write accepted rows partitioned by UTC year, month and day.
+# The date of a row as one key, and what one task of the sink takes.
+_DATE, _SLOT = "_firstseen_date", "_firstseen_slot"
+# Lets two sides that are partitioned by some of their join keys meet as they are.
+CO_PARTITION = ("spark.sql.requireAllClusterKeysForCoPartition", "false")
+# Payload bytes of one date of the sink that one task writes.
+SLOT_BYTES = 128 << 20
+
+
+def layout(dest_template: str, mtime_ns: Column, tz: str) -> list[tuple[str, Column]]:
+    """The folders of the sink: one level for every token of the template, by its name."""
+    return [
+        (token.strip("{}"), template.token_value(token, mtime_ns, tz).cast("int"))
+        for token in template.tokens_in(dest_template)
+    ]
+
+
+def accepted_rows(source: TableSource, decided: DataFrame) -> DataFrame:
+    """Source rows that were accepted, payload included; ``decided`` is staged."""
+    wanted = F.col("outcome") == COPIED
+    return payload.exactly(source.candidates(decided, wanted), decided, wanted).drop(payload.KEY)
+
 
-    The rebalance hint lets Spark split a day that holds most of the rows and
-    merge small ones, so file sizes stay even under skew.
+def accepted_by_slot(
+    source: TableSource, decided: DataFrame, dest_template: str, tz: str, scratch: str
+) -> DataFrame:
+    """Accepted rows and their folder columns, partitioned for the sink; ``decided`` is staged.
+
+    Payloads are shuffled once. Every row has a slot, its date and one of as many
+    buckets as the bytes of that date need; rows and keys meet by slot, and a
+    slot is written by one task. A date with most of the rows has many slots.
     """
-    day = template.utc_date(mtime_ns)
-    dated = (
-        accepted.withColumn("year", F.year(day)).withColumn("month", F.month(day)).withColumn("day", F.dayofmonth(day))
-    )
-    dated.hint("rebalance", "year", "month", "day").write.mode("overwrite").partitionBy(
-        "year", "month", "day"
-    ).parquet(folder)
+    wanted = F.col("outcome") == COPIED
+    folders = layout(dest_template, source.mtime_ns.cast("bigint"), tz)
+    names = [name for name, _ in folders]
+
+    def dated(rows: DataFrame, levels: list[tuple[str, Column]]) -> DataFrame:
+        return rows.withColumns(dict(levels)).withColumn(_DATE, F.xxhash64(F.lit(0), *names))
+
+    keyed = dated(decided, layout(dest_template, F.col("mtime_ns"), tz))
+    need = F.greatest(F.lit(1), F.ceil(F.sum("size") / SLOT_BYTES)).cast("bigint").alias("_slots")
+    # One row per date: file times are 64-bit nanoseconds, so the dates number 106,752 at
+    # most, three times that if the template mixes UTC and local tokens.
+    dates = F.broadcast(stage(keyed.filter(wanted).groupBy(_DATE).agg(need), "dates", scratch))
+
+    def slotted(rows: DataFrame, key: str) -> DataFrame:
+        slot = F.xxhash64(_DATE, F.pmod(F.xxhash64(key), F.col("_slots")))
+        return rows.join(dates, _DATE).withColumn(_SLOT, slot).drop("_slots", _DATE)
+
+    rows = slotted(dated(source.candidates(decided, wanted), folders), payload.KEY).repartition(_SLOT)
+    return payload.exactly(rows, slotted(keyed, "path_hash"), wanted, _SLOT).drop(payload.KEY, _SLOT)
+
+
+def write_accepted(
+    source: TableSource, decided: DataFrame, dest_template: str, tz: str, folder: str, scratch: str
+) -> DataFrame:
+    """Write the accepted rows below folders named by the template's tokens.
+
+    Returns the written rows, with the columns of the source.
+    """
+    spark = decided.sparkSession
+    names = [name for name, _ in layout(dest_template, source.mtime_ns, tz)]
+    accepted = accepted_by_slot(source, decided, dest_template, tz, scratch)
+    # Both sides are partitioned by slot, which decides where a key goes: no second exchange.
+    with setting(spark, *CO_PARTITION):
+        accepted.write.mode("overwrite").partitionBy(*names).parquet(folder)
+    schema = T.StructType([*source.table.schema.fields, *[T.StructField(name, T.IntegerType()) for name in names]])
+    return spark.read.schema(schema).parquet(folder).drop(*names)

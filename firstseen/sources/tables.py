@@ -17,12 +17,14 @@ def manifest(
     ctime_ns: Column | None = None,
     size: Column | None = None,
     with_digest: bool = False,
+    source_file: Column | None = None,
 ) -> DataFrame:
     """Narrow manifest rows of a table; the payload itself is not carried.
 
     ``size`` may name a stored length, which keeps the payload column out of the
     scan entirely. With ``with_digest`` the digest is taken where the payload is
-    read, so only 32 bytes per row ever leave the scan.
+    read, so only 32 bytes per row ever leave the scan. ``source_file`` adds the
+    stored file of a row.
     """
     columns = [
         path.alias("path"),
@@ -35,4 +37,6 @@ def manifest(
     ]
     if with_digest:
         columns.append(digest.content_digest(payload).alias("content_hash"))
+    if source_file is not None:
+        columns.append(source_file.alias("source_file"))
     return table.select(*columns)

@@ -85,21 +85,25 @@ class State:
     def open_run(self, resume: bool = False) -> int:
         """Claim the next batch run; a second batch writer fails here.
 
-        A run that was claimed but never committed blocks new ones, because its
-        data may be half written. ``resume=True`` takes it over. Runs that claim a
-        number and plain ``append_ledger`` calls count from the same numbers, and
-        only what carries this run's own claim is ever deleted.
+        A run that was claimed but placed nothing yet is taken over: whichever of
+        two writers with the same number calls ``mark_placing`` first goes on, the
+        other fails there. A run that crashed while it placed data blocks new ones,
+        because its data may be half written; ``resume=True`` takes it over. Runs
+        that claim a number and plain ``append_ledger`` calls count from the same
+        numbers, and only what carries this run's own claim is ever deleted.
         """
         names = self.folder.files("runs")
         last = max((int(n.split("-")[1]) for n in names if n.startswith("batch-")), default=-1)
         if last >= 0 and f"done-{last}" not in names:
-            if not resume:
+            placing = f"placing-{last}" in names
+            if placing and not resume:
                 raise RuntimeError(f"batch run {last} is unfinished or still active; pass resume=True to redo it")
             claim = self.folder.read(f"runs/batch-{last}").get("claim")
             name = f"ledger/writer={BATCH}/run_id={last}"
             written = self.folder.exists(f"{name}/{_MARK}")
             if not written or claim and self.folder.read(f"{name}/{_MARK}").get("claim") == claim:
                 self.folder.delete(name)
+                self.folder.delete(f"runs/placing-{last}")
                 self._claims[last] = claim
                 return last
             # Somebody else's committed run has the number: it stays, the claim is given up.
@@ -109,6 +113,10 @@ class State:
         self.folder.write_once(f"runs/batch-{number}", {"claim": self._claims[number]})
         return number
 
+    def mark_placing(self, run_id: int) -> None:
+        """Record that a claimed run begins to write data; only one writer can."""
+        self.folder.write_once(f"runs/placing-{run_id}", {"claim": self._claims.get(run_id)})
+
     def close_run(self, run_id: int) -> None:
         """Record that a claimed run is complete and drop older claims."""
         self.folder.write_once(f"runs/done-{run_id}", {})

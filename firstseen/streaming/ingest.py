@@ -7,11 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from firstseen.operators import payload
-from firstseen.plans.tables import ROW_KEY, TableSource, check_columns, check_mode, decide_rows, hash_rows, write_by_day
+from firstseen.plans.tables import TableSource, check_columns, check_mode, decide_rows, hash_rows, write_accepted
 from firstseen.state.folder import Folder
 from firstseen.state.store import State
-from firstseen.workspace import fresh_folder
+from firstseen.workspace import discard, fresh_folder
 
 
 def _claim_writer(state: State, writer: str, checkpoint: str) -> None:
@@ -69,7 +68,7 @@ def ingest_stream(
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         source = as_files(batch).selected(globs, ignore_hidden)
-        check_columns(source.table, sink if mode == "copy" else None)
+        check_columns(source.table, dest_template if mode == "copy" else None)
         folder = fresh_folder(batch.sparkSession, f"stream-{writer}-{batch_id}")
         rows = hash_rows(source, None, folder)
         known = state.ledger(replaying=(writer, batch_id))
@@ -77,9 +76,9 @@ def ingest_stream(
             rows, known, source.root, mode, dest_template, tz, existing, override, folder
         )
         if mode == "copy":
-            accepted = payload.accepted_rows(source.keyed(), decided).drop(ROW_KEY)
-            write_by_day(accepted, source.mtime_ns, f"{sink}/writer={writer}/batch_id={batch_id}")
+            write_accepted(source, decided, dest_template, tz, f"{sink}/writer={writer}/batch_id={batch_id}", folder)
         state.append_ledger(additions, writer, batch_id, replay=True)
+        discard(batch.sparkSession, folder)
         if compact_every and batch_id % compact_every == compact_every - 1:
             state.compact_ledger({writer: batch_id})
         if on_batch is not None:

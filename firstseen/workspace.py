@@ -10,9 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from firstseen.state.folder import Folder
+
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -46,3 +50,20 @@ def stage(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     path = f"{folder}/{label}" if folder else fresh_folder(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a staged table, or all of a run's, that nothing reads any more."""
+    parent, name = path.rsplit("/", 1)
+    Folder(spark, parent).delete(name)
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Set a session option for the queries planned inside the block."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -1,6 +1,7 @@
 """Ledger and cache on disk."""
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from firstseen import State
@@ -104,6 +105,11 @@ def test_cache_snapshots(spark, state):
 
 def test_second_batch_writer_fails(spark, state, tmp_path):
     run = state.open_run()
+    second = State(spark, str(tmp_path / "state"))
+    assert second.open_run() == run  # nothing is placed yet: whoever places first goes on
+    state.mark_placing(run)
+    with pytest.raises(Py4JJavaError, match="exists"):
+        second.mark_placing(run)
     with pytest.raises(RuntimeError, match="unfinished"):
         State(spark, str(tmp_path / "state")).open_run()
     state.close_run(run)

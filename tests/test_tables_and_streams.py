@@ -1,14 +1,19 @@
 """Table runs and streaming runs."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from firstseen import State, ingest_table
-from firstseen.plans.tables import TableSource
+from firstseen.operators import filters, payload
+from firstseen.operators.classify import classify
+from firstseen.plans.tables import CO_PARTITION, TableSource, accepted_by_slot, digests_of_misses, hash_rows
+from firstseen.schemas import CORE
 from firstseen.streaming.dedup import first_seen
 from firstseen.streaming.ingest import ingest_stream
+from firstseen.workspace import setting, stage
 from tests.test_decide import one_by_one
 
 SCHEMA = "name string, body string, at bigint"
@@ -79,11 +84,10 @@ def outcomes_of(run):
     return run._classes
 
 
-@pytest.mark.parametrize("limit", [0, 1, 2, 10])
-def test_scan_filters_hold_for_every_payload_plan(spark, tmp_path, monkeypatch, limit):
+@pytest.mark.parametrize("bits", [0, 1, 21])
+def test_scan_filters_hold_for_every_prefix(spark, tmp_path, monkeypatch, bits):
     """Rows that a glob leaves out must not come back with the payload."""
-    monkeypatch.setattr("firstseen.operators.payload.accepted_rows.__defaults__", (limit,))
-    monkeypatch.setattr("firstseen.operators.payload.relevant_memory.__defaults__", (limit,))
+    monkeypatch.setattr("firstseen.operators.payload.PREFIX_BITS", bits)
     rows = [("/in/a.txt", "x", 1), ("/in/b.txt", "y", 1), ("/in/c.txt", "y", 1), ("/in/d.log", "z", 1), (None, "n", 1)]
     source = as_files(spark.createDataFrame(rows, SCHEMA))
     run = ingest_table(source, str(tmp_path / "s"), "/d", globs=["*.txt"], caller_stores=True)
@@ -211,16 +215,74 @@ def test_dedup_drops_rows_without_a_digest(spark):
     assert [(bytes(r.content_hash), r.path) for r in found] == [(b"h", "/a")]
 
 
-@pytest.mark.parametrize("name", ["year", "path_hash"])
-def test_columns_of_the_source_are_not_overwritten(spark, tmp_path, name):
-    table = spark.createDataFrame([("/in/a", "x", 1)], SCHEMA).withColumn(name, F.lit(1815))
-    with pytest.raises(ValueError, match=name):
-        ingest_table(as_files(table), str(tmp_path / "s"), "/d", sink=str(tmp_path / "sink"))
+def test_columns_of_the_source_are_not_overwritten(spark, tmp_path):
+    table = spark.createDataFrame([("/in/a", "x", 1)], SCHEMA).withColumn("year_utc", F.lit(1815))
+    with pytest.raises(ValueError, match="year_utc"):
+        ingest_table(as_files(table), str(tmp_path / "s"), "/d/{year_utc}", sink=str(tmp_path / "sink"))
 
 
 def test_sink_holds_the_columns_of_the_source(spark, tmp_path):
-    table = spark.createDataFrame([("/in/a", "x", 1)], SCHEMA)
-    run = ingest_table(as_files(table), str(tmp_path / "s"), "/d", sink=str(tmp_path / "sink"))
-    assert run.accepted.columns == table.columns
+    table = spark.createDataFrame([("/in/a", "x", 1)], SCHEMA).withColumns({"year": F.lit(1815), "path_hash": F.lit("mine")})
+    run = ingest_table(as_files(table), str(tmp_path / "s"), "/d/{day_local}", sink=str(tmp_path / "sink"), local_tz="America/New_York")
+    assert [tuple(r) for r in run.accepted.collect()] == [("/in/a", "x", 1, 1815, "mine")]
     written = spark.read.parquet(str(tmp_path / "sink" / "run_id=0"))
-    assert set(written.columns) == {*table.columns, "year", "month", "day"}
+    assert written.columns == [*table.columns, "day_local"] and written.first()["day_local"] == 31
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    """4,000 rows in 8 files, in the order of their times."""
+    rows = spark.range(4000).select(
+        F.format_string("/in/%d", "id").alias("name"), F.col("id").cast("string").alias("body"), F.col("id").alias("at")
+    )
+    rows.repartitionByRange(8, "at").write.parquet(str(tmp_path / "stored"))
+    return as_files(spark.read.parquet(str(tmp_path / "stored")), size=F.lit(1))
+
+
+def test_only_misses_are_read(spark, tmp_path, stored):
+    """300 touched rows in one file of eight: the others are neither read nor digested."""
+    ingest_table(stored, str(tmp_path / "s"), mode="load")
+    touched = replace(stored, mtime_ns=F.when(F.col("at") < 300, F.col("at") + DAY).otherwise(F.col("at")))
+    manifest = filters.with_errors(touched.manifest(with_file=True)).select(*CORE, payload.FILE)
+    classified = stage(classify(manifest, State(spark, str(tmp_path / "s")).cache()), "classified")
+    wanted = F.col("cache_result") != "unchanged"
+    in_file = payload.files_with(stored.table, classified, wanted)
+    assert 300 <= in_file.count() <= 600
+    digested = digests_of_misses(touched, classified)
+    assert 300 <= digested.count() <= 310
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_payloads_are_shuffled_once(spark, tmp_path, stored, broadcast):
+    decided = hash_rows(stored, None).withColumn(
+        "outcome", F.when(F.col("mtime_ns") % 2 == 0, F.lit("copied")).otherwise(F.lit("skipped"))
+    )
+    decided = stage(decided, "decided")
+    with setting(spark, *CO_PARTITION), setting(spark, "spark.sql.autoBroadcastJoinThreshold", broadcast):
+        accepted = accepted_by_slot(stored, decided, "/d/{day_utc}", "UTC", str(tmp_path / "scratch"))
+        plan = accepted._jdf.queryExecution().executedPlan().toString()
+        assert accepted.count() == 2000
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # The payloads by slot, the keys by slot, the distinct prefixes.
+    assert sum("_firstseen_slot" in line for line in moved) == 2 and len(moved) == 3
+
+
+def test_scratch_does_not_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("firstseen.workspace.shared_folder", lambda _: str(tmp_path / "scratch"))
+    stream, _ = incoming(spark, tmp_path, 5)
+    start(stream, tmp_path, "scratch")
+    assert list((tmp_path / "scratch" / "firstseen").iterdir()) == []
+
+
+def test_run_lost_before_placing_is_taken_over(spark, tmp_path, monkeypatch):
+    table = as_files(spark.createDataFrame([("/in/a", "x", 1), ("/in/b", "y", 1)], SCHEMA))
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(State, "mark_placing", lost)
+        with pytest.raises(RuntimeError, match="lost"):
+            ingest_table(table, str(tmp_path / "s"), "/d", caller_stores=True)
+    run = ingest_table(table, str(tmp_path / "s"), "/d", caller_stores=True)
+    assert {(c, o) for c, o, _ in outcomes(run).values()} == {("unchanged", "copied")}
