@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firstseen.schemas import MODIFIED, NEW, UNCHANGED
 
 
+def spread_key(rows: DataFrame) -> Column:
+    """``path_hash``, or for rows without a path a short stand-in that equals no digest.
+
+    NULL keys would all meet in one task of a join; the stand-in depends on the
+    other columns, so it spreads them and is the same in a retried task.
+    """
+    others = [c for c in rows.columns if c not in ("path_hash", "path_bytes")]
+    return F.coalesce(F.col("path_hash"), F.unhex(F.hex(F.xxhash64(*others))))
+
+
+def with_path(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Left-join ``found``, unique by ``path_hash``, to all rows."""
+    right = found.withColumnRenamed("path_hash", "_key")
+    return rows.withColumn("_key", spread_key(rows)).join(right, "_key", "left").drop("_key")
+
+
 def classify(manifest: DataFrame, cache: DataFrame) -> DataFrame:
     """Left join on the path digest; append ``cache_result`` and ``cached_hash``.
 
@@ -27,7 +43,7 @@ def classify(manifest: DataFrame, cache: DataFrame) -> DataFrame:
         .otherwise(F.lit(MODIFIED))
     )
     return (
-        manifest.join(known, "path_hash", "left")
+        with_path(manifest, known)
         .withColumn("cache_result", result)
         .withColumn("cached_hash", F.when(F.col("cache_result") == UNCHANGED, F.col("_cached_hash")))
         .drop("_cached", "_cached_hash")

@@ -41,20 +41,23 @@ def _with_facts(rows: DataFrame, facts: DataFrame, hot_parts: int) -> DataFrame:
 
     Its row count, read from file footers, sets the bound above which a content
     is hot. Rows of hot contents and rows without a digest take their path as
-    the shuffle key, which no digest equals, so they spread evenly.
+    the shuffle key, which no digest equals, so they spread evenly; without a path
+    a hash of the whole row.
     """
     above = max(rows.count() // hot_parts, 1)
     names = [c for c in facts.columns if c not in ("content_hash", "_n")]
     hot = facts.filter(F.col("_n") > above).select("content_hash", F.struct(*names).alias("_hot"))
     cold = facts.filter(F.col("_n") <= above).select(F.col("content_hash").alias("_key"), F.struct(*names).alias("_cold"))
     spread = F.col("_hot").isNotNull() | F.col("content_hash").isNull()
+    own = F.coalesce(F.col("path_bytes"), F.unhex(F.hex(F.xxhash64(*rows.columns))))
     joined = (
-        rows.join(F.broadcast(hot), "content_hash", "left")
-        .withColumn("_key", F.when(spread, F.col("path_bytes")).otherwise(F.col("content_hash")))
+        rows.withColumn("_own", own)
+        .join(F.broadcast(hot), "content_hash", "left")
+        .withColumn("_key", F.when(spread, F.col("_own")).otherwise(F.col("content_hash")))
         .join(cold, "_key", "left")
     )
     found = {name: F.coalesce(F.col(f"_hot.{name}"), F.col(f"_cold.{name}")) for name in names}
-    return joined.withColumns(found).drop("_key", "_hot", "_cold")
+    return joined.withColumns(found).drop("_key", "_own", "_hot", "_cold")
 
 
 def _with_hit(rows: DataFrame, ledger: DataFrame, hot_parts: int) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from firstseen.functions import paths
 from firstseen.workspace import stage
 
+# Rows that are ranked in one task.
+SLICE_ROWS = 1_000_000
+
 
 def ordered(manifest: DataFrame) -> DataFrame:
     """Rows in component-wise path order: a range-partitioned global sort."""
@@ -20,10 +23,13 @@ def sibling_positions(manifest: DataFrame, slices: int | None = None) -> DataFra
     A directory may hold a third of all files, so it must not become one window
     group. The rows are cut into slices along the path order and written once.
     Ranks are taken within (directory, slice) and shifted by the number of
-    siblings in earlier slices, a prefix sum over one count per slice.
+    siblings in earlier slices, a prefix sum over one count per slice. The number
+    of slices follows the number of rows.
     """
     spark = manifest.sparkSession
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if slices is None:
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        slices = max(least, -(-manifest.count() // SLICE_ROWS))
     keyed = manifest.withColumn("_dir", paths.parent_dir(F.col("path"))).withColumn(
         "_key", paths.order_key(F.col("path_bytes"))
     )

@@ -25,8 +25,9 @@ from firstseen.sources.content import (
     spread_by_bytes,
 )
 from firstseen.sources.tree import Listing, scan_tree
+from firstseen.state.folder import Folder
 from firstseen.state.store import State, now_ms
-from firstseen.workspace import fresh_folder, stage
+from firstseen.workspace import discard, fresh_folder, stage
 
 
 @dataclass
@@ -258,5 +259,10 @@ def ingest_files(
     state.close_run(run_id)
     if cleanup:
         state.compact_ledger(min_runs=COMPACT_RUNS)
+    # The frames returned below read these tables only.
+    kept = ("hashed",) if mode == "load" else ("marked", "decided-")
+    for name in Folder(spark, folder).subfolders(""):
+        if not name.startswith(kept):
+            discard(spark, f"{folder}/{name}")
     results = _results(decided, root, dest)
     return FileRun(results, stats.ingest_stats(decided), listing, removal["checked"], removal["removed"])

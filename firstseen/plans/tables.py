@@ -95,7 +95,7 @@ def hash_rows(source: TableSource, cache: DataFrame | None, folder: str | None =
         chosen = filters.with_errors(source.manifest(with_file=True)).select(*CORE, payload.FILE)
         classified = stage(classify_ops.classify(chosen, cache), "classified", folder)
         fresh = digests_of_misses(source, classified).withColumnRenamed("content_hash", "fresh_hash")
-        rows = classified.join(fresh, "path_hash", "left")
+        rows = classify_ops.with_path(classified, fresh)
     else:
         chosen = filters.with_errors(source.manifest(with_digest=True, with_file=True))
         chosen = chosen.select(*CORE, payload.FILE, F.col("content_hash").alias("fresh_hash"))
@@ -205,7 +205,7 @@ def ingest_table(
     _maintain_cache(state, whole, decided, use_cache, cleanup)
     state.mark_placing(run_id)
     if sink is not None and mode == "copy":
-        accepted = write_accepted(source, decided, dest_template, tz, f"{sink}/run_id={run_id}", folder)
+        accepted = write_accepted(source, decided, dest_template, tz, f"{sink}/run_id={run_id}")
     else:
         accepted = accepted_rows(source, decided)
     state.append_ledger(additions, run_id=run_id)
@@ -213,7 +213,7 @@ def ingest_table(
     if cleanup:
         state.compact_ledger(min_runs=COMPACT_RUNS)
     # The frames returned below read "decided" only.
-    for name in ("classified", "placed", "dates"):
+    for name in ("classified", "placed"):
         discard(spark, f"{folder}/{name}")
     results = describe(decided, source.root, dest_template if mode == "copy" else None, tz)
     return TableRun(results, stats.observed(spark, counts.get), accepted)
@@ -309,9 +309,7 @@ def accepted_rows(source: TableSource, decided: DataFrame) -> DataFrame:
     return payload.exactly(source.candidates(decided, wanted), decided, wanted).drop(payload.KEY)
 
 
-def accepted_by_slot(
-    source: TableSource, decided: DataFrame, dest_template: str, tz: str, scratch: str
-) -> DataFrame:
+def accepted_by_slot(source: TableSource, decided: DataFrame, dest_template: str, tz: str) -> DataFrame:
     """Accepted rows and their folder columns, partitioned for the sink; ``decided`` is staged.
 
     Payloads are shuffled once. Every row has a slot, its date and one of as many
@@ -329,7 +327,7 @@ def accepted_by_slot(
     need = F.greatest(F.lit(1), F.ceil(F.sum("size") / SLOT_BYTES)).cast("bigint").alias("_slots")
     # One row per date: file times are 64-bit nanoseconds, so the dates number 106,752 at
     # most, three times that if the template mixes UTC and local tokens.
-    dates = F.broadcast(stage(keyed.filter(wanted).groupBy(_DATE).agg(need), "dates", scratch))
+    dates = F.broadcast(keyed.filter(wanted).groupBy(_DATE).agg(need))
 
     def slotted(rows: DataFrame, key: str) -> DataFrame:
         slot = F.xxhash64(_DATE, F.pmod(F.xxhash64(key), F.col("_slots")))
@@ -339,16 +337,14 @@ def accepted_by_slot(
     return payload.exactly(rows, slotted(keyed, "path_hash"), wanted, _SLOT).drop(payload.KEY, _SLOT)
 
 
-def write_accepted(
-    source: TableSource, decided: DataFrame, dest_template: str, tz: str, folder: str, scratch: str
-) -> DataFrame:
+def write_accepted(source: TableSource, decided: DataFrame, dest_template: str, tz: str, folder: str) -> DataFrame:
     """Write the accepted rows below folders named by the template's tokens.
 
     Returns the written rows, with the columns of the source.
     """
     spark = decided.sparkSession
     names = [name for name, _ in layout(dest_template, source.mtime_ns, tz)]
-    accepted = accepted_by_slot(source, decided, dest_template, tz, scratch)
+    accepted = accepted_by_slot(source, decided, dest_template, tz)
     # Both sides are partitioned by slot, which decides where a key goes: no second exchange.
     with setting(spark, *CO_PARTITION):
         accepted.write.mode("overwrite").partitionBy(*names).parquet(folder)

@@ -143,19 +143,18 @@ class State:
     def _rewrite_ledger(self, df: DataFrame, names: list[str]) -> int:
         run_id = self.next_run(COMPACT)
         target = f"ledger/writer={COMPACT}/run_id={run_id}"
-        # Digests are uniform, so a range cut gives even files whose min / max
-        # statistics let a lookup skip all but the files that can match.
+        # Digests are uniform, so a range cut gives even files.
         files = max(1, -(-self._read_ledger(names).count() // _ROWS_PER_FILE))
         df.repartitionByRange(files, "content_hash").sortWithinPartitions("content_hash").write.mode(
             "errorifexists"
         ).parquet(self.folder.path(target))
-        # Directories an interrupted rewrite left behind stay replaced: their record may go now.
+        # Directories that earlier rewrites replaced stay replaced: their record may go now.
         committed = self._committed()
         left = {old for record in committed.values() for old in record.get("replaces", ()) if old in committed}
         replaced = sorted({*names, *left})
         self.folder.write_once(f"{target}/{_MARK}", {"replaces": replaced, "folded": self._last_folded(names)})
-        # Leftovers first: while one exists, so does a record that hides it.
-        for name in sorted(replaced, key=lambda old: (old not in left, old)):
+        # What this rewrite replaces stays, hidden, until the next one: frames read from it go on.
+        for name in sorted(left):
             self.folder.delete(name)
         return run_id
 

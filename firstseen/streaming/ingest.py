@@ -76,7 +76,7 @@ def ingest_stream(
             rows, known, source.root, mode, dest_template, tz, existing, override, folder
         )
         if mode == "copy":
-            write_accepted(source, decided, dest_template, tz, f"{sink}/writer={writer}/batch_id={batch_id}", folder)
+            write_accepted(source, decided, dest_template, tz, f"{sink}/writer={writer}/batch_id={batch_id}")
         state.append_ledger(additions, writer, batch_id, replay=True)
         discard(batch.sparkSession, folder)
         if compact_every and batch_id % compact_every == compact_every - 1:

@@ -96,21 +96,25 @@ def test_sibling_positions(spark):
     assert in_order == sorted(names, key=lambda n: n.split("/"))
 
 
-@pytest.mark.parametrize("limit", [0, 45, 60, 1000])
-def test_payload_is_fetched_the_same_way_by_every_plan(spark, limit):
+@pytest.mark.parametrize("bits", [0, 4, 21])
+def test_payload_is_fetched_for_every_length_of_prefix(spark, monkeypatch, bits):
+    monkeypatch.setattr(payload, "PREFIX_BITS", bits)
     decided = spark.range(100).select(
         digest.path_digest(F.col("id").cast("string")).alias("path_hash"),
         F.when(F.col("id") < 50, "copied").otherwise("skipped").alias("outcome"),
     )
-    source = spark.range(100).withColumn("path_hash", digest.path_digest(F.col("id").cast("string")))
-    got = sorted(r["id"] for r in payload.accepted_rows(source, decided, limit).collect())
-    assert got == list(range(50))
+    source = spark.range(100).withColumn(payload.KEY, digest.path_digest(F.col("id").cast("string")))
+    wanted = F.col("outcome") == "copied"
+    some = payload.thinned(source, decided, wanted)
+    assert {r["id"] for r in some.collect()} >= set(range(50)) and (bits < 21 or some.count() == 50)
+    got = payload.exactly(some, decided, wanted)
+    assert sorted(r["id"] for r in got.collect()) == list(range(50))
 
 
-def test_general_payload_plan_never_sorts_the_payload(spark):
+def test_payload_plan_never_sorts_the_payload(spark):
     decided = spark.range(100).select(digest.path_digest(F.col("id").cast("string")).alias("path_hash"), F.lit("copied").alias("outcome"))
-    source = spark.range(100).withColumn("path_hash", digest.path_digest(F.col("id").cast("string")))
-    plan = payload.accepted_rows(source, decided.unionByName(decided.withColumn("outcome", F.lit("skipped"))), 0)
+    source = spark.range(100).withColumn(payload.KEY, digest.path_digest(F.col("id").cast("string")))
+    plan = payload.exactly(source, decided, F.col("outcome") == "copied")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in text and "Sort [" not in text
 

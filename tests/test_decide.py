@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from firstseen.operators import content
+from firstseen.operators.classify import classify
+from firstseen.operators.order import sibling_positions
+from firstseen.schemas import CACHE
 from firstseen.workspace import stage
 
 
@@ -140,3 +143,39 @@ def test_leading(spark):
     for text in {r[1] for r in rows}:
         expected += sorted(r[0] for r in rows if r[1] == text)[:3]
     assert got == sorted(expected)
+
+
+def test_rows_without_a_path_are_spread(spark):
+    """A third of the rows has neither path nor digest: no task of a join may hold all of them."""
+    frame = spark.range(30_000).select(
+        F.when(F.col("id") % 3 > 0, F.sha2(F.col("id").cast("string"), 256).cast("binary")).alias("path_hash"),
+        F.lit(None).cast("binary").alias("path_bytes"), F.lit(None).cast("binary").alias("content_hash"),
+        F.col("id").alias("size"), F.col("id").alias("mtime_ns"), F.lit(0).cast("bigint").alias("ctime_ns"),
+        F.lit(False).alias("eligible"), F.lit(False).alias("known"),
+    )
+    frame = stage(frame, "pathless")
+    cache = spark.createDataFrame([], CACHE)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for joined in (classify(frame, cache), content.decide(frame)):
+            lost = joined.filter(F.col("path_hash").isNull()).groupBy(F.spark_partition_id()).count().collect()
+            assert sum(r["count"] for r in lost) == 10_000 and max(r["count"] for r in lost) < 10_000 / 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_slices_follow_the_rows(spark, monkeypatch):
+    """One directory with all files: no task ranks more than its share."""
+    monkeypatch.setattr("firstseen.operators.order.SLICE_ROWS", 500)
+    path = F.format_string("/s/%05d", "id")
+    frame = spark.range(10_000).select(path.alias("path"), path.cast("binary").alias("path_bytes"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        placed = sibling_positions(frame)
+        per_task = placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert placed.select(F.format_string("/s/%05d", F.col("position") - 1) == F.col("path")).distinct().collect() == [(True,)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert per_task < 10_000 / 2

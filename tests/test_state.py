@@ -147,3 +147,17 @@ def test_forgotten_stays_forgotten_after_an_interrupted_rewrite(spark, tmp_path,
     state.compact_ledger()
     left = sorted(bytes(r.content_hash[:1]) for r in state.ledger().collect())
     assert left == [b"b", b"c", b"d"]
+
+
+def test_rewrites_keep_one_generation_for_readers(spark, state):
+    state.append_ledger(entries(spark, 1, "a", "b"))
+    state.append_ledger(entries(spark, 2, "c"))
+    before = state.ledger()
+    state.compact_ledger()
+    assert before.count() == 3 and state.ledger().count() == 3
+    state.append_ledger(entries(spark, 3, "d"))
+    state.compact_ledger()
+    assert state.folder.subfolders("ledger/writer=batch") == ["run_id=2"]
+    assert held(state) == {"a": 1, "b": 1, "c": 2, "d": 3}
+    state.append_ledger(entries(spark, 4, "e"))
+    assert state.next_run() == 4 and state.ledger().count() == 5
