@@ -31,18 +31,14 @@ def reads_files(table: DataFrame) -> bool:
     return True
 
 
-def file_of(table: DataFrame) -> Column:
-    """The stored file a row comes from; NULL if the table does not read files."""
-    return F.col("_metadata.file_path") if reads_files(table) else F.lit(None).cast("string")
-
-
 def files_with(table: DataFrame, rows: DataFrame, wanted: Column) -> DataFrame:
     """``table`` without the files in which no row is wanted.
 
-    ``rows`` is staged, covers the table and has ``source_file``. The driver gets
-    one flag per file, of files it lists anyway to plan the scan.
+    ``rows`` is staged and covers the table. Only if it has ``source_file`` can files be
+    told apart. The driver gets one flag per file, of files it lists anyway to plan
+    the scan.
     """
-    if not reads_files(table):
+    if FILE not in rows.columns:
         return table
     flags = rows.filter(F.col(FILE).isNotNull()).groupBy(FILE).agg(F.bool_or(wanted).alias("keep")).collect()
     skipped = [flag[FILE] for flag in flags if not flag["keep"]]

@@ -18,7 +18,7 @@ from firstseen.functions.globs import keeps_file
 from firstseen.operators import cache as cache_ops
 from firstseen.operators import classify as classify_ops
 from firstseen.operators import content, filters, ledger, payload, stats
-from firstseen.schemas import COPIED, CORE, FAILED, SKIPPED, UNCHANGED
+from firstseen.schemas import COPIED, FAILED, SKIPPED, UNCHANGED
 from firstseen.sources import tables
 from firstseen.state.store import State, now_ms
 from firstseen.workspace import discard, fresh_folder, setting, stage
@@ -40,9 +40,11 @@ class TableSource:
     size: Column | None = None
 
     def manifest(self, with_digest: bool = False, with_file: bool = False) -> DataFrame:
+        """Manifest rows; ``with_file`` adds the stored file of a row, if the table reads files."""
+        located = with_file and payload.reads_files(self.table)
         return tables.manifest(
             self.table, self.path, self.payload, self.mtime_ns, self.root, self.ctime_ns, self.size, with_digest,
-            payload.file_of(self.table) if with_file else None,
+            F.col("_metadata.file_path") if located else None,
         )
 
     def selected(self, globs: Sequence[str], ignore_hidden: bool) -> TableSource:
@@ -92,13 +94,13 @@ def hash_rows(source: TableSource, cache: DataFrame | None, folder: str | None =
     measured, the same scan takes the digest.
     """
     if cache is not None and source.size is not None:
-        chosen = filters.with_errors(source.manifest(with_file=True)).select(*CORE, payload.FILE)
+        chosen = filters.with_errors(source.manifest(with_file=True)).drop("path", "rel_path")
         classified = stage(classify_ops.classify(chosen, cache), "classified", folder)
         fresh = digests_of_misses(source, classified).withColumnRenamed("content_hash", "fresh_hash")
         rows = classify_ops.with_path(classified, fresh)
     else:
         chosen = filters.with_errors(source.manifest(with_digest=True, with_file=True))
-        chosen = chosen.select(*CORE, payload.FILE, F.col("content_hash").alias("fresh_hash"))
+        chosen = chosen.drop("path", "rel_path").withColumnRenamed("content_hash", "fresh_hash")
         if cache is None:
             rows = classify_ops.classify_without_cache(chosen)
         else:
