@@ -260,7 +260,7 @@ def ingest_files(
     if cleanup:
         state.compact_ledger(min_runs=COMPACT_RUNS)
     # The frames returned below read these tables only.
-    kept = ("hashed",) if mode == "load" else ("marked", "decided-")
+    kept = ("hashed",) if mode == "load" else ("marked", "decided-", "copied-")
     for name in Folder(spark, folder).subfolders(""):
         if not name.startswith(kept):
             discard(spark, f"{folder}/{name}")
