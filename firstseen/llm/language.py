@@ -2,14 +2,19 @@
 
 Fitting counts, over all labelled documents, how often each language uses each
 word and each character n-gram of the padded word; tasks count before the
-shuffle. The model holds the WORDS most frequent words and, for each length, the
-GRAMS most frequent n-grams, which bounds its size and so its broadcast whatever
-the corpus. Its scores are smoothed log frequencies per language.
+shuffle. All counts are kept, as one staged table; scores are smoothed log
+frequencies per language.
 
 A known word adds its scores. Any other word adds the mean scores of its known
 n-grams of the greatest length that has any, down to single letters. The
 language with the largest sum is predicted; its posterior is the score.
 
+Only the most frequent words of each language are broadcast, WORDS in all and as
+many of each language, and summed where the text is read. That bounds the broadcast
+and changes no result: a text's other words are joined to the staged table, and those
+it does not hold to its n-grams, each distinct word once. Scores are whole numbers
+of 1 / SCALE, so their sums do not depend on order.
+
 Defined results. A null text, or one without letters, is ``und`` with score 0; so
 is everything if no labelled document has a letter. A text none of whose
 letters was ever seen gets the most frequent language. Ties go to the first
@@ -29,21 +34,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firstseen.llm.common import spread_join
 from firstseen.workspace import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS = 30_000
-GRAMS = 20_000
 LONGEST = 4
 FLUSH = 300_000
 SMOOTHING = 0.5
+SCALE = 1 << 32
 UNDETERMINED = "und"
-_CACHED = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -101,107 +106,131 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Scores of words and n-grams; ``langs`` in code point order."""
-
-    def __init__(self, langs: list[str], totals: dict[int, np.ndarray], rows: dict[int, dict[str, np.ndarray]]):
-        self.langs = langs
-        self.known: list[dict[str, int]] = []
-        scores = [np.zeros((1, len(langs)))]  # row 0: a word with nothing known
-        at = 1
-        for length in range(LONGEST + 1):
-            table = rows.get(length, {})
-            below = totals.get(length, np.zeros(len(langs))) + SMOOTHING * (len(table) + 1)
-            self.known.append({gram: at + i for i, gram in enumerate(table)})
-            at += len(table)
-            if table:
-                scores.append(np.log((np.array(list(table.values())) + SMOOTHING) / below))
-        self.scores = np.concatenate(scores)
-        spoken = totals.get(0, np.zeros(len(langs)))
-        self.prior = np.log((spoken + 1) / (spoken + 1).sum())
-
-    def places(self, word: str) -> list[int]:
-        """Rows whose mean is the word's score: its own, or its longest known n-grams'."""
-        own = self.known[0].get(word)
-        if own is not None:
-            return [own]
-        for length in range(LONGEST, 0, -1):
-            get = self.known[length].get
-            found = [at for gram in grams_of(word, length) if (at := get(gram)) is not None]
-            if found:
-                return found
-        return [0]
-
-    def words(self, words: list[str]) -> np.ndarray:
-        """Scores of each of the words."""
-        places = list(map(self.places, words))
-        sizes = np.fromiter(map(len, places), np.int64, len(places))
-        flat = np.fromiter((at for each in places for at in each), np.int64, int(sizes.sum()))
-        return np.add.reduceat(self.scores[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
-
-
-def fit(docs: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model:
+    """``langs`` in code point order; ``prior`` and ``common`` (scores of the most
+    frequent words) by language; ``scores`` (length, gram, scores) holds everything."""
+
+    def __init__(self, langs: list[str], prior: list[int], common: dict[str, list[int]], scores: DataFrame | None):
+        self.langs, self.prior, self.common, self.scores = langs, prior, common, scores
+
+
+def fit(docs: DataFrame, words: int = WORDS) -> Model:
     """Model of the documents with text and language; counts cover all of them."""
     labelled = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text")).filter("lang is not null and text is not null")
     counted = labelled.mapInArrow(_count, "lang string, length int, gram string, n long")
-    totals_and_counts = stage(counted.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")), "language-counts")
-    totals = totals_and_counts.groupBy("lang", "length").agg(F.sum("n").alias("n")).collect()  # a row per language and length
+    summed = counted.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n"))
+    by = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
+    counts = stage(summed.groupBy("length", "gram").agg(by), "language-counts")
+    each = counts.select("length", "gram", F.explode("by").alias("lang", "n"))
+    totals = each.groupBy("length", "lang").agg(F.sum("n").alias("n")).collect()  # a row per language and length
+    kinds = {r["length"]: r["count"] for r in counts.groupBy("length").count().collect()}
     langs = sorted({row["lang"] for row in totals})
-    place = {lang: i for i, lang in enumerate(langs)}
-    sums = {length: np.zeros(len(langs)) for length in range(LONGEST + 1)}
-    for row in totals:
-        sums[row["length"]][place[row["lang"]]] = row["n"]
-    per_gram = totals_and_counts.groupBy("length", "gram").agg(
-        F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
-    )
-    rows: dict[int, dict[str, np.ndarray]] = {}
-    for length in range(LONGEST + 1):
-        best = per_gram.filter(F.col("length") == length).orderBy(F.desc("all"), "gram").limit(grams if length else words)
-        rows[length] = {r["gram"]: np.array([r["by"].get(lang, 0) for lang in langs], float) for r in best.collect()}
-    return Model(langs, sums, rows)
+    if not langs:
+        return Model([], [], {}, None)
+    used = {(r["length"], r["lang"]): r["n"] for r in totals}
+
+    def score(lang: str) -> Column:
+        below = [float(used.get((length, lang), 0) + SMOOTHING * (kinds.get(length, 0) + 1)) for length in range(LONGEST + 1)]
+        share = (F.coalesce(F.col("by")[lang], F.lit(0)) + SMOOTHING) / F.element_at(F.lit(below), F.col("length") + 1)
+        return F.round(F.log(share) * SCALE).cast("long")
 
+    scores = counts.select("length", "gram", F.array(*map(score, langs)).alias("scores"))
+    frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    ranked = each.filter("length = 0").withColumn("rank", F.row_number().over(frequent))
+    best = ranked.filter(F.col("rank") <= max(1, words // len(langs))).select("gram").distinct()
+    common = scores.filter("length = 0").join(F.broadcast(best), "gram", "left_semi").collect()
+    spoken = np.array([used.get((0, lang), 0) + 1 for lang in langs], float)
+    prior = [round(p * SCALE) for p in np.log(spoken / spoken.sum()).tolist()]
+    return Model(langs, prior, {r["gram"]: r["scores"] for r in common}, scores)
+
+
+def _parts(shared, n_langs: int):
+    """Per text: whether it has words, the sums of its common words, its other words."""
 
-def _predictor(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        cache: dict[str, int] = {}
-        table = np.zeros((0, len(m.langs)))
+        common = shared.value
+        place = {word: i for i, word in enumerate(common)}
+        table = np.array(list(common.values()), np.int64).reshape(len(common), n_langs)
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column("text"):
+            sums = np.zeros((batch.num_rows, n_langs), np.int64)
+            spoken, ends, words, times = [], [0], [], []
+            for i, text in enumerate(batch.column("text")):
                 counts = Counter(words_of(text.as_py() or ""))
-                if not counts or not m.langs:
-                    langs.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                fresh = [word for word in counts if word not in cache]
-                if fresh:
-                    if len(cache) > _CACHED:
-                        cache.clear()
-                        table = table[:0]
-                        fresh = list(counts)
-                    begin = len(cache)
-                    cache.update((word, begin + i) for i, word in enumerate(fresh))
-                    if len(cache) > len(table):
-                        table = np.concatenate([table[:begin], np.empty((max(len(fresh), begin), len(m.langs)))])
-                    table[begin : begin + len(fresh)] = m.words(fresh)
-                rows = np.fromiter((cache[word] for word in counts), np.int64, len(counts))
-                total = np.fromiter(counts.values(), float, len(counts)) @ table[rows] + m.prior
-                best = int(np.argmax(total))
-                langs.append(m.langs[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
+                spoken.append(bool(counts))
+                rows, n = [], []
+                for word, k in counts.items():
+                    at = place.get(word)
+                    if at is None:
+                        words.append(word)
+                        times.append(k)
+                    else:
+                        rows.append(at)
+                        n.append(k)
+                if rows:
+                    sums[i] = np.array(n, np.int64) @ table[np.array(rows)]
+                ends.append(len(words))
+            rest = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(times, pa.int64())], ["word", "n"])
+            starts = np.arange(batch.num_rows + 1, dtype=np.int32) * n_langs
             names = [name for name in batch.schema.names if name != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(name) for name in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                [*names, "lang_pred", "score"],
+                [
+                    *(batch.column(name) for name in names), pa.array(spoken, pa.bool_()),
+                    pa.ListArray.from_arrays(pa.array(starts), pa.array(sums.ravel())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest),
+                ],
+                [*names, "__spoken", "__sums", "__rest"],
             )
 
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, gram) of words: all their n-grams of every length."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 1000):
+            words, grams = [], []
+            for word in batch.column("word").slice(begin, 1000).to_pylist():
+                for length in range(1, LONGEST + 1):
+                    found = grams_of(word, length)
+                    words += [word] * len(found)
+                    grams += found
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(grams, pa.string())], ["word", "gram"])
+
+
+def _word_scores(words: DataFrame, model: Model) -> DataFrame:
+    """(word, scores) of distinct ``words`` that are known or have known n-grams."""
+    at = range(len(model.langs))
+    known = model.scores.filter("length = 0").select(F.col("gram").alias("word"), "scores")
+    looked_up = stage(words.join(known, "word", "left"), "language-words")
+    absent = looked_up.filter("scores is null").select("word")
+    cut = stage(absent.mapInArrow(_cut, "word string, gram string"), "language-grams")
+    # An n-gram's own length tells which count it needs.
+    met = spread_join(cut, model.scores.filter("length > 0"), "gram")
+    sums = met.groupBy("word", "length").agg(F.count(F.lit(1)).alias("k"), *(F.sum(F.col("scores")[i]).alias(f"s{i}") for i in at))
+    longest = sums.groupBy("word").agg(F.max(F.struct("length", F.array(*(F.expr(f"s{i} div k") for i in at)).alias("scores"))).alias("best"))
+    return looked_up.filter("scores is not null").unionByName(longest.select("word", F.col("best.scores").alias("scores")))
+
+
 def predict(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
     """``keep`` columns of ``docs``, ``lang_pred`` and ``score``."""
     rows = docs.select(*keep, F.col("text"))
-    fields = [field for field in rows.schema if field.name != "text"]
-    out = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predictor(shared), out)
+    names = [field.name for field in rows.schema if field.name != "text"]
+    if not model.langs:
+        return rows.select(*names, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    at = range(len(model.langs))
+    extra = T.StructType.fromDDL("__spoken boolean, __sums array<bigint>, __rest array<struct<word: string, n: bigint>>")
+    out = T.StructType([*(field for field in rows.schema if field.name != "text"), *extra])
+    shared = docs.sparkSession.sparkContext.broadcast(model.common)
+    parts = rows.mapInArrow(_parts(shared, len(model.langs)), out).withColumn("__id", F.monotonically_increasing_id())
+    parts = stage(parts, "language-parts")
+    rest = parts.select("__id", F.inline("__rest"))
+    scored = stage(_word_scores(rest.select("word").distinct(), model), "language-scores")
+    met = spread_join(rest, scored, "word")
+    sums = met.groupBy("__id").agg(F.array(*(F.sum(F.col("n") * F.col("scores")[i]) for i in at)).alias("__more"))
+    total = F.array(*(F.col("__sums")[i] + F.coalesce(F.col("__more")[i], F.lit(0)) + model.prior[i] for i in at))
+    joined = parts.drop("__rest").join(sums, "__id", "left").withColumn("__total", total)
+    best = F.array_max("__total")
+    odds = F.aggregate("__total", F.lit(0.0), lambda sum_, each: sum_ + F.exp((each - best) / SCALE))
+    return joined.select(
+        *names,
+        F.when(F.col("__spoken"), F.lit(model.langs)[F.array_position("__total", best).cast("int") - 1]).otherwise(UNDETERMINED).alias("lang_pred"),
+        F.when(F.col("__spoken"), 1 / odds).otherwise(0.0).alias("score"),
+    )
