@@ -7,7 +7,8 @@ DOCUMENTS lines of the leaf (one per document and distinct line) hold it there,
 else the field is variable. Lines of equal pattern are one template; if at least
 KEEP of its tokens are constant and at least DOCUMENTS documents hold it, it recurs
 and all of its lines are dropped. A line that itself, digits aside, occurs in that
-many documents recurs in any case.
+many documents recurs in any case. So does a passage, a line of at least LONG tokens,
+that two documents of different text hold word for word, digits included.
 
 Every step is a count by key that combines before its shuffle. Only the leaves
 with enough documents have their lines looked at token by token, each distinct line
@@ -16,7 +17,7 @@ once. A very common line or token does not gather in one task when it is joined.
 Defined results. Null text counts as empty and has no lines. Lines are separated by
 line feeds; one with fewer than TOKENS tokens never recurs and stays, so blank lines
 do too. A line repeated in one document counts once there. Repeated rows are other
-documents with the same lines. Ids may be null or repeated: rows are told apart by
+documents with the same lines, but do not make a passage recur. Ids may be null or repeated: rows are told apart by
 where they are stored. Whole texts are read; a task's memory is bounded by a batch
 of them. Only ``doc_id`` and ``text`` are read. An empty table gives an empty result.
 """
@@ -43,6 +44,9 @@ DEPTH = 3
 TOKENS = 5
 DOCUMENTS = 10
 KEEP = 0.8
+LONG = 50
+# By which count a line recurs, besides by its template.
+_EXACT, _PASSAGE = 1, 2
 _ANY = "<*>"
 _DIGIT = re.compile(r"[0-9]").search
 
@@ -61,38 +65,52 @@ def keys_of(tokens: list[str]) -> tuple[int, int]:
     return _hash(f"{len(tokens)} {' '.join(tokens[:DEPTH])}"), _hash(" ".join(tokens))
 
 
+def _repeats(tokens: list[str], masked: list[str]) -> Iterator[tuple[int, int, int, bool]]:
+    """(leaf, line, rule, general) under which a line is counted: digits aside, and as it stands."""
+    if len(tokens) < TOKENS:
+        return
+    passage, same = len(tokens) >= LONG, _ANY not in masked
+    yield *keys_of(masked), _PASSAGE if passage and same else _EXACT, True
+    if passage and not same:
+        yield *keys_of(["", *tokens]), _PASSAGE, False
+
+
 def _parsed(with_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
-                rows, numbers, leaves, lines, fresh, words = [], [], [], [], [], []
+                rows, numbers, leaves, lines, rules, general, fresh, texts, words = ([] for _ in range(9))
                 for i, text in enumerate(part.column("text").to_pylist()):
                     seen = set()
+                    digest = _hash(text) if text and not with_tokens else 0
                     for number, line in enumerate(text.split("\n")) if text else ():
-                        tokens = tokens_of(line)
-                        if len(tokens) < TOKENS:
-                            continue
-                        leaf, key = keys_of(tokens)
-                        new = (leaf, key) not in seen
-                        seen.add((leaf, key))
-                        if with_tokens and not new:
-                            continue
-                        rows.append(i)
-                        numbers.append(number)
-                        leaves.append(leaf)
-                        lines.append(key)
-                        fresh.append(new)
-                        if with_tokens:
-                            words.append(" ".join(tokens))
+                        masked = tokens_of(line)
+                        for leaf, key, rule, wide in _repeats(line.split(), masked):
+                            new = (leaf, key) not in seen
+                            seen.add((leaf, key))
+                            if with_tokens and not (new and wide):
+                                continue
+                            leaves.append(leaf)
+                            lines.append(key)
+                            if with_tokens:
+                                words.append(" ".join(masked))
+                                continue
+                            rows.append(i)
+                            numbers.append(number)
+                            rules.append(rule)
+                            general.append(wide)
+                            fresh.append(new)
+                            texts.append(digest)
                 keyed = [pa.array(leaves, pa.int64()), pa.array(lines, pa.int64())]
                 if with_tokens:
                     yield pa.RecordBatch.from_arrays([*keyed, pa.array(words, pa.string())], ["leaf", "line", "tokens"])
                 else:
                     place = part.select(["file", "row"]).take(pa.array(rows, pa.int64()))
+                    facts = [pa.array(rules, pa.int32()), pa.array(general, pa.bool_()), pa.array(fresh, pa.bool_()), pa.array(texts, pa.int64())]
                     yield pa.RecordBatch.from_arrays(
-                        [*place.columns, pa.array(numbers, pa.int32()), *keyed, pa.array(fresh, pa.bool_())],
-                        ["file", "row", "number", "leaf", "line", "fresh"],
+                        [*place.columns, pa.array(numbers, pa.int32()), *keyed, *facts],
+                        ["file", "row", "number", "leaf", "line", "rule", "general", "fresh", "digest"],
                     )
 
     return run
@@ -100,8 +118,16 @@ def _parsed(with_tokens: bool):
 
 def recurring(docs: DataFrame, lines: DataFrame, documents: int = DOCUMENTS, keep: float = KEEP) -> DataFrame:
     """(leaf, line) of all lines that are dropped; ``lines`` is staged."""
-    counts = stage(lines.filter("fresh").groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")), "line-counts")
-    exact = counts.filter(F.col("n") >= documents).select("leaf", "line")
+    each = lines.filter("fresh").select("key.leaf", "key.line", "rule", "general", "digest")
+    counts = stage(
+        each.groupBy("leaf", "line", "rule", "general").agg(
+            F.count(F.lit(1)).alias("n"), (F.min("digest") != F.max("digest")).alias("shared")
+        ),
+        "line-counts",
+    )
+    repeated = (F.col("n") >= documents) | ((F.col("rule") == _PASSAGE) & F.col("shared"))
+    exact = counts.filter(repeated).select("leaf", "line")
+    counts = counts.filter("general")
     # Leaves that can hold a template of more than one line.
     wide = counts.groupBy("leaf").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
     wide = wide.filter((F.col("all") >= documents) & (F.col("kinds") > 1)).select("leaf")
@@ -133,13 +159,14 @@ def dropped_lines(docs: DataFrame, **options) -> DataFrame:
     docs = stored(docs)
     text = F.col("text")
     rows = located(docs, "doc_id", F.when(text.isNull() | (text == ""), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).alias("n_lines"))
-    schema = "file string, row long, number int, leaf long, line long, fresh boolean"
-    lines = stage(located(docs, "text").mapInArrow(_parsed(False), schema), "lines")
+    schema = "file string, row long, number int, leaf long, line long, rule int, general boolean, fresh boolean, digest long"
     # Leaf and line together tell lines apart; one column joins them.
     key = F.struct("leaf", "line").alias("key")
+    parsed = located(docs, "text").mapInArrow(_parsed(False), schema)
+    lines = stage(parsed.select("file", "row", "number", key, "rule", "general", "fresh", "digest"), "lines")
     unwanted = stage(recurring(docs, lines, **options).select(key), "recurring-lines")
-    found = spread_join(stage(lines.select("file", "row", "number", key), "keyed-lines"), unwanted, "key")
-    per_row = found.groupBy("file", "row").agg(F.array_sort(F.collect_list("number")).alias("dropped"))
+    found = spread_join(lines.select("file", "row", "number", "key"), unwanted, "key")
+    per_row = found.groupBy("file", "row").agg(F.array_sort(F.collect_set("number")).alias("dropped"))
     return rows.join(per_row, ["file", "row"], "left").select(
         "doc_id", "file", "row", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped")
     )
