@@ -8,15 +8,16 @@ else the field is variable. Lines of equal pattern are one template; if at least
 KEEP of its tokens are constant and at least DOCUMENTS documents hold it, it recurs
 and all of its lines are dropped. A line that itself, digits aside, occurs in that
 many documents recurs in any case. So does a passage, a line of at least LONG tokens,
-that two documents of different text hold word for word, digits included.
+that two documents of different text hold word for word, digits included. A line
+of fewer than TOKENS tokens is in no template; it recurs if DOCUMENTS documents hold
+it, digits included.
 
 Every step is a count by key that combines before its shuffle. Only the leaves
 with enough documents have their lines looked at token by token, each distinct line
 once. A very common line or token does not gather in one task when it is joined.
 
 Defined results. Null text counts as empty and has no lines. Lines are separated by
-line feeds; one with fewer than TOKENS tokens never recurs and stays, so blank lines
-do too. A line repeated in one document counts once there. Repeated rows are other
+line feeds; blank ones never recur and stay. A line repeated in one document counts once there. Repeated rows are other
 documents with the same lines, but do not make a passage recur. Ids may be null or repeated: rows are told apart by
 where they are stored. Whole texts are read; a task's memory is bounded by a batch
 of them. Only ``doc_id`` and ``text`` are read. An empty table gives an empty result.
@@ -68,6 +69,8 @@ def keys_of(tokens: list[str]) -> tuple[int, int]:
 def _repeats(tokens: list[str], masked: list[str]) -> Iterator[tuple[int, int, int, bool]]:
     """(leaf, line, rule, general) under which a line is counted: digits aside, and as it stands."""
     if len(tokens) < TOKENS:
+        if tokens:
+            yield *keys_of(["", *tokens]), _EXACT, False
         return
     passage, same = len(tokens) >= LONG, _ANY not in masked
     yield *keys_of(masked), _PASSAGE if passage and same else _EXACT, True

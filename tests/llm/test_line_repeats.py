@@ -16,3 +16,8 @@ def test_passages_recur_in_two_documents(spark):
     texts = [f"{plain}\nfirst", f"second\n{plain}", numbered, f"{numbered}\nfourth", numbered.replace("1999", "2001"), copied, copied]
     texts += [" ".join(words[:40]), " ".join(words[:40]) + "\nanother text"]
     assert dropped(spark, texts) == [[0], [1], [0], [0], [], [], [], [], []]
+
+
+def test_short_lines_recur(spark):
+    texts = [f"All rights reserved.\n\n  \nPage {i}\nShare" if i < 9 else "All rights reserved.\n\n  " for i in range(12)]
+    assert dropped(spark, texts) == [[0]] * 12
