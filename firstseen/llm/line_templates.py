@@ -152,8 +152,19 @@ def recurring(docs: DataFrame, lines: DataFrame, documents: int = DOCUMENTS, kee
         F.avg(F.col("constant").cast("int")).alias("share"),
     )
     patterns = stage(patterns.filter(F.col("share") >= keep).withColumn("template", F.xxhash64("leaf", "pattern")), "line-patterns")
-    common = patterns.groupBy("template").agg(F.sum("n").alias("held")).filter(F.col("held") >= documents)
-    general = spread_join(patterns, common, "template").select("leaf", "line")
+    # The sum over a template's lines is at least the number of its documents, that of
+    # its most common line at most; only between the two are documents told apart.
+    held = patterns.groupBy("template").agg(F.sum("n").alias("all"), F.max("n").alias("most")).filter(F.col("all") >= documents)
+    held = stage(held, "line-templates")
+    common = held.filter(F.col("most") >= documents).select("template")
+    unsure = spread_join(patterns, held.filter(F.col("most") < documents).select("template"), "template")
+    unsure = stage(unsure.select(F.struct("leaf", "line").alias("key"), "template"), "unsure-lines")
+    if not unsure.isEmpty():
+        rows = lines.filter("fresh and general").select("file", "row", "key")
+        holders = spread_join(rows, unsure, "key").select("template", "file", "row").distinct()
+        counted = holders.groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= documents)
+        common = common.union(counted.select("template"))
+    general = spread_join(patterns, stage(common, "common-templates"), "template").select("leaf", "line")
     return exact.union(general).distinct()
 
 

@@ -21,3 +21,12 @@ def test_passages_recur_in_two_documents(spark):
 def test_short_lines_recur(spark):
     texts = [f"All rights reserved.\n\n  \nPage {i}\nShare" if i < 9 else "All rights reserved.\n\n  " for i in range(12)]
     assert dropped(spark, texts) == [[0]] * 12
+
+
+def test_a_template_needs_ten_documents(spark):
+    line = "put the item {} into the big box near wall"
+    listing = "\n".join(line.format(c * 3) for c in "abcdefghijkl")
+    others = [f"own words of document {c}" for c in "abc"]
+    assert dropped(spark, [listing, *others]) == [[], [], [], []]
+    spread = [line.format(c * 4) for c in "abcdefghi"]
+    assert dropped(spark, [listing, *spread]) == [list(range(12)), *[[0]] * 9]
