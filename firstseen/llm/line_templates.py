@@ -7,7 +7,8 @@ DOCUMENTS lines of the leaf (one per document and distinct line) hold it there,
 else the field is variable. Lines of equal pattern are one template; if at least
 KEEP of its tokens are constant and at least DOCUMENTS documents hold it, it recurs
 and all of its lines are dropped. A line that itself, digits aside, occurs in that
-many documents recurs in any case. So does a passage, a line of at least LONG tokens,
+many documents recurs too; if tokens with digits leave less than KEEP of it constant,
+it must occur in them digits included. So does a passage, a line of at least LONG tokens,
 that two documents of different text hold word for word, digits included. A line
 of fewer than TOKENS tokens is in no template; it recurs if DOCUMENTS documents hold
 it, digits included.
@@ -47,7 +48,7 @@ DOCUMENTS = 10
 KEEP = 0.8
 LONG = 50
 # By which count a line recurs, besides by its template.
-_EXACT, _PASSAGE = 1, 2
+_NEVER, _EXACT, _PASSAGE = 0, 1, 2
 _ANY = "<*>"
 _DIGIT = re.compile(r"[0-9]").search
 
@@ -66,19 +67,20 @@ def keys_of(tokens: list[str]) -> tuple[int, int]:
     return _hash(f"{len(tokens)} {' '.join(tokens[:DEPTH])}"), _hash(" ".join(tokens))
 
 
-def _repeats(tokens: list[str], masked: list[str]) -> Iterator[tuple[int, int, int, bool]]:
+def _repeats(tokens: list[str], masked: list[str], keep: float) -> Iterator[tuple[int, int, int, bool]]:
     """(leaf, line, rule, general) under which a line is counted: digits aside, and as it stands."""
     if len(tokens) < TOKENS:
         if tokens:
             yield *keys_of(["", *tokens]), _EXACT, False
         return
     passage, same = len(tokens) >= LONG, _ANY not in masked
-    yield *keys_of(masked), _PASSAGE if passage and same else _EXACT, True
-    if passage and not same:
-        yield *keys_of(["", *tokens]), _PASSAGE, False
+    enough = same or len(masked) - masked.count(_ANY) >= keep * len(masked)
+    yield *keys_of(masked), _PASSAGE if passage and same else _EXACT if enough else _NEVER, True
+    if not same and (passage or not enough):
+        yield *keys_of(["", *tokens]), _PASSAGE if passage else _EXACT, False
 
 
-def _parsed(with_tokens: bool):
+def _parsed(with_tokens: bool, keep: float = KEEP):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
@@ -89,7 +91,7 @@ def _parsed(with_tokens: bool):
                     digest = _hash(text) if text and not with_tokens else 0
                     for number, line in enumerate(text.split("\n")) if text else ():
                         masked = tokens_of(line)
-                        for leaf, key, rule, wide in _repeats(line.split(), masked):
+                        for leaf, key, rule, wide in _repeats(line.split(), masked, keep):
                             new = (leaf, key) not in seen
                             seen.add((leaf, key))
                             if with_tokens and not (new and wide):
@@ -128,7 +130,7 @@ def recurring(docs: DataFrame, lines: DataFrame, documents: int = DOCUMENTS, kee
         ),
         "line-counts",
     )
-    repeated = (F.col("n") >= documents) | ((F.col("rule") == _PASSAGE) & F.col("shared"))
+    repeated = ((F.col("n") >= documents) & (F.col("rule") != _NEVER)) | ((F.col("rule") == _PASSAGE) & F.col("shared"))
     exact = counts.filter(repeated).select("leaf", "line")
     counts = counts.filter("general")
     # Leaves that can hold a template of more than one line.
@@ -176,7 +178,7 @@ def dropped_lines(docs: DataFrame, **options) -> DataFrame:
     schema = "file string, row long, number int, leaf long, line long, rule int, general boolean, fresh boolean, digest long"
     # Leaf and line together tell lines apart; one column joins them.
     key = F.struct("leaf", "line").alias("key")
-    parsed = located(docs, "text").mapInArrow(_parsed(False), schema)
+    parsed = located(docs, "text").mapInArrow(_parsed(False, options.get("keep", KEEP)), schema)
     lines = stage(parsed.select("file", "row", "number", key, "rule", "general", "fresh", "digest"), "lines")
     unwanted = stage(recurring(docs, lines, **options).select(key), "recurring-lines")
     found = spread_join(lines.select("file", "row", "number", "key"), unwanted, "key")

@@ -30,3 +30,9 @@ def test_a_template_needs_ten_documents(spark):
     assert dropped(spark, [listing, *others]) == [[], [], [], []]
     spread = [line.format(c * 4) for c in "abcdefghi"]
     assert dropped(spark, [listing, *spread]) == [list(range(12)), *[[0]] * 9]
+
+
+def test_rows_of_numbers_differ(spark):
+    table = [" ".join(str(i * 7 + j) for j in range(6)) for i in range(12)]
+    assert dropped(spark, [f"{row}\n1 2 3 4 5 6 7" for row in table]) == [[1]] * 12
+    assert dropped(spark, [f"version {i} of the very same long footer line" for i in range(12)]) == [[0]] * 12
