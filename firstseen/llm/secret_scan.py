@@ -1,13 +1,17 @@
 """Secret scans: base patterns, plus assignments found by a lexer.
 
 The lexer reads source and configuration syntax (``name = "literal"``,
-``name: literal``, ``export NAME=literal``, JSON members, ``.env`` lines, XML-like
-attributes) into pairs of a name and a literal. A literal may be a concatenation
-of quoted strings, and a bare name on the right-hand side is replaced by the
-constant last assigned to it in the same text. Every literal is scored by how
-sensitive its target name is and how random it looks. A pair over the threshold
-adds a span for the literal (of kind ``lexed``), also at the place a constant was
-defined if only its use has a sensitive name.
+``name: literal``, ``name: type = "literal"``, ``export NAME=literal``, JSON members,
+``.env`` lines, XML-like attributes, ``table["name"] = "literal"``) into pairs of a
+name and a literal. A literal may be a concatenation of quoted strings and names, and
+a name on the right-hand side (also ``$NAME`` and ``${NAME}``, in quotes too) is
+replaced by the constant last assigned to it in the same text. A PEM block is one
+literal, also over several lines. Every literal is scored by how sensitive its target
+name is and how random it looks; private keys score by their frame, values of several
+words by the name alone. A pair of at least the threshold adds a span for each of the
+literal's parts (of kind ``lexed``), also at the place a constant was defined if only
+its use has a sensitive name. No length is limited: signs are met from left to right,
+and what a sign's target or value takes is read once.
 
 The base spans are those of three fixed patterns, and stay as they are; a lexed
 span is added only where no base span covers it.
@@ -20,6 +24,7 @@ bounded by the longest text. Repeated rows get equal results. Only ``doc_id`` an
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import sys
@@ -54,16 +59,28 @@ _HARMLESS = {"public", "example", "placeholder", "id", "name", "file", "path", "
 THRESHOLD = 3.0
 _SHORTEST = 8
 
-_NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]{0,127}"
-_QUOTED = r""""(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}'"""
-# What stands before and after an assignment sign; prose has few signs, so they are found first.
+_QUOTED = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"""
+# Prose has few assignment signs, so they are found first.
 _SIGN = re.compile(r"(?<![:=!<>])(?::=|=>|[:=])(?![=:])")
-_TARGET = re.compile(rf"""(?:(?<![A-Za-z0-9_$.-])|(?<=["']))(?P<name>{_NAME})["']?[ \t]*$""")
-_VALUE = re.compile(
-    rf"""[ \t]*(?:(?P<quoted>(?:{_QUOTED})(?:[ \t]*[+.][ \t]*(?:{_QUOTED}))*)|(?P<bare>[A-Za-z0-9_$+/.=~!@%^&*-]+))"""
-)
-_LOOK_BACK = 160
-_PIECE = re.compile(_QUOTED)
+_BLANKS = " \t"
+_NAMED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
+_FIRST = re.compile(r"[0-9.-]*")
+_BARE = r"[A-Za-z0-9_$+/.=~!@%^&*-]++"
+_USE = r"\$\{[A-Za-z_][A-Za-z0-9_]*+\}|\$?[A-Za-z_][A-Za-z0-9_$]*+(?:\.[A-Za-z_][A-Za-z0-9_$]*+)*+(?![A-Za-z0-9_$+/.=~!@%^&*(\[-])"
+_OPERAND = re.compile(rf"(?P<quoted>{_QUOTED})|(?P<use>{_USE})")
+_VALUE = re.compile(rf"(?P<quoted>{_QUOTED})|(?P<use>\$\{{[A-Za-z_][A-Za-z0-9_]*+\}})|(?P<bare>{_BARE})")
+_JOIN = re.compile(r"[ \t]*+[+.][ \t]*+")
+_OPEN = re.compile(r"""[ \t]*+["']""")
+_SPACE = re.compile(r"[ \t]*+")
+_INSERTED = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_]*+)\}|([A-Za-z_][A-Za-z0-9_]*+))")
+# Between a name and the sign of its value: a type, its brackets taken out of the second pattern.
+_TYPED = re.compile(r"""[ \t]*+([A-Za-z_$][^=:"'\n;{}()]*+)=(?![=>])""")
+_TYPE = re.compile(r"[\w$.]++[?!]?(?:[ \t]*+[|&][ \t]*+[\w$.]++[?!]?)*+[ \t]*+")
+_PEM = re.compile(r"""[ \t]*+(?:[|>][+-]?[ \t]*+\n[ \t]*+)?["'`]*+(?=-----BEGIN (?:[A-Z0-9]++ )*?PRIVATE KEY)""")
+_PEM_END = re.compile(r"-----END (?:[A-Z0-9]++ )*?PRIVATE KEY[A-Z ]*+-----")
+_PEM_BEGIN = re.compile("-----BEGIN ")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s\\:,.-]*+")
+_KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]++ )*?PRIVATE KEY")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -90,51 +107,161 @@ def name_score(name: str) -> float:
     return score - 2 * sum(part in _HARMLESS for part in parts)
 
 
-def literal_score(literal: str) -> float:
-    """Randomness: bits per character, with credit for mixed character classes."""
-    if len(literal) < _SHORTEST or len(set(literal)) < 5 or any(c.isspace() for c in literal):
-        return -3.0
-    counts = Counter(literal)
-    bits = -sum(n / len(literal) * math.log2(n / len(literal)) for n in counts.values())
-    kinds = any(map(str.isdigit, literal)) + any(map(str.islower, literal)) + any(map(str.isupper, literal))
-    return (bits - 3.0) + (kinds - 2) * 0.5 + (0.5 if len(literal) >= 16 else 0.0)
+class Literal:
+    """What scoring needs of a string, and where its parts stand: (start, end), or
+    the literals it was put together from. Its size does not grow by concatenation."""
 
+    def __init__(self, text: str = "", places: tuple = ()):
+        self.counts = Counter(text)
+        self.size = len(text)
+        self.key = _KEY_BLOCK.search(text) is not None
+        self.places = places
 
-def pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, literal, start, end) in order; names on the right become constants."""
-    constants: dict[str, tuple[str, int, int]] = {}
-    found = []
-    for sign in _SIGN.finditer(text):
-        target = _TARGET.search(text[max(0, sign.start() - _LOOK_BACK) : sign.start()])
-        match = target and _VALUE.match(text, sign.end())
-        if not match:
+    def __add__(self, other: Literal) -> Literal:
+        both = Literal(places=(self, other))
+        both.counts, both.size, both.key = self.counts + other.counts, self.size + other.size, self.key or other.key
+        return both
+
+    def score(self) -> float:
+        """Randomness: bits per character, with credit for mixed character classes.
+        Private keys have the threshold; several words have none, so that the name decides."""
+        if self.key:
+            return THRESHOLD
+        if self.size < _SHORTEST or len(self.counts) < 5:
+            return -3.0
+        if any(map(str.isspace, self.counts)):
+            return 0.0
+        bits = -sum(n / self.size * math.log2(n / self.size) for n in self.counts.values())
+        kinds = any(map(str.isdigit, self.counts)) + any(map(str.islower, self.counts)) + any(map(str.isupper, self.counts))
+        return (bits - 3.0) + (kinds - 2) * 0.5 + (0.5 if self.size >= 16 else 0.0)
+
+
+def _target(text: str, sign: int) -> str | None:
+    """The name before a sign: bare, quoted, or the last subscript of a table."""
+
+    def name_before(end: int) -> tuple[str, int]:
+        begin = end
+        while begin and text[begin - 1] in _NAMED:
+            begin -= 1
+        return text[begin + _FIRST.match(text, begin, end).end() - begin : end], begin
+
+    end = sign
+    while end and text[end - 1] in _BLANKS:
+        end -= 1
+    if end and text[end - 1] == "]":
+        end -= 1
+        quote = text[end - 1] if end and text[end - 1] in "\"'" else ""
+        name, begin = name_before(end - len(quote))
+        if text[begin - len(quote) - 1 : begin] != "[" + quote:
+            return None
+        return name or name_before(begin - len(quote) - 1)[0] or None
+    if end and text[end - 1] in "\"'":
+        end -= 1
+    return name_before(end)[0] or None
+
+
+def _operand(match: re.Match, constants: dict[str, Literal]) -> Literal | None:
+    """A quoted string with the names inserted into it, or the constant that is named."""
+    if match["quoted"] is None:
+        name = match["use"]
+        return constants.get(name) or constants.get(name.strip("${}"))
+    inner, start = match["quoted"][1:-1], match.start("quoted") + 1
+    made = Literal(inner, ((start, start + len(inner)),))
+    used = [constants[m[1] or m[2]] for m in _INSERTED.finditer(inner) if (m[1] or m[2]) in constants]
+    if used and not _INSERTED.sub("", inner):
+        made = used.pop(0)
+    for literal in used:
+        made = made + literal
+    return made
+
+
+def _value(text: str, at: int, constants: dict[str, Literal], blocks: dict[int, int]) -> Literal | None:
+    if framed := _PEM.match(text, at):
+        begin = framed.end()
+        if begin in blocks:
+            return Literal(text[begin : blocks[begin]], ((begin, blocks[begin]),))
+    at = _SPACE.match(text, at).end()
+    match = _OPERAND.match(text, at)
+    literal = match and _operand(match, constants)
+    joined, run = False, (match.start("quoted") + 1, match.end("quoted") - 1) if match and match["quoted"] is not None else None
+    while match and (sign := _JOIN.match(text, match.end())) and (following := _OPERAND.match(text, sign.end())):
+        joined, match = True, following
+        more = _operand(match, constants)
+        if match["quoted"] is None:
+            run = None
+        elif run and literal and more and literal.places == (run,) and len(more.places) == 1 and isinstance(more.places[0], tuple):
+            # Neighbouring quoted strings have one span.
+            run = (run[0], match.end("quoted") - 1)
+            literal = literal + more
+            literal.places = (run,)
             continue
-        name = target["name"]
-        if match["quoted"] is not None:
-            inside = [piece for piece in _PIECE.finditer(match["quoted"])]
-            literal = "".join(piece.group()[1:-1] for piece in inside)
-            start = match.start("quoted") + 1
-            end = match.end("quoted") - 1
         else:
-            bare = match["bare"].rstrip(".")
-            start, end = match.start("bare"), match.start("bare") + len(bare)
-            literal = bare
-            if bare in constants:
-                literal, start, end = constants[bare]
-        if literal:
-            constants[name] = (literal, start, end)
-            found.append((name, literal, start, end))
+            run = (match.start("quoted") + 1, match.end("quoted") - 1)
+        literal = literal + more if literal and more else literal or more
+    if literal and (joined or match["quoted"] is not None or match["use"]):
+        return literal
+    match = _VALUE.match(text, at)
+    if not match or match["bare"] is None:
+        return None
+    bare = match["bare"].rstrip(".")
+    start = match.start("bare")
+    return constants.get(bare) or constants.get(bare.lstrip("$")) or Literal(bare, ((start, start + len(bare)),))
+
+
+def _annotated(text: str, at: int) -> int | None:
+    """Where the value starts if a type stands between the colon at ``at`` and it."""
+    match = _TYPED.match(text, at)
+    if not match:
+        return None
+    depth, outside = 0, []
+    for c in match[1]:
+        depth += c in "[<"
+        if not depth:
+            outside.append(c)
+        depth -= c in "]>" and depth > 0
+    return match.end() if not depth and _TYPE.fullmatch("".join(outside)) else None
+
+
+def pairs(text: str) -> list[tuple[str, Literal]]:
+    """(name, literal) in order; names on the right become constants."""
+    constants: dict[str, Literal] = {}
+    begins = [match.start() for match in _PEM_BEGIN.finditer(text)]
+    blocks: dict[int, int] = {}  # where private keys that end before the next begins start and end
+    for at, end in {bisect.bisect_left(begins, m.start()) - 1: m for m in reversed([*_PEM_END.finditer(text)])}.items():
+        if at >= 0 and _PEM_BODY.fullmatch(text, begins[at], end.start()):
+            blocks[begins[at]] = end.end()
+    found, typed = [], {}
+    for sign in _SIGN.finditer(text):
+        name = _target(text, sign.start())
+        if name and sign.group() == ":" and (begin := _annotated(text, sign.end())):
+            typed[begin] = name
+            if _OPEN.match(text, begin):
+                continue
+        literal = (name or sign.end() in typed) and _value(text, sign.end(), constants, blocks)
+        if not literal or not literal.size:
+            continue
+        for target in (typed.pop(sign.end(), None), name):
+            if target:
+                constants[target] = literal
+                found.append((target, literal))
     return found
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     if "=" not in text and ":" not in text:
         return []
-    found = set()
-    for name, literal, start, end in pairs(text):
+    found, met = set(), set()
+    for name, literal in pairs(text):
         named = name_score(name)
-        if named > 0 and named + literal_score(literal) >= THRESHOLD:
-            found.add((start, end, "lexed"))
+        if named > 0 and named + literal.score() >= THRESHOLD:
+            todo = [literal]
+            while todo:
+                part = todo.pop()
+                if isinstance(part, tuple):
+                    found.add((*part, "lexed"))
+                elif id(part) not in met:
+                    met.add(id(part))
+                    todo.extend(part.places)
     return sorted(found)
 
 
