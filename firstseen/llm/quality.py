@@ -8,7 +8,8 @@ word ends. N-grams are taken from the words' UTF-8 bytes, so hashing a text is a
 few vector operations per length.
 
 Training fits on at most SAMPLE labelled documents, those with the smallest hash
-of their id, each of whole text; the bound is a parameter. Their feature counts
+of their id among the ids that have a document, each of whole text; the bound is a
+parameter. Of the rows with one id and label, the one stored first is taken. Their feature counts
 are made in tasks, so the driver gets at most FEATURES pairs of each. Scoring needs only one number per bucket, the difference of the two
 classes' logits, since averages are linear.
 
@@ -31,6 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firstseen.llm.common import located, stored
+from firstseen.workspace import stage
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE = 4_000
@@ -167,13 +171,18 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int = FEATURE
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Model from texts (doc_id, text) and labels (doc_id, label 0 or 1).
 
-    The sample is drawn from the narrow labels and is bounded, so it is broadcast
-    to the texts, which are not shuffled.
+    The sample is drawn from the narrow labels and ids and is bounded, so it is
+    broadcast to the texts, which are not shuffled.
     """
+    docs = stored(docs)
     known = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    drawn = known.select("doc_id", F.col("label").cast("int").alias("label"), order.alias("h")).orderBy("h", "doc_id", "label")
-    chosen = docs.select("doc_id", "text").join(F.broadcast(drawn.limit(sample).drop("h")), "doc_id").select("label", "text")
+    there = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    drawn = there.select("doc_id", F.col("label").cast("int").alias("label"), order.alias("h")).distinct().orderBy("h", "doc_id", "label")
+    places = located(docs, "doc_id").join(F.broadcast(drawn.limit(sample).drop("h")), "doc_id")
+    first = places.groupBy("doc_id", "label").agg(F.min(F.struct("file", "row")).alias("at")).select("label", "at.file", "at.row")
+    first = stage(first, "quality-sample")
+    chosen = located(docs, "text").join(F.broadcast(first), ["file", "row"]).select("label", "text")
     rows = chosen.mapInArrow(_sampled, "label int, buckets binary, counts binary").collect()
     rows.sort(key=lambda row: (row["label"], row["buckets"], row["counts"]))
     if not rows:
