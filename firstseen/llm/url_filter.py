@@ -48,7 +48,7 @@ def rules_for(url: Column) -> Column:
     name, there = host(url), path(url)
     labels = F.split(name, r"\.")
     domains = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
+        F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")),
     )
     steps = F.split(there, "/")
