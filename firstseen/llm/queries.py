@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firstseen.llm import (
-    bpe, exact_dedup, language, line_templates, quality, secret_scan, simhash, source_mix, url_filter, vector_dedup,
+    bpe, exact_dedup, language, line_templates, quality, secret_scan, simhash, source_mix, substring_dedup, url_filter, vector_dedup,
 )
 
 
@@ -187,11 +187,41 @@ def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
     )
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id", F.col("__words").alias("n_words"), F.col("__removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+OP12_SQL = """
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 18)) AS start, words FROM split
+), keyed AS (
+  SELECT doc_id, start, array_to_string(words[start:start + 19], ' ') AS spelled FROM windows
+), later AS (
+  SELECT doc_id, start, row_number() OVER (PARTITION BY spelled ORDER BY doc_id, start) > 1 AS gone FROM keyed
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM later WHERE gone
+), removed AS (
+  SELECT doc_id, list(place) AS places FROM covered GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, len(words) AS n_words, len(coalesce(places, [])) AS n_removed,
+         CASE WHEN places IS NULL THEN words ELSE list_transform(
+           list_filter(list_zip(words, range(1, len(words) + 1)), lambda w: NOT list_contains(places, w[2])), lambda w: w[1]) END AS words
+  FROM split LEFT JOIN removed USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(words, ' ')) AS kept_sha256 FROM kept
+"""
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_exact_dedup, op2_source_mix, op3_url_filter, op4_secret_scan, op5_quality, op6_language_id, op7_vector_dedup,
-        op8_simhash, op9_line_templates, op10_bpe,
+        op8_simhash, op9_line_templates, op10_bpe, op12_substring_dedup,
     )
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_source_mix": OP2_SQL, "op3_url_filter": OP3_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_source_mix": OP2_SQL, "op3_url_filter": OP3_SQL, "op12_substring_dedup": OP12_SQL}
