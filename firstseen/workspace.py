@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from firstseen.state.folder import Folder
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,10 +46,15 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
 
 
 def stage(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads it back."""
+    """Write ``df`` once and return a DataFrame that reads it back.
+
+    The shuffles behind the table are deleted as soon as it is written: nothing
+    reads them again, and else they stay until the driver collects its garbage.
+    """
     spark = df.sparkSession
     path = f"{folder}/{label}" if folder else fresh_folder(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    with setting(spark, _DROP_SHUFFLES, "true"):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
