@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firstseen.llm import (
-    bpe, exact_dedup, language, line_templates, quality, secret_scan, simhash, source_mix, substring_dedup, url_filter, vector_dedup,
+    bpe, exact_dedup, language, lexical_search, line_templates, quality, secret_scan, simhash, source_mix, substring_dedup, url_filter,
+    vector_dedup,
 )
 
 
@@ -217,11 +218,44 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha25
 """
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+OP13_SQL = """
+WITH held AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents
+), counted AS (
+  SELECT doc_id, term, count(*) AS tf FROM held GROUP BY doc_id, term
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id
+), totals AS (
+  SELECT count(*) AS documents, sum(n)::BIGINT AS words FROM sizes
+), weighed AS (
+  SELECT term, floor(1000 * ln((2 * any_value(documents) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counted, totals GROUP BY term
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * documents) // words))))::BIGINT AS score
+  FROM asked JOIN counted USING (term) JOIN weighed USING (term) JOIN sizes USING (doc_id), totals GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_exact_dedup, op2_source_mix, op3_url_filter, op4_secret_scan, op5_quality, op6_language_id, op7_vector_dedup,
         op8_simhash, op9_line_templates, op10_bpe, op12_substring_dedup,
+        op13_lexical_search,
     )
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_source_mix": OP2_SQL, "op3_url_filter": OP3_SQL, "op12_substring_dedup": OP12_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_source_mix": OP2_SQL, "op3_url_filter": OP3_SQL, "op12_substring_dedup": OP12_SQL, "op13_lexical_search": OP13_SQL}
