@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firstseen.llm import (
-    bpe, exact_dedup, language, lexical_search, line_templates, quality, secret_scan, simhash, source_mix, substring_dedup, url_filter,
-    vector_dedup,
+    bpe, exact_dedup, language, lexical_search, line_templates, quality, secret_scan, simhash, source_mix, spelling, substring_dedup,
+    url_filter, vector_dedup,
 )
 
 
@@ -188,6 +188,52 @@ def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH RECURSIVE steps AS (
+  SELECT i::BIGINT AS byte, i::BIGINT AS crc, 0 AS bit FROM range(256) t(i)
+  UNION ALL SELECT byte, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, bit + 1 FROM steps WHERE bit < 8
+), crcs AS (
+  SELECT list(crc ORDER BY byte) AS crcs FROM steps WHERE bit = 8
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{00C0}-\\x{00FF}]+')) AS run
+  FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS bytes FROM runs GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, len(bytes), 2), lambda i: ('0x' || substr(bytes, i, 2))::BIGINT)),
+    lambda crc, byte: xor(crc >> 8, crcs[(xor(crc, byte) & 255) + 1]))) AS h
+  FROM counted, crcs
+), planted AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM planted WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), shorter AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM words
+), cut AS (
+  SELECT word, n, place, substr(word, 1, place - 1) || substr(word, place + 1) AS left_over FROM shorter
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.place = b.place AND a.left_over = b.left_over AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.left_over = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.left_over = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, min({'less': -other_n, 'form': other}) AS best FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 2 * w.n THEN best.form END AS form,
+         CASE WHEN -best.less >= 2 * w.n THEN -best.less END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), chains AS (
+  SELECT word, word AS root, form AS next, 0 AS depth FROM formed
+  UNION ALL SELECT c.word, f.word, f.form, c.depth + 1 FROM chains c JOIN formed f ON c.next = f.word
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chains c ON c.word = f.word AND c.next IS NULL
+"""
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select(
@@ -254,8 +300,10 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_exact_dedup, op2_source_mix, op3_url_filter, op4_secret_scan, op5_quality, op6_language_id, op7_vector_dedup,
-        op8_simhash, op9_line_templates, op10_bpe, op12_substring_dedup,
-        op13_lexical_search,
+        op8_simhash, op9_line_templates, op10_bpe, op11_spelling_variants, op12_substring_dedup, op13_lexical_search,
     )
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_source_mix": OP2_SQL, "op3_url_filter": OP3_SQL, "op12_substring_dedup": OP12_SQL, "op13_lexical_search": OP13_SQL}
+ORACLES = {
+    "op1_exact_dedup": OP1_SQL, "op2_source_mix": OP2_SQL, "op3_url_filter": OP3_SQL, "op11_spelling_variants": OP11_SQL,
+    "op12_substring_dedup": OP12_SQL, "op13_lexical_search": OP13_SQL,
+}
