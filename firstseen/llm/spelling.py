@@ -34,7 +34,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -248,12 +247,16 @@ def _near_in(words: list[str], counts: np.ndarray, listed: np.ndarray, asks: np.
     return out
 
 
-def _search(unit: pd.DataFrame) -> pd.DataFrame:
+_FOUND = pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("form_n", pa.int64()), ("form", pa.string())])
+
+
+def _search(unit: pa.Table) -> pa.Table:
     """One index: over the words that are listed, for those that ask. A word that stands in several keys is one."""
-    side = int(unit.side.iloc[0])
-    words = unit.groupby("word", sort=False).agg(n=("n", "first"), asks=("asks", "max"), listed=("listed", "max")).reset_index()
-    listed, asks = np.flatnonzero(words.listed), np.flatnonzero(words.asks)
-    return pd.DataFrame(_near_in(words.word.tolist(), words.n.to_numpy(), listed, asks, side))
+    side = unit.column("side")[0].as_py()
+    words = unit.group_by("word").aggregate([("n", "min"), ("asks", "max"), ("listed", "max")])
+    listed, asks = (np.flatnonzero(words.column(name).to_numpy()) for name in ("listed_max", "asks_max"))
+    found = _near_in(words.column("word").to_pylist(), words.column("n_min").to_numpy(), listed, asks, side)
+    return pa.Table.from_pydict(found, _FOUND)
 
 
 def near_words(words: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -279,7 +282,7 @@ def near_words(words: DataFrame, piece: int = PIECE) -> DataFrame:
     # An index takes several whole keys, or one chunk of one key.
     unit = F.when(F.col("chunk") < 0, F.pmod(F.xxhash64("key"), F.lit(units)).cast("string")).otherwise(F.concat_ws(" ", "key", "chunk"))
     rows = met.select("side", unit.alias("unit"), "word", "n", "asks", (F.col("home") == F.col("chunk")).alias("listed"))
-    found = rows.groupBy("side", "unit").applyInPandas(_search, "word string, n_near long, form_n long, form string")
+    found = rows.groupBy("side", "unit").applyInArrow(_search, "word string, n_near long, form_n long, form string")
     best = F.min(F.struct((-F.col("form_n")).alias("less"), "form")).alias("best")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best)
 
