@@ -7,23 +7,35 @@ from firstseen.llm import line_templates as lt
 
 
 def model(texts, documents=lt.DOCUMENTS, keep=lt.KEEP):
-    parsed = [[lt.tokens_of(line) for line in text.split("\n")] if text else [] for text in texts]
-    n = Counter(t for doc in parsed for t in {tuple(x) for x in doc if len(x) >= lt.TOKENS})
-    support, leaf_of = Counter(), {t: (len(t), t[: lt.DEPTH]) for t in n}
-    for t, k in n.items():
-        support.update({(leaf_of[t], i, token): k for i, token in enumerate(t)})
-    held, pattern = Counter(), {}
-    for t, k in n.items():
-        fixed = [token != "<*>" and support[leaf_of[t], i, token] >= documents for i, token in enumerate(t)]
-        if sum(fixed) / len(t) >= keep:
-            pattern[t] = (leaf_of[t], tuple(token if f else None for token, f in zip(t, fixed)))
-            held[pattern[t]] += k
-    leaves = defaultdict(set)
-    for t in n:
-        leaves[leaf_of[t]].add(t)
-    drop = {t for t, k in n.items() if k >= documents}
-    drop |= {t for t, p in pattern.items() if held[p] >= documents and len(leaves[leaf_of[t]]) > 1}
-    return [[i for i, x in enumerate(doc) if tuple(x) in drop] for doc in parsed]
+    """Line numbers to drop per text, after the docstring: every rule looks up whole lines, documents are sets."""
+    parsed = [[(tuple(x.split()), tuple(lt.tokens_of(x))) for x in text.split("\n")] if text else [] for text in texts]
+    raw, masked, words = defaultdict(set), defaultdict(set), {}
+    for doc, lines in enumerate(parsed):
+        for tokens, general in lines:
+            if tokens:
+                raw[tokens].add(doc)
+            if len(tokens) >= lt.TOKENS:
+                masked[general].add(doc)
+                words[tokens] = general
+    share = lambda general: 1 - general.count("<*>") / len(general)
+    drop = {t for t, docs in raw.items() if len(t) < lt.TOKENS and len(docs) >= documents}  # short lines as they stand
+    drop |= {t for t, g in words.items() if share(g) >= keep and len(masked[g]) >= documents}  # digits aside
+    drop |= {t for t, g in words.items() if share(g) < keep and len(raw[t]) >= documents}  # digits included
+    drop |= {t for t in words if len(t) >= lt.LONG and len({texts[doc] for doc in raw[t]}) > 1}  # passages
+    # Templates: fields of a leaf with enough lines stay constant, documents are counted once.
+    leaves, support, held = defaultdict(set), Counter(), defaultdict(set)
+    leaf = lambda g: (len(g), g[: lt.DEPTH])
+    for g, docs in masked.items():
+        leaves[leaf(g)].add(g)
+        support.update({(leaf(g), i, token): len(docs) for i, token in enumerate(g)})
+    pattern = {}
+    for g, docs in masked.items():
+        fixed = [token != "<*>" and support[leaf(g), i, token] >= documents for i, token in enumerate(g)]
+        if sum(fixed) / len(g) >= keep and len(leaves[leaf(g)]) > 1:
+            pattern[g] = (leaf(g), tuple(token if f else None for token, f in zip(g, fixed)))
+            held[pattern[g]] |= docs
+    drop |= {t for t, g in words.items() if g in pattern and len(held[pattern[g]]) >= documents}
+    return [[i for i, (tokens, _) in enumerate(lines) if tokens in drop] for lines in parsed]
 
 
 def check(spark, texts):
