@@ -12,11 +12,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firstseen.workspace import stage
+from firstseen.workspace import discard, stage
 
 SHARE = 10_000
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            discard(table.sparkSession, path)
+
+
 def spread_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``facts`` on ``key``; no key's rows meet in one task.
 

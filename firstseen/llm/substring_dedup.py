@@ -11,7 +11,8 @@ PERIOD that takes both to places whose remainder is in COVER. So only the runs o
 equal windows always hold an equal run at the same offset, their anchor. Runs are counted,
 combining before the shuffle; only where one recurs is it extended, to all windows
 around it. Those are told apart by a 128-bit hash of their words, whose first
-document is a minimum by hash; in a document only the first of equal windows takes part.
+document is a minimum by hash; in a document only the first of equal windows takes part. Windows are
+compared in PARTS parts by hash, one after the other, so that shuffles hold only a part of them at a time.
 
 The texts move twice, to meet their recurring anchors and to lose their words;
 everything else is hashes and places. An anchor or window with more than 1 / SHARE of the
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firstseen.llm.common import SHARE, located, stored, with_facts
+from firstseen.llm.common import SHARE, drop, located, stored, with_facts
 from firstseen.workspace import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -48,6 +49,7 @@ WINDOW = 20
 # A perfect difference set, and its modulus.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
+PARTS = 4
 _PIECE = 1 << 16
 _SPACE = 0x20
 
@@ -107,37 +109,48 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per piece of a text: the windows around its recurring anchors. ``again`` are the
-    starts whose window stands earlier in the text, the others come with their hash."""
+    """The windows around recurring anchors, per part of the hashes and piece of a text. Those
+    whose window stands earlier in the text are in part -1; the others come with their hash."""
     hash_of = xxhash.xxh3_128_digest
+    out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+
+    def flush() -> pa.RecordBatch:
+        ends = pa.array(np.cumsum([0, *(len(row[2]) for row in out)]), pa.int32())
+        starts = np.concatenate([row[2] for row in out]) if out else np.empty(0, np.int64)
+        halves = np.concatenate([row[3] for row in out]) if out else np.empty((0, 2), np.int64)
+        lists = [pa.array(starts.astype(np.int32)), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+        columns = [pa.array([row[0] for row in out], pa.int64()), pa.array([row[1] for row in out], pa.int32())]
+        columns += [pa.ListArray.from_arrays(ends, values) for values in lists]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, ["order", "part", "starts", "high", "low"])
+
+    held = 0
     for batch in batches:
-        for text, order, met in zip(batch.column("text"), batch.column("__order"), batch.column("__met")):
+        for text, order, met in zip(batch.column("text"), batch.column("__order").to_pylist(), batch.column("__met")):
             words = Words(text.as_py())
             last = len(words) - WINDOW
             marks = np.zeros(last + PERIOD + 2, np.int64)
             numbers = np.asarray(met.values)
-            places = cover_places(0, int(numbers.max()) + 1)[numbers]
-            marks[places + 1] = 1
+            marks[cover_places(0, int(numbers.max()) + 1)[numbers] + 1] = 1
             marks = marks.cumsum()
             at = np.flatnonzero(marks[PERIOD : last + PERIOD + 1] > marks[: last + 1])
             seen: set[bytes] = set()
             for begin in range(0, len(at), _PIECE):
-                part = at[begin : begin + _PIECE]
-                hashes = [*map(hash_of, words.runs(part, WINDOW))]
-                fresh = np.zeros(len(part), bool)
+                piece = at[begin : begin + _PIECE]
+                hashes = [*map(hash_of, words.runs(piece, WINDOW))]
+                fresh = np.ones(len(piece), bool)
                 for i, value in enumerate(hashes):
-                    if value not in seen:
-                        seen.add(value)
-                        fresh[i] = True
-                halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)[fresh]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([order.as_py()], pa.int64())]
-                    + [pa.array([x.tolist()], kind) for x, kind in (
-                        (part[fresh], pa.list_(pa.int32())), (halves[:, 0], pa.list_(pa.int64())),
-                        (halves[:, 1], pa.list_(pa.int64())), (part[~fresh], pa.list_(pa.int32())),
-                    )],
-                    ["order", "starts", "high", "low", "again"],
-                )
+                    if value in seen:
+                        fresh[i] = False
+                    seen.add(value)
+                halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+                part = np.where(fresh, halves[:, 0] % PARTS, -1)
+                out += [(order, k, piece[part == k], halves[part == k]) for k in range(-1, PARTS) if (part == k).any()]
+                held += len(piece)
+                if held >= _PIECE:
+                    yield flush()
+                    held = 0
+    yield flush()
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +175,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *facts], [*names, "__words", "__removed", "__kept"])
 
 
-def _semi(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
+def _meet(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
     """``rows`` joined to ``facts``, staged, whose ``n`` is how many of the ``total`` rows have its key."""
     heavy = F.broadcast(facts.filter(F.col("n") * SHARE > total))
     hot = rows.join(heavy, keys)
@@ -179,7 +192,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     each = anchors.select("piece", F.posexplode("hashes").alias("k", "hash"))
     counts = each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     total = anchors.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    met = _semi(each, stage(counts, "recurring-anchors"), ["hash"], total)
+    recurring = stage(counts, "recurring-anchors")
+    met = _meet(each, recurring, ["hash"], total)
     met = met.groupBy("piece").agg(F.collect_list("k").alias("ks"))
     places = anchors.select("piece", "doc_id", "file", "row", "first").join(met, "piece")
     shifted = F.transform("ks", lambda k: k + F.col("first"))
@@ -189,23 +203,31 @@ def repeats(docs: DataFrame) -> DataFrame:
     ordered = of_row.repartitionByRange(*by).sortWithinPartitions(*by)
     ordered = stage(ordered.withColumn("__order", F.monotonically_increasing_id()), "documents-in-order")
     texts = with_facts(docs.select(F.col("text").cast("binary").alias("text"), "_metadata"), ordered.drop("doc_id"), "inner")
-    schema = "order long, starts array<int>, high array<long>, low array<long>, again array<int>"
+    schema = "order long, part int, starts array<int>, high array<long>, low array<long>"
     windows = stage(texts.select("text", "__order", "__met").mapInArrow(_windows, schema), "windows")
-    zipped = F.inline(F.arrays_zip("starts", "high", "low")).alias("start", "high", "low")
-    each = windows.select("order", zipped)
-    counts = each.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("first"))
-    total = windows.agg(F.sum(F.size("starts"))).first()[0] or 0
-    later = _semi(each, stage(counts.filter("n > 1"), "recurring-windows"), ["high", "low"], total).filter("order > first")
-    gone = later.select("order", "start").union(windows.select("order", F.explode("again").alias("start")))
+    drop(anchors, recurring)
+    gone = windows.filter("part = -1").select("order", F.explode("starts").alias("start"))
+    for part in range(PARTS):
+        mine = windows.filter(F.col("part") == part)
+        each = mine.select("order", F.inline(F.arrays_zip("starts", "high", "low")).alias("start", "high", "low"))
+        counts = each.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("first"))
+        facts = stage(counts.filter("n > 1"), "recurring-windows")
+        total = mine.agg(F.sum(F.size("starts"))).first()[0] or 0
+        later = _meet(each, facts, ["high", "low"], total).filter("order > first").select("order", "start")
+        gone = gone.union(stage(later, "later-windows"))
+        drop(facts)
     gone = gone.groupBy("order").agg(F.collect_list("start").alias("starts"))
-    return ordered.select(F.col("__order").alias("order"), "file", "row").join(gone, "order").select("file", "row", "starts")
+    found = ordered.select(F.col("__order").alias("order"), "file", "row").join(gone, "order").select("file", "row", "starts")
+    found = stage(found, "removed-windows")
+    drop(windows, ordered)
+    return found
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` cut to the words kept, joined by one space, and two more
     columns: ``__words`` and ``__removed``, the number of words before and of those removed."""
     docs = stored(docs)
-    facts = stage(repeats(docs), "removed-windows").withColumnRenamed("starts", "__gone")
+    facts = repeats(docs).withColumnRenamed("starts", "__gone")
     rows = with_facts(docs, facts, "left").withColumn("text", F.col("text").cast("binary"))
     fields = [field for field in rows.schema if field.name not in ("text", "__gone")]
     out = T.StructType(fields + [
