@@ -2,8 +2,9 @@
 
 The lexer reads source and configuration syntax (``name = "literal"``,
 ``name: literal``, ``name: type = "literal"``, ``export NAME=literal``, JSON members,
-``.env`` lines, XML-like attributes, ``table["name"] = "literal"``) into pairs of a
-name and a literal. A literal may be a concatenation of quoted strings and names, and
+``.env`` lines, form data, XML attributes and elements, ``table["name"] = "literal"``,
+``#define NAME "literal"``, defaults as in ``getenv("NAME", "literal")``) into pairs of a
+name and a literal. Strings may have prefixes, three quotes or backticks. A literal may be a concatenation of quoted strings and names, and
 a name on the right-hand side (also ``$NAME`` and ``${NAME}``, in quotes too) is
 replaced by the constant last assigned to it in the same text. A PEM block is one
 literal, also over several lines. Every literal is scored by how sensitive its target
@@ -25,11 +26,13 @@ bounded by the longest text. Repeated rows get equal results. Only ``doc_id`` an
 from __future__ import annotations
 
 import bisect
+import heapq
 import math
 import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -59,13 +62,19 @@ _HARMLESS = {"public", "example", "placeholder", "id", "name", "file", "path", "
 THRESHOLD = 3.0
 _SHORTEST = 8
 
-_QUOTED = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"""
+_QUOTED = (
+    r"""(?:[rRbBfFuU]{1,2}(?=["']))?(?:\"{3}(?:[^"\\]|\\.|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*+'{3}"""
+    r"""|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\\n]*+(?:\\.[^`\\\n]*+)*+`)"""
+)
+_FRAME = re.compile(r"""[A-Za-z]*+(?:"{3}|'{3}|["'`])""")
 # Prose has few assignment signs, so they are found first.
 _SIGN = re.compile(r"(?<![:=!<>])(?::=|=>|[:=])(?![=:])")
 _BLANKS = " \t"
 _NAMED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
 _FIRST = re.compile(r"[0-9.-]*")
-_BARE = r"[A-Za-z0-9_$+/.=~!@%^&*-]++"
+# A bare value ends before an equals sign with more behind it and before the next name of form data,
+# so no two values take the same text.
+_BARE = r"(?:[A-Za-z0-9_$+/.~!@%^*-]|&(?![A-Za-z0-9_.-]*+=))++=*+"
 _USE = r"\$\{[A-Za-z_][A-Za-z0-9_]*+\}|\$?[A-Za-z_][A-Za-z0-9_$]*+(?:\.[A-Za-z_][A-Za-z0-9_$]*+)*+(?![A-Za-z0-9_$+/.=~!@%^&*(\[-])"
 _OPERAND = re.compile(rf"(?P<quoted>{_QUOTED})|(?P<use>{_USE})")
 _VALUE = re.compile(rf"(?P<quoted>{_QUOTED})|(?P<use>\$\{{[A-Za-z_][A-Za-z0-9_]*+\}})|(?P<bare>{_BARE})")
@@ -76,6 +85,10 @@ _INSERTED = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_]*+)\}|([A-Za-z_][A-Za-z0-9
 # Between a name and the sign of its value: a type, its brackets taken out of the second pattern.
 _TYPED = re.compile(r"""[ \t]*+([A-Za-z_$][^=:"'\n;{}()]*+)=(?![=>])""")
 _TYPE = re.compile(r"[\w$.]++[?!]?(?:[ \t]*+[|&][ \t]*+[\w$.]++[?!]?)*+[ \t]*+")
+# Names with a literal that no sign of assignment stands between.
+_DEFINE = re.compile(r"^[ \t]*+#[ \t]*+define[ \t]++([A-Za-z_]\w*+)[ \t]++(?=[\"'A-Za-z0-9])", re.M)
+_DEFAULT = re.compile(r"""\b(?:get\w*+|env|environ|property|setdefault)\([ \t]*+(["'])([A-Za-z_][\w.-]*+)\1[ \t]*+,(?=[ \t]*+["'`])""")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)>([^<>\n]++)(?=</\1>)")
 _PEM = re.compile(r"""[ \t]*+(?:[|>][+-]?[ \t]*+\n[ \t]*+)?["'`]*+(?=-----BEGIN (?:[A-Z0-9]++ )*?PRIVATE KEY)""")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]++ )*?PRIVATE KEY[A-Z ]*+-----")
 _PEM_BEGIN = re.compile("-----BEGIN ")
@@ -111,15 +124,22 @@ class Literal:
     """What scoring needs of a string, and where its parts stand: (start, end), or
     the literals it was put together from. Its size does not grow by concatenation."""
 
+    __slots__ = ("text", "size", "key", "places", "_counts")
+
     def __init__(self, text: str = "", places: tuple = ()):
-        self.counts = Counter(text)
-        self.size = len(text)
-        self.key = _KEY_BLOCK.search(text) is not None
-        self.places = places
+        self.text, self.size, self.places, self._counts = text, len(text), places, None
+        self.key = "-----BEGIN" in text and _KEY_BLOCK.search(text) is not None
+
+    @property
+    def counts(self) -> Counter:
+        """Its characters, counted when a sensitive name or a concatenation asks."""
+        if self._counts is None:
+            self._counts = Counter(self.text)
+        return self._counts
 
     def __add__(self, other: Literal) -> Literal:
         both = Literal(places=(self, other))
-        both.counts, both.size, both.key = self.counts + other.counts, self.size + other.size, self.key or other.key
+        both._counts, both.size, both.key = self.counts + other.counts, self.size + other.size, self.key or other.key
         return both
 
     def score(self) -> float:
@@ -160,12 +180,19 @@ def _target(text: str, sign: int) -> str | None:
     return name_before(end)[0] or None
 
 
+def _inside(match: re.Match) -> tuple[int, int]:
+    """Where the text between the quotes stands."""
+    frame = _FRAME.match(match.string, match.start("quoted"))
+    return frame.end(), match.end("quoted") - len(frame.group().lstrip("rRbBfFuU"))
+
+
 def _operand(match: re.Match, constants: dict[str, Literal]) -> Literal | None:
     """A quoted string with the names inserted into it, or the constant that is named."""
     if match["quoted"] is None:
         name = match["use"]
         return constants.get(name) or constants.get(name.strip("${}"))
-    inner, start = match["quoted"][1:-1], match.start("quoted") + 1
+    start, end = _inside(match)
+    inner = match.string[start:end]
     made = Literal(inner, ((start, start + len(inner)),))
     used = [constants[m[1] or m[2]] for m in _INSERTED.finditer(inner) if (m[1] or m[2]) in constants]
     if used and not _INSERTED.sub("", inner):
@@ -183,7 +210,7 @@ def _value(text: str, at: int, constants: dict[str, Literal], blocks: dict[int,
     at = _SPACE.match(text, at).end()
     match = _OPERAND.match(text, at)
     literal = match and _operand(match, constants)
-    joined, run = False, (match.start("quoted") + 1, match.end("quoted") - 1) if match and match["quoted"] is not None else None
+    joined, run = False, _inside(match) if match and match["quoted"] is not None else None
     while match and (sign := _JOIN.match(text, match.end())) and (following := _OPERAND.match(text, sign.end())):
         joined, match = True, following
         more = _operand(match, constants)
@@ -191,12 +218,12 @@ def _value(text: str, at: int, constants: dict[str, Literal], blocks: dict[int,
             run = None
         elif run and literal and more and literal.places == (run,) and len(more.places) == 1 and isinstance(more.places[0], tuple):
             # Neighbouring quoted strings have one span.
-            run = (run[0], match.end("quoted") - 1)
+            run = (run[0], _inside(match)[1])
             literal = literal + more
             literal.places = (run,)
             continue
         else:
-            run = (match.start("quoted") + 1, match.end("quoted") - 1)
+            run = _inside(match)
         literal = literal + more if literal and more else literal or more
     if literal and (joined or match["quoted"] is not None or match["use"]):
         return literal
@@ -231,7 +258,19 @@ def pairs(text: str) -> list[tuple[str, Literal]]:
         if at >= 0 and _PEM_BODY.fullmatch(text, begins[at], end.start()):
             blocks[begins[at]] = end.end()
     found, typed = [], {}
-    for sign in _SIGN.finditer(text):
+    marked = [kind for kind, mark in ((_DEFINE, "define"), (_DEFAULT, "("), (_ELEMENT, "</")) if mark in text]
+    others = [m for kind in marked for m in kind.finditer(text)]
+    for sign in heapq.merge(_SIGN.finditer(text), sorted(others, key=re.Match.end), key=re.Match.end):
+        if sign.re is not _SIGN:
+            name = sign[2] if sign.re is _DEFAULT else sign[1]
+            if sign.re is _ELEMENT:
+                literal = Literal(sign[2], (sign.span(2),))
+            else:
+                literal = _value(text, sign.end(), constants, blocks)
+            if literal and literal.size:
+                constants[name] = literal
+                found.append((name, literal))
+            continue
         name = _target(text, sign.start())
         if name and sign.group() == ":" and (begin := _annotated(text, sign.end())):
             typed[begin] = name
@@ -248,7 +287,7 @@ def pairs(text: str) -> list[tuple[str, Literal]]:
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
-    if "=" not in text and ":" not in text:
+    if not any(mark in text for mark in ("=", ":", "#", "</", "(")):
         return []
     found, met = set(), set()
     for name, literal in pairs(text):
@@ -269,7 +308,9 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     """(base, added): all spans of a text; added ones lie in no base span."""
     text = text or ""
     base = base_spans(text)
-    added = [s for s in lexed_spans(text) if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
+    # How far the base spans reach that start at or before each of them.
+    starts, reach = [b[0] for b in base], [0, *accumulate((b[1] for b in base), max)]
+    added = [s for s in lexed_spans(text) if reach[bisect.bisect_right(starts, s[0])] < s[1]]
     return base, added
 
 

@@ -64,3 +64,41 @@ def test_padded_values_and_loose_frames():
     assert added(f"db_credential: {KEY}=") == [f"{KEY}="]
     text = 'private_key = "-----BEGIN PRIVATE KEY-----"\nprint("(x)")\nfooter = "-----END PRIVATE KEY-----"'
     assert added(text) == ["-----BEGIN PRIVATE KEY-----"]
+
+
+@pytest.mark.parametrize("shape", [
+    lambda n: "".join(f"k{i}=v{i}&" for i in range(n // 8)), lambda n: ("x" * 7 + "=") * (n // 8),
+    lambda n: f"password{'=' * 3}a=" * (n // 14), lambda n: "a:" * (n // 2), lambda n: '{"k": ' * (n // 6),
+    lambda n: "".join(f'password = "{KEY}{i}"\ntoken: {KEY}{i}\n' for i in range(n // 60)), lambda n: "token=" + "a&" * (n // 2),
+    lambda n: 'a = "b" + ' * (n // 10), lambda n: 'a="""' * (n // 5), lambda n: "<a>" * (n // 3), lambda n: 'get("a",' * (n // 8)])
+def test_time_doubles_with_the_text(shape):
+    def seconds(text):
+        began = time.process_time()
+        secret_scan.spans(text)
+        return time.process_time() - began
+
+    half, whole = seconds(shape(500_000)), seconds(shape(1_000_000))
+    assert whole <= 2.5 * half + 0.5 and whole < 10, (half, whole)
+
+
+def test_form_data():
+    assert added(f"user=me&db_credential={KEY}&page=2") == [KEY]
+    assert added(f"DB_CREDENTIAL={KEY}&more") == [f"{KEY}&more"]
+    assert added(f"x=1&db_credential={KEY}==&y=2") == [f"{KEY}=="]
+
+
+@pytest.mark.parametrize("text", [
+    f"db_credential = `{KEY}`", f'db_credential = f"{KEY}"', f"db_credential = rb'{KEY}'", f'db_credential = """{KEY}"""',
+    f"db_credential = '''{KEY}'''", f'#define DB_CREDENTIAL "{KEY}"', f"<db_credential>{KEY}</db_credential>",
+    f'x = os.getenv("DB_CREDENTIAL", "{KEY}")', f"os.environ.get('DB_CREDENTIAL', '{KEY}')", f'part = "{KEY}"\ndb_credential = f"{{x}}" + part',
+])
+def test_other_spellings_of_literals(text):
+    assert KEY in added(text)
+    assert added(text.replace("credential", "title").replace("CREDENTIAL", "TITLE")) == []
+
+
+def test_added_spans_lie_in_no_base_span():
+    text = "".join(f'api_key = "{KEY}{i}"; other_password_of = {KEY}{i}\n' for i in range(50))
+    base, extra = secret_scan.spans(text)
+    assert not [s for s in extra for b in base if b[0] <= s[0] and s[1] <= b[1]]
+    assert set(extra) == {s for s in secret_scan.lexed_spans(text) if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)}
