@@ -12,10 +12,11 @@ language with the largest sum is predicted; its posterior is the score.
 Only the most frequent words of each language are broadcast, WORDS in all and as
 many of each language, and summed where the text is read. That bounds the broadcast
 and changes no result: a text's other words are joined to the staged table, and those
-it does not hold to its n-grams, each distinct word once. Scores are whole numbers
+it does not hold to its n-grams, each distinct word once. Tables in between are deleted
+once nothing reads them. Scores are whole numbers
 of 1 / SCALE, so their sums do not depend on order.
 
-Defined results. A null text, or one without letters, is ``und`` with score 0; so
+Defined results. Letters are what Unicode calls so, without digits, numerals and marks. A null text, or one without letters, is ``und`` with score 0; so
 is everything if no labelled document has a letter. A text none of whose
 letters was ever seen gets the most frequent language. Ties go to the first
 language in code point order. Null languages are not learned from. Repeated rows
@@ -38,22 +39,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firstseen.llm.common import spread_join
+from firstseen.llm.common import drop, spread_join
 from firstseen.workspace import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WORDS = 30_000
+WORDS = 100_000
 LONGEST = 4
 FLUSH = 300_000
+PARTS = 64
 SMOOTHING = 0.5
 SCALE = 1 << 32
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters, in lower case. Word characters that are no letters, such as fractions, are rare: only runs that hold one are cut."""
+    runs = _RUNS.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [word for run in runs for word in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def grams_of(word: str, length: int) -> list[str]:
@@ -134,9 +140,13 @@ def fit(docs: DataFrame, words: int = WORDS) -> Model:
         return F.round(F.log(share) * SCALE).cast("long")
 
     scores = counts.select("length", "gram", F.array(*map(score, langs)).alias("scores"))
-    frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    ranked = each.filter("length = 0").withColumn("rank", F.row_number().over(frequent))
-    best = ranked.filter(F.col("rank") <= max(1, words // len(langs))).select("gram").distinct()
+    share = max(1, words // len(langs))
+    # First the most frequent of each part of a language, then of those.
+    best = each.filter("length = 0").withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        frequent = Window.partitionBy(*by).orderBy(F.desc("n"), "gram")
+        best = best.withColumn("rank", F.row_number().over(frequent)).filter(F.col("rank") <= share)
+    best = best.select("gram").distinct()
     common = scores.filter("length = 0").join(F.broadcast(best), "gram", "left_semi").collect()
     spoken = np.array([used.get((0, lang), 0) + 1 for lang in langs], float)
     prior = [round(p * SCALE) for p in np.log(spoken / spoken.sum()).tolist()]
@@ -196,7 +206,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _word_scores(words: DataFrame, model: Model) -> DataFrame:
-    """(word, scores) of distinct ``words`` that are known or have known n-grams."""
+    """(word, scores), staged, of distinct ``words`` that are known or have known n-grams."""
     at = range(len(model.langs))
     known = model.scores.filter("length = 0").select(F.col("gram").alias("word"), "scores")
     looked_up = stage(words.join(known, "word", "left"), "language-words")
@@ -206,7 +216,10 @@ def _word_scores(words: DataFrame, model: Model) -> DataFrame:
     met = spread_join(cut, model.scores.filter("length > 0"), "gram")
     sums = met.groupBy("word", "length").agg(F.count(F.lit(1)).alias("k"), *(F.sum(F.col("scores")[i]).alias(f"s{i}") for i in at))
     longest = sums.groupBy("word").agg(F.max(F.struct("length", F.array(*(F.expr(f"s{i} div k") for i in at)).alias("scores"))).alias("best"))
-    return looked_up.filter("scores is not null").unionByName(longest.select("word", F.col("best.scores").alias("scores")))
+    found = looked_up.filter("scores is not null").unionByName(longest.select("word", F.col("best.scores").alias("scores")))
+    scored = stage(found, "language-scores")
+    drop(looked_up, cut)
+    return scored
 
 
 def predict(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
@@ -222,9 +235,11 @@ def predict(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
     parts = rows.mapInArrow(_parts(shared, len(model.langs)), out).withColumn("__id", F.monotonically_increasing_id())
     parts = stage(parts, "language-parts")
     rest = parts.select("__id", F.inline("__rest"))
-    scored = stage(_word_scores(rest.select("word").distinct(), model), "language-scores")
+    scored = _word_scores(rest.select("word").distinct(), model)
     met = spread_join(rest, scored, "word")
     sums = met.groupBy("__id").agg(F.array(*(F.sum(F.col("n") * F.col("scores")[i]) for i in at)).alias("__more"))
+    sums = stage(sums, "language-sums")
+    drop(scored)
     total = F.array(*(F.col("__sums")[i] + F.coalesce(F.col("__more")[i], F.lit(0)) + model.prior[i] for i in at))
     joined = parts.drop("__rest").join(sums, "__id", "left").withColumn("__total", total)
     best = F.array_max("__total")

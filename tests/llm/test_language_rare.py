@@ -51,3 +51,12 @@ def test_a_rare_language_keeps_all_its_words(spark):
             assert out[i].lang_pred == best
             assert abs(out[i].score - 1 / sum(math.exp(t - total[best]) for t in total.values())) < 1e-5
         assert [out[i].lang_pred for i in range(20)] == ["xx"] * 20
+
+
+def test_numerals_are_no_letters(spark):
+    fitted = spark.createDataFrame([(1, "ein Wort", "de"), (2, "one word", "en")], "doc_id long, text string, lang string")
+    texts = ["½ ²", "Ⅷ", "12 _ ٣", "③ 一二", "x² y½", "ª"]
+    tried = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: (r.lang_pred, r.score) for r in la.predict(tried, la.fit(fitted), F.col("doc_id")).collect()}
+    assert [out[i] == ("und", 0.0) for i in range(len(texts))] == [True, True, True, False, False, False]
+    assert la.words_of("x²y ½ Ⅷa 一") == ["x", "y", "a", "一"]
