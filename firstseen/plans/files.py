@@ -241,12 +241,12 @@ def ingest_files(
     if mode == "load":
         dest = F.lit(None).cast("binary")
         decided = load_outcome(hashed)
-        additions = ledger.new_entries(hashed, payload.relevant_memory(known, hashed), now_ms())
+        additions = ledger.new_entries(hashed, ledger.relevant(known, hashed), now_ms())
     else:
         prefix = os.path.join(os.getcwd(), dest_template)
         rel = paths.relative_bytes(F.col("path_bytes"), root)
         dest = template.destination_bytes(prefix, F.col("mtime_ns"), rel, tz)
-        marked = stage(content.mark_known(hashed, payload.relevant_memory(known, hashed)), "marked", folder)
+        marked = stage(content.mark_known(hashed, ledger.relevant(known, hashed)), "marked", folder)
         unseen = marked.filter(~F.col("known"))
         checked = stage(check_destinations(unseen, dest, override, resume, threads), "checked", folder)
         decided = copy_winners(checked, dest, folder, override, copy_mode, chunk_bytes, threads)

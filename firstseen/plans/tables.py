@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from firstseen.operators import classify as classify_ops
 from firstseen.operators import content, filters, ledger, payload, stats
 from firstseen.schemas import COPIED, FAILED, SKIPPED, UNCHANGED
 from firstseen.sources import tables
+from firstseen.state.folder import Folder
 from firstseen.state.store import State, now_ms
 from firstseen.workspace import discard, fresh_folder, setting, stage
 
@@ -40,11 +42,13 @@ class TableSource:
     size: Column | None = None
 
     def manifest(self, with_digest: bool = False, with_file: bool = False) -> DataFrame:
-        """Manifest rows; ``with_file`` adds the stored file of a row, if the table reads files."""
-        located = with_file and payload.reads_files(self.table)
+        """Manifest rows; ``with_file`` adds the stored file of a row and its number there, if the table has them."""
+        place = [
+            F.col(f"_metadata.{field}") if with_file and payload.has_metadata(self.table, field) else None
+            for field in ("file_path", "row_index")
+        ]
         return tables.manifest(
-            self.table, self.path, self.payload, self.mtime_ns, self.root, self.ctime_ns, self.size, with_digest,
-            F.col("_metadata.file_path") if located else None,
+            self.table, self.path, self.payload, self.mtime_ns, self.root, self.ctime_ns, self.size, with_digest, *place
         )
 
     def selected(self, globs: Sequence[str], ignore_hidden: bool) -> TableSource:
@@ -60,10 +64,22 @@ class TableSource:
         return self.table.withColumn(payload.KEY, digest.path_digest(self.path))
 
     def candidates(self, rows: DataFrame, wanted: Column) -> DataFrame:
-        """Keyed source rows among which all wanted ones are; ``rows`` is staged."""
+        """Keyed source rows among which all wanted ones are; ``rows`` is staged.
+
+        By row numbers, these are the wanted ones and no others, if one wave holds them.
+        """
         read = replace(self, table=payload.files_with(self.table, rows, wanted))
+        if payload.ROW in rows.columns and payload.waves_for(rows, wanted) == 1:
+            return replace(read, table=payload.picked(read.table, rows, wanted)).keyed()
         return payload.thinned(read.keyed(), rows, wanted)
 
+    def waves(self, rows: DataFrame, wanted: Column) -> list[DataFrame]:
+        """The same, one frame for each wave of files; only without row numbers other rows may be among them."""
+        if payload.ROW not in rows.columns:
+            return [self.candidates(rows, wanted)]
+        table, waves = payload.files_with(self.table, rows, wanted), payload.waves_for(rows, wanted)
+        return [replace(self, table=payload.picked(table, rows, wanted, i, waves)).keyed() for i in range(waves)]
+
 
 @dataclass
 class TableRun:
@@ -74,16 +90,19 @@ class TableRun:
     accepted: DataFrame
 
 
-def digests_of_misses(source: TableSource, classified: DataFrame) -> DataFrame:
+def digests_of_misses(source: TableSource, classified: DataFrame, folder: str | None = None) -> DataFrame:
     """(path_hash, content_hash) of the rows that must be read; ``classified`` is staged.
 
-    Only files that hold a miss are read. Rows that pass by the prefix of their key
-    alone are digested as well, which costs less than moving payloads would.
+    Only files that hold a miss are read, and of their rows only the misses are digested.
+    Several waves are staged one after the other. Without row numbers, rows that pass by the
+    prefix of their key alone are digested as well.
     """
-    read = source.candidates(classified, F.col("cache_result") != UNCHANGED)
-    return read.select(
-        F.col(payload.KEY).alias("path_hash"), digest.content_digest(source.payload).alias("content_hash")
-    )
+    taken = [F.col(payload.KEY).alias("path_hash"), digest.content_digest(source.payload).alias("content_hash")]
+    ok = F.col("error").isNull() if "error" in classified.columns else F.lit(True)
+    digests = [read.select(*taken) for read in source.waves(classified, (F.col("cache_result") != UNCHANGED) & ok)]
+    if len(digests) == 1:
+        return digests[0]
+    return reduce(DataFrame.unionByName, [stage(wave, f"digests-{i}", folder) for i, wave in enumerate(digests)])
 
 
 def hash_rows(source: TableSource, cache: DataFrame | None, folder: str | None = None) -> DataFrame:
@@ -96,7 +115,7 @@ def hash_rows(source: TableSource, cache: DataFrame | None, folder: str | None =
     if cache is not None and source.size is not None:
         chosen = filters.with_errors(source.manifest(with_file=True)).drop("path", "rel_path")
         classified = stage(classify_ops.classify(chosen, cache), "classified", folder)
-        fresh = digests_of_misses(source, classified).withColumnRenamed("content_hash", "fresh_hash")
+        fresh = digests_of_misses(source, classified, folder).withColumnRenamed("content_hash", "fresh_hash")
         rows = classify_ops.with_path(classified, fresh)
     else:
         chosen = filters.with_errors(source.manifest(with_digest=True, with_file=True))
@@ -215,8 +234,9 @@ def ingest_table(
     if cleanup:
         state.compact_ledger(min_runs=COMPACT_RUNS)
     # The frames returned below read "decided" only.
-    for name in ("classified", "placed"):
-        discard(spark, f"{folder}/{name}")
+    for name in Folder(spark, folder).subfolders(""):
+        if name != "decided":
+            discard(spark, f"{folder}/{name}")
     results = describe(decided, source.root, dest_template if mode == "copy" else None, tz)
     return TableRun(results, stats.observed(spark, counts.get), accepted)
 
@@ -224,7 +244,7 @@ def ingest_table(
 def check_columns(table: DataFrame, sink_template: str | None) -> None:
     """A source's own columns are never overwritten: clashing names are refused."""
     folders = [] if sink_template is None else [name for name, _ in layout(sink_template, F.lit(0), "UTC")]
-    reserved = {payload.KEY, "_prefix", _DATE, _SLOT, "_slots", *folders}
+    reserved = {*payload.OWN, _DATE, _SLOT, "_slots", *folders}
     clashing = sorted(c for c in table.columns if c.lower() in reserved)
     if clashing:
         raise ValueError(f"rename the columns {clashing}: these names are used by the run")
@@ -258,11 +278,11 @@ def decide_rows(
     if mode == "load":
         decided = stage(load_outcome(hashed).observe(watch, *stats.counters()), "decided", folder)
         require_unique_paths(decided)
-        memory = payload.relevant_memory(known, decided)
+        memory = ledger.relevant(known, decided)
         return decided, ledger.new_entries(decided, memory, now_ms()), watch
     placed = stage(place(hashed, root, dest_template, tz, existing, override), "placed", folder)
     require_unique_paths(placed)
-    known = payload.relevant_memory(known, placed)
+    known = ledger.relevant(known, placed)
     decided = stage(content.decide(placed, known).observe(watch, *stats.counters()), "decided", folder)
     return decided, ledger.entries(decided.filter(F.col("outcome") == COPIED), now_ms()), watch
 

@@ -18,13 +18,14 @@ def manifest(
     size: Column | None = None,
     with_digest: bool = False,
     source_file: Column | None = None,
+    source_row: Column | None = None,
 ) -> DataFrame:
     """Narrow manifest rows of a table; the payload itself is not carried.
 
     ``size`` may name a stored length, which keeps the payload column out of the
     scan entirely. With ``with_digest`` the digest is taken where the payload is
-    read, so only 32 bytes per row ever leave the scan. ``source_file`` adds the
-    stored file of a row.
+    read, so only 32 bytes per row ever leave the scan. ``source_file`` and
+    ``source_row`` add the stored file of a row and its number there.
     """
     columns = [
         path.alias("path"),
@@ -39,4 +40,6 @@ def manifest(
         columns.append(digest.content_digest(payload).alias("content_hash"))
     if source_file is not None:
         columns.append(source_file.alias("source_file"))
+    if source_row is not None:
+        columns.append(source_row.alias("source_row"))
     return table.select(*columns)

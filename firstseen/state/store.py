@@ -24,6 +24,16 @@ BATCH, COMPACT = "batch", "compact"
 _ROWS_PER_FILE = 3_000_000
 
 
+# The ledger is sorted by digest in small pages, whose smallest and largest digests stand in
+# the file's page index: looking up some digests reads their pages, whatever the file's size.
+# A run's files each span all digests, so a Bloom filter, of the size its digests need, tells which file to open.
+_PAGES = {
+    "parquet.page.size": "16384", "parquet.page.row.count.limit": "400", "parquet.page.size.row.check.min": "100",
+    "parquet.enable.dictionary#content_hash": "false",
+}
+_BLOOM = {"parquet.bloom.filter.enabled#content_hash": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
+
 def now_ms() -> int:
     return time.time_ns() // 1_000_000
 
@@ -135,7 +145,8 @@ class State:
         run_id = self.next_run(writer) if run_id is None else run_id
         name = f"ledger/writer={writer}/run_id={run_id}"
         mode = "overwrite" if replay else "errorifexists"
-        entries.select("content_hash", "copied_time").write.mode(mode).parquet(self.folder.path(name))
+        ordered = entries.select("content_hash", "copied_time").sortWithinPartitions("content_hash")
+        ordered.write.mode(mode).options(**_PAGES, **_BLOOM).parquet(self.folder.path(name))
         claim = self._claims.get(run_id) if writer == BATCH else None
         self.folder.write_once(f"{name}/{_MARK}", {"replaces": [], "claim": claim})
         return run_id
@@ -147,7 +158,7 @@ class State:
         files = max(1, -(-self._read_ledger(names).count() // _ROWS_PER_FILE))
         df.repartitionByRange(files, "content_hash").sortWithinPartitions("content_hash").write.mode(
             "errorifexists"
-        ).parquet(self.folder.path(target))
+        ).options(**_PAGES).parquet(self.folder.path(target))
         # Directories that earlier rewrites replaced stay replaced: their record may go now.
         committed = self._committed()
         left = {old for record in committed.values() for old in record.get("replaces", ()) if old in committed}

@@ -161,3 +161,41 @@ def test_rewrites_keep_one_generation_for_readers(spark, state):
     assert held(state) == {"a": 1, "b": 1, "c": 2, "d": 3}
     state.append_ledger(entries(spark, 4, "e"))
     assert state.next_run() == 4 and state.ledger().count() == 5
+
+
+def scanned(df):
+    """Rows that the scan of a query without shuffles passed on when it was collected."""
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_lookups_read_the_pages_of_their_digests(spark, state):
+    """100 lookups, half of them known, in a ledger of half a million digests over two runs and a compaction."""
+    digest = lambda low, high: spark.range(low, high).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("content_hash"))
+    state.append_ledger(ledger.entries(digest(0, 200_000), 1))
+    state.append_ledger(ledger.entries(digest(200_000, 400_000), 2))
+    asked = [bytes(r[0]) for r in digest(0, 500_000).collect()][::5_000] + [b"", b"\xff" * 32]
+    for compacted in (False, True):
+        found = ledger.lookup(state.ledger(), asked)
+        rows = found.collect()
+        assert sorted(r["copied_time"] for r in rows) == [1] * 40 + [2] * 40 and {bytes(r["content_hash"]) for r in rows} == set(asked[:80])
+        # At most a page of 400 rows for each digest and file; after a compaction for each digest.
+        files = 1 if compacted else len(state.ledger().inputFiles())
+        assert scanned(found) <= min(400_000, len(asked) * files * 400)
+        one = ledger.lookup(state.ledger(), asked[:1])
+        assert len(one.collect()) == 1 and scanned(one) <= 400
+        assert compacted or state.compact_ledger() is not None
+    assert ledger.lookup(state.ledger(), []).count() == 0
+    with pytest.raises(ValueError):
+        ledger.lookup(state.ledger(), [str(i).encode() for i in range(ledger.LOOKUPS + 1)])
+
+
+def test_small_and_large_batches_find_the_same_memory(spark, state, tmp_path, monkeypatch):
+    state.append_ledger(entries(spark, 1, *"abcdef"))
+    batch = hashes(spark, *"aabzy").unionByName(spark.createDataFrame([(None,)], "content_hash binary"))
+    batch.write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.parquet(str(tmp_path / "batch"))
+    small = sorted(bytes(r["content_hash"]) for r in ledger.relevant(state.ledger(), batch).collect())
+    monkeypatch.setattr(ledger, "LOOKUPS", 2)
+    large = sorted(bytes(r["content_hash"]) for r in ledger.relevant(state.ledger(), batch).collect())
+    assert small == large == [b"a", b"b"]

@@ -1,5 +1,6 @@
 """Table runs and streaming runs."""
 
+import hashlib
 import random
 from dataclasses import replace
 
@@ -239,17 +240,58 @@ def stored(spark, tmp_path):
     return as_files(spark.read.parquet(str(tmp_path / "stored")), size=F.lit(1))
 
 
-def test_only_misses_are_read(spark, tmp_path, stored):
-    """300 touched rows in one file of eight: the others are neither read nor digested."""
+@pytest.fixture
+def touched(spark, tmp_path, stored):
+    """A source with 300 touched rows in one file of eight, and its classified rows."""
     ingest_table(stored, str(tmp_path / "s"), mode="load")
     touched = replace(stored, mtime_ns=F.when(F.col("at") < 300, F.col("at") + DAY).otherwise(F.col("at")))
-    manifest = filters.with_errors(touched.manifest(with_file=True)).select(*CORE, payload.FILE)
+    manifest = filters.with_errors(touched.manifest(with_file=True)).select(*CORE, payload.FILE, payload.ROW)
+    return touched, stage(classify(manifest, State(spark, str(tmp_path / "s")).cache()), "classified")
+
+
+def test_only_misses_are_read(monkeypatch, touched):
+    """Files without misses are not read; of the rows of the others only misses are digested, whatever their number."""
+    monkeypatch.setattr(payload, "PREFIX_BITS", 1)
+    source, classified = touched
+    in_file = payload.files_with(source.table, classified, F.col("cache_result") != "unchanged")
+    assert 300 <= in_file.count() <= 600
+    found = digests_of_misses(source, classified).collect()
+    want = {(hashlib.sha256(f"/in/{i}".encode()).digest(), hashlib.sha256(str(i).encode()).digest()) for i in range(300)}
+    assert len(found) == 300 and {(bytes(r.path_hash), bytes(r.content_hash)) for r in found} == want
+
+
+def test_without_row_numbers_some_more_are_digested(touched):
+    source, classified = touched
+    found = digests_of_misses(source, classified.drop(payload.ROW))
+    assert 300 <= found.count() <= 310
+
+
+def test_bitmaps_come_in_waves_of_bounded_size(spark, tmp_path, monkeypatch, stored):
+    """Scattered misses in all files, with room for two bitmaps at once: every wave opens other files."""
+    ingest_table(stored, str(tmp_path / "s"), mode="load")
+    scattered = replace(stored, mtime_ns=F.when(F.col("at") % 7 == 0, F.col("at") + DAY).otherwise(F.col("at")))
+    manifest = filters.with_errors(scattered.manifest(with_file=True)).select(*CORE, payload.FILE, payload.ROW)
     classified = stage(classify(manifest, State(spark, str(tmp_path / "s")).cache()), "classified")
     wanted = F.col("cache_result") != "unchanged"
-    in_file = payload.files_with(stored.table, classified, wanted)
-    assert 300 <= in_file.count() <= 600
-    digested = digests_of_misses(touched, classified)
-    assert 300 <= digested.count() <= 310
+    monkeypatch.setattr(payload, "WAVE_BYTES", 2 * payload.BITMAP_BYTES)
+    waves = scattered.waves(classified, wanted)
+    assert len(waves) >= 4
+    held = [wave.count() for wave in waves]
+    assert sum(held) == len(range(0, 4000, 7)) and max(held) <= 2 * 150
+    assert digests_of_misses(scattered, classified, str(tmp_path / "scratch")).count() == len(range(0, 4000, 7))
+    run = ingest_table(scattered, str(tmp_path / "s2"), "/d", sink=str(tmp_path / "sink"))
+    assert run.accepted.count() == 4000
+
+
+def test_rows_in_later_bitmaps_of_a_file(spark, tmp_path):
+    rows = spark.range(0, 100_000, 1, 1).select(F.format_string("/in/%06d", "id").alias("name"), F.col("id").cast("string").alias("body"), F.col("id").alias("at"))
+    rows.write.parquet(str(tmp_path / "one"))
+    table = spark.read.parquet(str(tmp_path / "one"))
+    wanted = [0, 1, 7, 8, 32_766, 32_767, 32_768, 32_769, 65_535, 65_536, 99_999]
+    decided = stage(table.select("at", F.col("_metadata.file_path").alias(payload.FILE), F.col("_metadata.row_index").alias(payload.ROW)), "rows")
+    found = payload.picked(table, decided, F.col("at").isin(wanted))
+    assert found.columns == table.columns and sorted(r["at"] for r in found.collect()) == wanted
+    assert payload.picked(table, decided, F.lit(False)).count() == 0 and payload.picked(table, decided, F.lit(True)).count() == 100_000
 
 
 @pytest.mark.parametrize("broadcast", ["-1", "10m"])
