@@ -7,9 +7,10 @@ that matches its URL and whose interval holds that time. Rules name a domain wit
 all below it (``domain:``), a path with all below it (``prefix:``) or one page
 (``url:``); a URL's candidate rules are computed, so the join is by equality.
 
-A rule that more than 1 / SPREAD of all lookups ask for is salted: its lookups are
-dealt out over as many salts as that share needs, its intervals are copied to
-each. Fewer than SPREAD rules can be that hot, which bounds the broadcast. Interval
+A rule that more than 1 / SPREAD of all lookups ask for is hot, listed or not: fewer than
+SPREAD rules can be, which bounds the broadcast of them. Lookups of a hot rule that no entry
+names end there; those of a listed one are dealt out over as many salts as its share needs, its
+intervals are copied to each. Interval
 ends are found per rule and period first, so a rule with a long history does not
 need one task.
 
@@ -86,17 +87,18 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     rows = stage(located(captures, "page_id", "url", "fetched_at"), "captures")
     asked = rows.select("file", "row", "fetched_at", F.explode(rules_for(F.col("url"))).alias("rule"))
+    asked = asked.filter("fetched_at is not null")
     active = stage(intervals(entries), "list-intervals")
-    listed = active.select("rule").distinct()
-    asked = stage(asked.filter("fetched_at is not null").join(listed, "rule", "left_semi"), "lookups")
-    total = asked.count()
-    counts = asked.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    # Rules are counted, combining before the shuffle, before any lookup moves.
+    counts = stage(asked.groupBy("rule").agg(F.count(F.lit(1)).alias("n")), "rule-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
     salts = F.ceil(F.col("n") * SPREAD / F.lit(max(total, 1))).cast("int").alias("salts")
-    hot = stage(counts.filter(F.col("n") * SPREAD > total).select("rule", salts), "hot-rules")
+    often = counts.filter(F.col("n") * SPREAD > total).select("rule", salts)
+    listed = active.join(F.broadcast(often), "rule", "left_semi").select("rule", F.lit(True).alias("listed")).distinct()
+    hot = stage(often.join(listed, "rule", "left"), "hot-rules")
     spread = F.coalesce("salts", F.lit(1))
-    salted = asked.join(F.broadcast(hot), "rule", "left").select(
-        "rule", "file", "row", "fetched_at", F.pmod(F.xxhash64("file", "row"), spread).cast("int").alias("salt")
-    )
+    met = asked.join(F.broadcast(hot), "rule", "left").filter("salts is null or listed")
+    salted = met.select("rule", "file", "row", "fetched_at", F.pmod(F.xxhash64("file", "row"), spread).cast("int").alias("salt"))
     copied = active.join(F.broadcast(hot), "rule", "left").select(
         "rule", "since", "until", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt")
     )
