@@ -47,6 +47,7 @@ TOKENS = 5
 DOCUMENTS = 10
 KEEP = 0.8
 LONG = 50
+FLUSH = 300_000
 # By which count a line recurs, besides by its template.
 _NEVER, _EXACT, _PASSAGE = 0, 1, 2
 _ANY = "<*>"
@@ -82,12 +83,16 @@ def _repeats(tokens: list[str], masked: list[str], keep: float) -> Iterator[tupl
 
 def _parsed(with_tokens: bool, keep: float = KEEP):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelled: set[tuple[int, int]] = set()
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
+                if len(spelled) > FLUSH:
+                    spelled.clear()
                 part = batch.slice(begin, 1000)
                 rows, numbers, leaves, lines, rules, general, fresh, texts, words = ([] for _ in range(9))
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    seen = set()
+                    # A task spells a line out once, so a line of every document is no hot key.
+                    seen = spelled if with_tokens else set()
                     digest = _hash(text) if text and not with_tokens else 0
                     for number, line in enumerate(text.split("\n")) if text else ():
                         masked = tokens_of(line)
