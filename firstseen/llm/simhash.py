@@ -187,27 +187,31 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(*columns)
 
 
-def links(classes: DataFrame, total: int, key_rows: int = KEY_ROWS) -> DataFrame:
-    """Edges (a, b) that connect exactly the fingerprints connected by links.
-
-    ``classes`` holds distinct fingerprints, ``total`` of them, staged.
-    """
-    keyed = chain_keys(classes)
-    counts = keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n"))
-    # Fewer than RING * SHARE keys hold more than 1 / SHARE of the classes.
-    crowded = stage(
-        counts.filter((F.col("n") > key_rows) & (F.col("n") * SHARE > total))
-        .select("start", "key", F.ceil(F.col("n") / (key_rows // 2)).cast("int").alias("chunks")),
-        "crowded-keys",
-    )
-    dealt = keyed.join(F.broadcast(crowded), ["start", "key"], "left")
+def _dealt(keyed: DataFrame, total: int, key_rows: int) -> DataFrame:
+    """(start, key, part, fingerprint): every key with more than ``key_rows`` of ``keyed`` dealt out as pairs of chunks."""
+    at = ["start", "key"]
+    counts = keyed.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
+    chunks = F.ceil(F.col("n") / (key_rows // 2)).cast("int").alias("chunks")
+    crowded = stage(counts.filter(F.col("n") > key_rows).select(*at, chunks, (F.col("n") * SHARE > total).alias("heavy")), "crowded-keys")
+    # Fewer than RING * SHARE keys hold more than 1 / SHARE of the classes; the list of the others has no such bound.
+    heavy = F.broadcast(crowded.filter("heavy").select(*at, "chunks"))
+    others = crowded.filter("not heavy").select(*at, "chunks")
+    dealt = keyed.join(heavy, at).unionByName(keyed.join(heavy.select(*at), at, "left_anti").join(others, at, "left"))
     chunk = F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int")
     other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
     parts = dealt.withColumn("chunk", chunk).withColumn("other", other)
     pair = F.when(F.col("chunks").isNull(), 0).otherwise(
         F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")
     )
-    parts = parts.select("start", "key", pair.cast("int").alias("part"), "fingerprint")
+    return parts.select(*at, pair.cast("long").alias("part"), "fingerprint")
+
+
+def links(classes: DataFrame, total: int, key_rows: int = KEY_ROWS) -> DataFrame:
+    """Edges (a, b) that connect exactly the fingerprints connected by links.
+
+    ``classes`` holds distinct fingerprints, ``total`` of them, staged.
+    """
+    parts = _dealt(chain_keys(classes), total, key_rows)
     sorted_parts = parts.repartition("start", "key", "part").sortWithinPartitions("start", "key", "part")
     return sorted_parts.mapInArrow(_links, "a long, b long").distinct()
 

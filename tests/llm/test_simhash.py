@@ -1,6 +1,8 @@
 """SimHash against a one-by-one model: all pairs, no join."""
 
 import random
+from collections import Counter
+from itertools import combinations
 
 import xxhash
 from pyspark.sql import functions as F
@@ -97,3 +99,18 @@ def test_components_of_chains_and_hubs(spark):
     sizes = sorted(r["count"] for r in found.groupBy("root").count().collect())
     assert sizes == [301, 501]
     assert found.select(F.countDistinct("node")).first()[0] == 802
+
+
+def test_crowded_keys_are_split_at_any_total(spark):
+    """20 keys of 100 classes each: none of their parts has more than two chunks, however many classes there are."""
+    rows = [(0, key, key * 1000 + i) for key in range(20) for i in range(100)] + [(1, key, key) for key in range(50)]
+    keyed = spark.createDataFrame(rows, "start int, key long, fingerprint long")
+    for total in (100, 10**10):
+        parts = simhash._dealt(keyed, total, key_rows=20).collect()
+        sizes = Counter((r.start, r.key, r.part) for r in parts)
+        assert max(sizes.values()) <= 60  # two chunks of ten in the mean
+        together = {}
+        for r in parts:
+            together.setdefault((r.start, r.key, r.part), []).append(r.fingerprint)
+        met = {pair for found in together.values() for pair in combinations(sorted(found), 2)}
+        assert met >= {pair for key in range(20) for pair in combinations(range(key * 1000, key * 1000 + 100), 2)}
