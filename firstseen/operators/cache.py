@@ -43,6 +43,28 @@ def delete(cache: DataFrame, gone: DataFrame) -> DataFrame:
     return cache.join(gone.select("path_hash"), "path_hash", "left_anti").select(*_COLUMNS)
 
 
+def layer(rows: DataFrame, gone: bool) -> DataFrame:
+    """Rows of a layer of the stored cache: entries, or the path digests of removed ones."""
+    known = {name: F.col(name) for name in rows.columns}
+    columns = [known.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in CACHE.fields]
+    return rows.select(*columns, F.lit(gone).alias("gone"))
+
+
+def newest(layers: DataFrame) -> DataFrame:
+    """One row per path of several layers, the newest layer's; a full layer has no ``gone``.
+
+    The aggregation leaves the rows partitioned by path digest, as the joins on the cache want them.
+    """
+    row = F.struct(*_COLUMNS[1:], F.coalesce("gone", F.lit(False)).alias("gone"))
+    latest = layers.groupBy("path_hash").agg(F.max_by(row, "snapshot").alias("row"))
+    return latest.select("path_hash", "row.*")
+
+
+def left_over(layer: DataFrame) -> DataFrame:
+    """Entries of a merge that went down to the oldest layer."""
+    return layer.filter("not gone").select(*_COLUMNS)
+
+
 def mark_present(cache: DataFrame, present: DataFrame, root: str = "/") -> DataFrame:
     """Append ``present`` from the full set of existing paths below ``root``.
 

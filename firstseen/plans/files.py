@@ -14,7 +14,7 @@ from firstseen.operators import cache as cache_ops
 from firstseen.operators import classify as classify_ops
 from firstseen.operators import content, filters, ledger, payload, stats
 from firstseen.plans.tables import COMPACT_RUNS, check_mode, load_outcome
-from firstseen.schemas import COPIED, CORE, FAILED, SKIPPED
+from firstseen.schemas import CACHE, COPIED, CORE, FAILED, SKIPPED, UNCHANGED
 from firstseen.sources.content import (
     CHUNK_BYTES,
     THREADS,
@@ -170,23 +170,27 @@ def mark_present(others: DataFrame, rows: int, threads: int) -> DataFrame:
 
 
 def refresh_cache(state: State, hashed: DataFrame, use_cache: bool, cleanup: bool, threads: int) -> dict[str, int]:
-    """Write the next cache snapshot; return the cleanup counts.
+    """Write the entries that changed and the paths that vanished; return the cleanup counts.
 
     One anti join separates the entries of this run, which exist, from all
     others, of this source or any other; only those are looked up on disk.
     """
-    listed = cache_ops.listed_entries(hashed)
-    others = cache_ops.delete(state.cache(), listed)
-    if not use_cache:
-        listed = state.cache().join(listed.select("path_hash"), "path_hash", "left_semi")
-    kept = listed.withColumn("present", F.lit(True))
     if not cleanup:
-        state.write_cache(others.unionByName(listed))
+        state.change_cache(cache_ops.cache_entries(hashed))
         return {"checked": 0, "removed": 0}
+    listed = hashed.filter(F.col("content_hash").isNotNull())
+    others = cache_ops.delete(state.cache(), listed)
+    if use_cache:
+        kept = listed.select(*CACHE.fieldNames(), (F.col("cache_result") != UNCHANGED).alias("changed"))
+    else:
+        kept = state.cache().join(listed.select("path_hash"), "path_hash", "left_semi").withColumn("changed", F.lit(False))
     watch = Observation()
-    probed = mark_present(others, state.cache().count(), threads)
-    marked = probed.unionByName(kept).observe(watch, *cache_ops.cleanup_metrics())
-    state.write_cache(cache_ops.keep_present(marked))
+    probed = mark_present(others, state.cache().count(), threads).withColumn("changed", F.lit(False))
+    marked = probed.select(*CACHE.fieldNames(), "present", "changed").union(kept.withColumn("present", F.lit(True)).select(*CACHE.fieldNames(), "present", "changed"))
+    marked = marked.observe(watch, *cache_ops.cleanup_metrics())
+    # A failed check (NULL) keeps the entry.
+    gone = ~F.coalesce("present", F.lit(True))
+    state.add_layer(marked.filter(gone | F.col("changed")).select(*CACHE.fieldNames(), gone.alias("gone")))
     return watch.get
 
 
@@ -258,7 +262,7 @@ def ingest_files(
     state.append_ledger(additions, run_id=run_id)
     state.close_run(run_id)
     if cleanup:
-        state.compact_ledger(min_runs=COMPACT_RUNS)
+        state.tend_ledger(runs=COMPACT_RUNS)
     # The frames returned below read these tables only.
     kept = ("hashed",) if mode == "load" else ("marked", "decided-", "copied-")
     for name in Folder(spark, folder).subfolders(""):

@@ -288,7 +288,7 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = State(spark, fresh_folder(spark, "state"))
     state.write_cache(binding.earlier_cache(spark, sf_dir))
     hashed = stage(tables.hash_rows(binding.documents(spark, sf_dir), state.cache()), "hashed")
-    state.write_cache(cache_ops.upsert(state.cache(), cache_ops.cache_entries(hashed)))
+    state.change_cache(cache_ops.cache_entries(hashed))
     return _cache_report(state.cache())
 
 
@@ -298,7 +298,7 @@ def cache_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     state.write_cache(binding.earlier_cache(spark, sf_dir))
     docs = binding.documents(spark, sf_dir)
     gone = docs.table.filter("lang = 'de'").select(digest.path_digest(docs.path).alias("path_hash"))
-    state.write_cache(cache_ops.delete(state.cache(), gone))
+    state.change_cache(gone=gone)
     return _cache_report(state.cache())
 
 

@@ -232,7 +232,7 @@ def ingest_table(
     state.append_ledger(additions, run_id=run_id)
     state.close_run(run_id)
     if cleanup:
-        state.compact_ledger(min_runs=COMPACT_RUNS)
+        state.tend_ledger(runs=COMPACT_RUNS)
     # The frames returned below read "decided" only.
     for name in Folder(spark, folder).subfolders(""):
         if name != "decided":
@@ -294,19 +294,20 @@ def require_unique_paths(rows: DataFrame) -> None:
 
 
 def _maintain_cache(state: State, whole: TableSource, hashed: DataFrame, use_cache: bool, cleanup: bool) -> None:
-    """One rewrite does the upsert and the removal of vanished paths.
+    """One layer holds the entries that changed and the paths that vanished.
 
     Rows of this run exist; only the other entries are held against the whole
     source, which the scan filters do not narrow.
     """
     if not use_cache and not cleanup:
         return
-    listed = cache_ops.listed_entries(hashed) if use_cache else state.cache().limit(0)
-    others = cache_ops.delete(state.cache(), listed)
+    changed = cache_ops.cache_entries(hashed) if use_cache else None
+    gone = None
     if cleanup:
+        others = cache_ops.delete(state.cache(), cache_ops.listed_entries(hashed)) if use_cache else state.cache()
         present = whole.keyed().select(F.col(payload.KEY).alias("path_hash"))
-        others = cache_ops.keep_present(cache_ops.mark_present(others, present, whole.root))
-    state.write_cache(others.unionByName(listed))
+        gone = cache_ops.mark_present(others, present, whole.root).filter("not present")
+    state.change_cache(changed, gone)
 
 
 # The date of a row as one key, and what one task of the sink takes.

@@ -36,6 +36,13 @@ CACHE = T.StructType([
     T.StructField("content_hash", T.BinaryType()),
 ])
 
+# A layer of the stored cache: entries, and paths whose entry is ``gone``.
+CACHE_LAYER = T.StructType([
+    *CACHE.fields,
+    T.StructField("gone", T.BooleanType()),
+    T.StructField("snapshot", T.LongType()),
+])
+
 LEDGER = T.StructType([
     T.StructField("content_hash", T.BinaryType()),
     T.StructField("copied_time", T.LongType()),

@@ -55,5 +55,9 @@ class Folder:
             stream.close()
         return json.loads(lines)
 
+    def bytes(self, name: str) -> int:
+        """Size of everything below a directory."""
+        return self._fs.getContentSummary(self._path(name)).getLength()
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

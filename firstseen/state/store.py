@@ -1,9 +1,13 @@
 """Parquet state: the ledger of accepted contents and the hash cache.
 
-``ledger/writer=W/run_id=N`` is append-only. ``cache/snapshot=N`` is a full
-rewrite; readers take the newest. A directory counts once it holds ``_COMMITTED``,
-which is written after the data and names the directories it replaces, so a
+``ledger/writer=W/run_id=N`` is append-only. ``cache/snapshot=N`` is a layer: all
+entries, or those that changed since the layer below. Its commit names the layers that
+make up the cache with it; readers take the newest commit. A directory counts once it holds
+``_COMMITTED``, which is written after the data and names the directories it replaces, so a
 crash at any point leaves either the old or the new state.
+
+Upkeep merges runs and layers of like size (see ``tiers``), so what a run rewrites is in
+proportion to what it wrote, not to what the state holds.
 """
 
 from __future__ import annotations
@@ -14,7 +18,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from firstseen import schemas
+from firstseen.operators import cache as cache_ops
 from firstseen.operators import ledger as ledger_ops
+from firstseen.state import tiers
 from firstseen.state.folder import Folder
 
 _MARK = "_COMMITTED"
@@ -23,6 +29,9 @@ BATCH, COMPACT = "batch", "compact"
 # Rows per file of a rewritten table: about 128 MiB of digests.
 _ROWS_PER_FILE = 3_000_000
 
+# Layers of the cache that are merged at once.
+_LAYERS = 8
+
 
 # The ledger is sorted by digest in small pages, whose smallest and largest digests stand in
 # the file's page index: looking up some digests reads their pages, whatever the file's size.
@@ -148,10 +157,10 @@ class State:
         ordered = entries.select("content_hash", "copied_time").sortWithinPartitions("content_hash")
         ordered.write.mode(mode).options(**_PAGES, **_BLOOM).parquet(self.folder.path(name))
         claim = self._claims.get(run_id) if writer == BATCH else None
-        self.folder.write_once(f"{name}/{_MARK}", {"replaces": [], "claim": claim})
+        self.folder.write_once(f"{name}/{_MARK}", {"replaces": [], "claim": claim, "bytes": self.folder.bytes(name)})
         return run_id
 
-    def _rewrite_ledger(self, df: DataFrame, names: list[str]) -> int:
+    def _rewrite_ledger(self, df: DataFrame, names: list[str], size: int | None = None) -> int:
         run_id = self.next_run(COMPACT)
         target = f"ledger/writer={COMPACT}/run_id={run_id}"
         # Digests are uniform, so a range cut gives even files.
@@ -163,7 +172,8 @@ class State:
         committed = self._committed()
         left = {old for record in committed.values() for old in record.get("replaces", ()) if old in committed}
         replaced = sorted({*names, *left})
-        self.folder.write_once(f"{target}/{_MARK}", {"replaces": replaced, "folded": self._last_folded(names)})
+        record = {"replaces": replaced, "folded": self._last_folded(names), "bytes": size or self.folder.bytes(target)}
+        self.folder.write_once(f"{target}/{_MARK}", record)
         # What this rewrite replaces stays, hidden, until the next one: frames read from it go on.
         for name in sorted(left):
             self.folder.delete(name)
@@ -187,16 +197,37 @@ class State:
         ``min_runs`` runs, which spreads the cost of a rewrite over many runs.
         One compaction may run at a time.
         """
-        keep = replayable or {}
-        names = []
-        for name in self._runs():
-            writer, run = self._writer_and_run(name)
-            if writer in (BATCH, COMPACT) or run < keep.get(writer, 0):
-                names.append(name)
+        names = list(self._foldable(replayable))
         if len(names) < max(min_runs, 2):
             return None
         return self._rewrite_ledger(ledger_ops.folded(self._read_ledger(names)), names)
 
+    def _foldable(self, replayable: dict[str, int] | None) -> dict[str, dict]:
+        keep, found = replayable or {}, {}
+        for name, record in self._runs().items():
+            writer, run = self._writer_and_run(name)
+            if writer in (BATCH, COMPACT) or run < keep.get(writer, 0):
+                found[name] = record
+        return found
+
+    def tend_ledger(self, replayable: dict[str, int] | None = None, runs: int = 8) -> int | None:
+        """Merge at least ``runs`` runs of like size, if there are so many; the rest stay.
+
+        Whatever the number of runs, a row is rewritten at most log2(bytes of the
+        ledger / bytes of its first run) times. A lookup opens a number of runs that
+        grows with the logarithm of the ledger. One compaction may run at a time.
+        """
+        found = self._foldable(replayable)
+        names = list(found)
+        sizes = [record.get("bytes") or self.folder.bytes(name) for name, record in found.items()]
+        chosen = tiers.due(sizes, runs)
+        if not chosen:
+            return None
+        merged = [names[place] for place in chosen]
+        # Digests that runs share count once in each, so that a merge never looks smaller than what it took.
+        size = sum(sizes[place] for place in chosen)
+        return self._rewrite_ledger(ledger_ops.folded(self._read_ledger(merged)), merged, size)
+
     def forget(self, hashes: DataFrame) -> int:
         """Remove digests from the ledger so that their content counts as new.
 
@@ -211,21 +242,73 @@ class State:
         ids = [int(s.split("=", 1)[1]) for s in self.folder.subfolders("cache")]
         return sorted(i for i in ids if self.folder.exists(f"cache/snapshot={i}/{_MARK}"))
 
-    def cache(self) -> DataFrame:
+    def _layers(self) -> list[int]:
+        """Layers of the cache, the oldest first."""
         done = self._snapshots()
-        if not done:
+        return self._stack(done[-1]) if done else []
+
+    def _stack(self, number: int) -> list[int]:
+        return self.folder.read(f"cache/snapshot={number}/{_MARK}").get("layers", [number])
+
+    def _read_layers(self, numbers: list[int]) -> DataFrame:
+        reader = self.spark.read.schema(schemas.CACHE_LAYER).option("basePath", self.folder.path("cache"))
+        return reader.parquet(*[self.folder.path(f"cache/snapshot={number}") for number in numbers])
+
+    def cache(self) -> DataFrame:
+        """The entries; of a path in several layers, the newest one's."""
+        layers = self._layers()
+        if not layers:
             return self.spark.createDataFrame([], schemas.CACHE)
-        return self.spark.read.schema(schemas.CACHE).parquet(self.folder.path(f"cache/snapshot={done[-1]}"))
+        if len(layers) == 1:
+            return self.spark.read.schema(schemas.CACHE).parquet(self.folder.path(f"cache/snapshot={layers[0]}"))
+        return cache_ops.left_over(cache_ops.newest(self._read_layers(layers)))
 
     def write_cache(self, df: DataFrame) -> int:
-        """Write the next snapshot, then drop all but the one before it."""
+        """Write all entries anew, as the only layer."""
+        return self._write_layer(df.select(*schemas.CACHE.fieldNames()), [])
+
+    def change_cache(self, entries: DataFrame | None = None, gone: DataFrame | None = None) -> int:
+        """Insert or replace ``entries``, remove the paths of ``gone``; only these are written.
+
+        A path may not be in both.
+        """
+        parts = [cache_ops.layer(entries, gone=False)] if entries is not None else []
+        parts += [cache_ops.layer(gone, gone=True)] if gone is not None else []
+        if not parts:
+            raise ValueError("nothing to change")
+        return self.add_layer(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+
+    def add_layer(self, rows: DataFrame) -> int:
+        """Write changes, rows of ``operators.cache.layer``, over the layers there are, and merge what is due.
+
+        Changes that together outweigh the oldest layer are folded into it, so all entries
+        are rewritten only after as much was written. Newer layers are merged among themselves.
+        """
+        below = self._layers()
+        if not below:
+            return self.write_cache(cache_ops.left_over(rows))
+        number = self._write_layer(rows, below)
+        layers = self._layers()
+        sizes = [self.folder.read(f"cache/snapshot={n}/{_MARK}").get("bytes") or self.folder.bytes(f"cache/snapshot={n}") for n in layers]
+        if sum(sizes[1:]) >= sizes[0]:
+            return self.write_cache(self.cache())
+        count = tiers.due_newest(sizes[1:], _LAYERS)
+        if count:
+            merged = cache_ops.newest(self._read_layers(layers[-count:]))
+            return self._write_layer(merged, layers[:-count])
+        return number
+
+    def _write_layer(self, rows: DataFrame, below: list[int]) -> int:
+        """Commit the next layer; drop what neither it nor the commit before it needs."""
         taken = [int(s.split("=", 1)[1]) for s in self.folder.subfolders("cache")]
+        done = self._snapshots()
         number = max(taken, default=-1) + 1
         name = f"cache/snapshot={number}"
-        ordered = df.select(*schemas.CACHE.fieldNames())
-        ordered.write.mode("errorifexists").parquet(self.folder.path(name))
-        self.folder.write_once(f"{name}/{_MARK}", {})
+        rows.write.mode("errorifexists").parquet(self.folder.path(name))
+        record = {"layers": [*below, number], "bytes": self.folder.bytes(name)}
+        needed = {*below, number, number - 1, *(self._stack(done[-1]) if done else ())}
+        self.folder.write_once(f"{name}/{_MARK}", record)
         for old in taken:
-            if old < number - 1:
+            if old not in needed:
                 self.folder.delete(f"cache/snapshot={old}")
         return number

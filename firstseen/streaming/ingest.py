@@ -46,7 +46,7 @@ def ingest_stream(
     override: bool = False,
     existing: DataFrame | None = None,
     local_tz: str | None = None,
-    compact_every: int = 100,
+    compact_every: int = 10,
     trigger: dict | None = None,
     on_batch: Callable[[int, dict[str, int]], None] | None = None,
 ) -> StreamingQuery:
@@ -80,7 +80,7 @@ def ingest_stream(
         state.append_ledger(additions, writer, batch_id, replay=True)
         discard(batch.sparkSession, folder)
         if compact_every and batch_id % compact_every == compact_every - 1:
-            state.compact_ledger({writer: batch_id})
+            state.tend_ledger({writer: batch_id})
         if on_batch is not None:
             on_batch(batch_id, counts.get)
 
