@@ -36,9 +36,9 @@ class FileRun:
 
     results: DataFrame
     stats: DataFrame
-    listing: Listing
     checked: int
     removed: int
+    listing: Listing | None = None
 
 
 def _work_size(rows: DataFrame) -> tuple[int, int]:
@@ -221,14 +221,43 @@ def ingest_files(
     ``resume=True`` redoes the unfinished run.
     """
     check_mode(mode, dest_template)
-    tz = local_tz or spark.conf.get("spark.sql.session.timeZone")
-    root = os.fsencode(os.path.realpath(source))
     listing = scan_tree(spark, source, globs, ignore_hidden)
+    run = ingest_manifest(
+        listing.files, source, dest_template, state_dir, mode=mode, cleanup=cleanup, use_cache=use_cache,
+        override=override, copy_mode=copy_mode, chunk_bytes=chunk_bytes, threads=threads, local_tz=local_tz, resume=resume,
+    )
+    run.listing = listing
+    return run
 
+
+def ingest_manifest(
+    files: DataFrame,
+    source: str,
+    dest_template: str | None,
+    state_dir: str,
+    *,
+    mode: str,
+    cleanup: bool,
+    use_cache: bool = True,
+    override: bool = False,
+    copy_mode: str = "reflink",
+    chunk_bytes: int = CHUNK_BYTES,
+    threads: int = THREADS,
+    local_tz: str | None = None,
+    resume: bool = False,
+) -> FileRun:
+    """``ingest_files`` for a MANIFEST of files below ``source`` that is read once.
+
+    ``cleanup`` asks whether each cached path the manifest lacks still exists.
+    """
+    check_mode(mode, dest_template)
+    spark = files.sparkSession
+    tz = local_tz or spark.conf.get("spark.sql.session.timeZone")
+    root = os.fsencode(os.path.realpath(source))
     state = State(spark, state_dir)
     run_id = state.open_run(resume)
     folder = fresh_folder(spark, "file-run")
-    manifest = listing.files.withColumn("path_hash", digest.path_digest(F.col("path_bytes")))
+    manifest = files.withColumn("path_hash", digest.path_digest(F.col("path_bytes")))
     manifest = filters.with_errors(manifest).select(*CORE)
     if use_cache:
         classified = stage(classify_ops.classify(manifest, state.cache()), "classified", folder)
@@ -269,4 +298,4 @@ def ingest_files(
         if not name.startswith(kept):
             discard(spark, f"{folder}/{name}")
     results = _results(decided, root, dest)
-    return FileRun(results, stats.ingest_stats(decided), listing, removal["checked"], removal["removed"])
+    return FileRun(results, stats.ingest_stats(decided), removal["checked"], removal["removed"])

@@ -248,4 +248,6 @@ ORACLES: dict[str, str] = {
         SELECT DISTINCT text, 'documents' AS accepted_by FROM files
         WHERE content_hash NOT IN (SELECT content_hash FROM memory)"""),
     "stream_dedup": _with(_FILES, "SELECT DISTINCT content_hash FROM files"),
+    "stream_tree": _with(_FILES, "SELECT rel_path, size, mtime_ns FROM files"),
+    "stream_files": _with(_FILES, "SELECT DISTINCT size, content_hash FROM files"),
 }

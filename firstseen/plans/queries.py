@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import time
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -18,12 +19,16 @@ from firstseen.plans import binding, tables
 from firstseen.plans.files import ingest_files
 from firstseen.sources.content import hash_files
 from firstseen.sources.tree import scan_tree
+from firstseen.sources.watch import watch_tree
 from firstseen.state.store import State
-from firstseen.streaming.dedup import first_seen
+from firstseen.streaming.dedup import ROCKSDB, STATE_STORE, first_seen
 from firstseen.streaming.ingest import ingest_stream
-from firstseen.workspace import fresh_folder, mounted, stage
+from firstseen.streaming.tree import ingest_tree
+from firstseen.workspace import fresh_folder, mounted, setting, stage
 
 LOCAL_TZ = "America/New_York"
+# How long the files of a growing tree rest before a batch takes them.
+_SETTLE_MS = 200
 
 
 def _hex(df: DataFrame, *columns: str) -> DataFrame:
@@ -57,7 +62,11 @@ def _write_tree_task(root: str):
 def document_tree(spark: SparkSession, sf_dir: str) -> str:
     """Write every document as a file below a fresh shared folder."""
     root = mounted(fresh_folder(spark, "tree"))
-    source = binding.documents(spark, sf_dir)
+    _write_documents(spark, binding.documents(spark, sf_dir), root)
+    return root
+
+
+def _write_documents(spark: SparkSession, source: tables.TableSource, root: str) -> None:
     rows = source.table.select(
         paths.relative_path(source.path, source.root).alias("rel_path"),
         source.payload.cast("binary").alias("payload"),
@@ -65,7 +74,6 @@ def document_tree(spark: SparkSession, sf_dir: str) -> str:
     )
     spread = rows.repartition(spark.sparkContext.defaultParallelism, "rel_path")
     spread.mapInArrow(_write_tree_task(root), "files bigint").agg(F.sum("files")).first()
-    return root
 
 
 def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -559,6 +567,42 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hex(spark.read.schema("content_hash binary").parquet(out), "content_hash")
 
 
+def _grow_tree(spark: SparkSession, sf_dir: str, on_growth: Callable[[str], None]) -> None:
+    """Write the documents as files in three parts, and call ``on_growth`` after each."""
+    root = mounted(fresh_folder(spark, "tree"))
+    os.makedirs(root)
+    docs = binding.documents(spark, sf_dir)
+    for part in range(3):
+        _write_documents(spark, replace(docs, table=docs.table.filter(F.crc32(docs.path) % 3 == part)), root)
+        time.sleep(2 * _SETTLE_MS / 1_000)
+        on_growth(root)
+
+
+def stream_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a watched tree delivers over three batches, from a Parquet sink."""
+    out, checkpoint = fresh_folder(spark, "delivered"), fresh_folder(spark, "checkpoint")
+
+    def deliver(root: str) -> None:
+        files = watch_tree(spark, root, once=True, settle_ms=_SETTLE_MS).select("rel_path", "size", "mtime_ns")
+        query = files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+
+    with setting(spark, STATE_STORE, ROCKSDB):
+        _grow_tree(spark, sf_dir, deliver)
+    return spark.read.schema("rel_path string, size bigint, mtime_ns bigint").parquet(out)
+
+
+def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files a continuous ingest of a growing tree placed. Which of equal files
+    comes first depends on the batches, so they are reported without their names."""
+    dest, state_dir = mounted(fresh_folder(spark, "dest")), fresh_folder(spark, "state")
+    os.makedirs(dest)
+    checkpoint = fresh_folder(spark, "checkpoint")
+    _grow_tree(spark, sf_dir, lambda root: ingest_tree(
+        spark, root, dest, state_dir, checkpoint, settle_ms=_SETTLE_MS).awaitTermination())
+    return _placed(spark, dest).select("size", "content_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "manifest_scan": manifest_scan,
     "scan_globbed": scan_globbed,
@@ -619,4 +663,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_ingest": stream_ingest,
     "stream_accepted": stream_accepted,
     "stream_dedup": stream_dedup,
+    "stream_tree": stream_tree,
+    "stream_files": stream_files,
 }

@@ -2,7 +2,7 @@
 
 from pyspark import cloudpickle
 
-from firstseen.sources import content, tree
+from firstseen.sources import content, tree, watch
 
-for _module in (content, tree):
+for _module in (content, tree, watch):
     cloudpickle.register_pickle_by_value(_module)

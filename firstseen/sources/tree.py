@@ -120,6 +120,19 @@ def _birth_time_reader():
     return read
 
 
+def described(path: bytes, info: os.stat_result, birth_time) -> tuple[int | None, int | None, int | None, str | None]:
+    """(size, mtime_ns, ctime_ns, error) of a file."""
+    born = birth_time(path)
+    problem = None
+    if not stat.S_ISREG(info.st_mode):
+        problem = "not a regular file any more"
+    elif info.st_mtime_ns < 0 or born < 0:
+        problem = "file time is before 1970"
+    elif info.st_mtime_ns >= 1 << 63:
+        problem = "file time does not fit nanoseconds in 64 bits"
+    return (None, None, None, problem) if problem else (info.st_size, info.st_mtime_ns, born, None)
+
+
 def _stat_task(batches):
     """(path_bytes) -> (path_bytes, size, mtime_ns, ctime_ns, error)."""
     schema = pa.schema([
@@ -131,15 +144,7 @@ def _stat_task(batches):
         rows = []
         for path in batch.column(0).to_pylist():
             try:
-                info = os.stat(path)
-                born = birth_time(path)
-                if not stat.S_ISREG(info.st_mode):
-                    raise OSError("not a regular file any more")
-                if info.st_mtime_ns < 0 or born < 0:
-                    raise OSError("file time is before 1970")
-                if info.st_mtime_ns >= 1 << 63:
-                    raise OSError("file time does not fit nanoseconds in 64 bits")
-                rows.append((path, info.st_size, info.st_mtime_ns, born, None))
+                rows.append((path, *described(path, os.stat(path), birth_time)))
             except OSError as problem:
                 rows.append((path, None, None, None, str(problem)))
         if rows:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Fixed value: Spark's state store that keeps its state on disk.
+# Spark's option for the state store, and the store that keeps its state on disk.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,5 +30,5 @@ def first_seen(rows: DataFrame) -> DataFrame:
     each batch of rows passes on at most one row per content. Rows without a
     digest are dropped. Pass narrow rows, not payloads.
     """
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows.sparkSession.conf.set(STATE_STORE, ROCKSDB)
     return rows.mapInArrow(_first_in_batch, rows.schema).dropDuplicates(["content_hash"])
