@@ -558,11 +558,12 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First rows per content over three micro-batches, from a Parquet sink."""
     out = fresh_folder(spark, "first-seen")
     hashes = _document_stream(spark, sf_dir).select(digest.content_digest(F.col("text")).alias("content_hash"))
-    query = (
-        first_seen(hashes).writeStream.format("parquet")
-        .option("checkpointLocation", fresh_folder(spark, "checkpoint"))
-        .trigger(availableNow=True).start(out)
-    )
+    with setting(spark, STATE_STORE, ROCKSDB):
+        query = (
+            first_seen(hashes).writeStream.format("parquet")
+            .option("checkpointLocation", fresh_folder(spark, "checkpoint"))
+            .trigger(availableNow=True).start(out)
+        )
     query.awaitTermination()
     return _hex(spark.read.schema("content_hash binary").parquet(out), "content_hash")
 

@@ -38,7 +38,7 @@ from firstseen.functions import globs as glob_rules
 from firstseen.functions import paths
 from firstseen.sources import tree
 from firstseen.sources.tree import DIRECTORY, FILE, LIST_BUDGET, PENDING
-from firstseen.streaming.dedup import ROCKSDB, STATE_STORE
+from firstseen.streaming.dedup import check_state_store
 
 # Listing rounds of a batch; the last one has no budget. Three rounds with a budget reach
 # LIST_BUDGET ** 3 entries.
@@ -198,8 +198,8 @@ def watch_tree(
     root = os.path.realpath(source)
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
-    if once and spark.conf.get(STATE_STORE, None) != ROCKSDB:
-        raise ValueError("set spark.sql.streaming.stateStore.providerClass to RocksDB to deliver rows once")
+    if once:
+        check_state_store(spark)
     root_bytes = os.fsencode(root)
     pruned = glob_rules.dir_pruner(parsed, ignore_hidden)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -12,7 +12,7 @@ from firstseen.operators import filters, payload
 from firstseen.operators.classify import classify
 from firstseen.plans.tables import CO_PARTITION, TableSource, accepted_by_slot, digests_of_misses, hash_rows
 from firstseen.schemas import CORE
-from firstseen.streaming.dedup import first_seen
+from firstseen.streaming.dedup import ROCKSDB, STATE_STORE, first_seen
 from firstseen.streaming.ingest import ingest_stream
 from firstseen.workspace import setting, stage
 from tests.test_decide import one_by_one
@@ -187,10 +187,14 @@ def test_writer_belongs_to_one_checkpoint(spark, tmp_path):
 def test_stream_dedup(spark, tmp_path, parts):
     stream, bodies = incoming(spark, tmp_path, parts)
     rows = stream.select(F.col("body").cast("binary").alias("content_hash"))
-    query = (
-        first_seen(rows).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
-        .trigger(availableNow=True).start(str(tmp_path / "out"))
-    )
+    if spark.conf.get(STATE_STORE) != ROCKSDB:
+        with pytest.raises(ValueError, match="stateStore"):
+            first_seen(rows)
+    with setting(spark, STATE_STORE, ROCKSDB):
+        query = (
+            first_seen(rows).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+            .trigger(availableNow=True).start(str(tmp_path / "out"))
+        )
     query.awaitTermination()
     got = [bytes(r["content_hash"]).decode() for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got) == sorted(bodies)
