@@ -36,8 +36,10 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from firstseen.functions import globs as glob_rules
 from firstseen.functions import paths
-from firstseen.sources import tree
-from firstseen.sources.tree import DIRECTORY, FILE, LIST_BUDGET, PENDING
+# Names, not the module: tasks take functions along by value, a module they would have to import.
+from firstseen.sources.tree import (
+    _BATCH, DIRECTORY, FILE, LIST_BUDGET, PENDING, _batch, _birth_time_reader, described,
+)
 from firstseen.streaming.dedup import check_state_store
 
 # Listing rounds of a batch; the last one has no budget. Three rounds with a budget reach
@@ -97,7 +99,7 @@ class TreeWindows(DataSource):
 
 
 def _found(path: bytes, info: os.stat_result, birth_time) -> tuple:
-    size, mtime_ns, born, error = tree.described(path, info, birth_time)
+    size, mtime_ns, born, error = described(path, info, birth_time)
     return path, FILE, size, mtime_ns, born, info.st_ctime_ns, error, None, None, None, None, None
 
 
@@ -157,7 +159,7 @@ def _walk_task(root: bytes, pruned, budget: int | None):
                 yield _broken(directory, DIRECTORY, problem)
 
     def run(batches):
-        birth_time = tree._birth_time_reader()
+        birth_time = _birth_time_reader()
         for batch in batches:
             waiting = pc.equal(batch.column(1), PENDING)
             done = batch.filter(pc.invert(waiting))
@@ -168,11 +170,11 @@ def _walk_task(root: bytes, pruned, budget: int | None):
             for item in items.to_pylist():
                 for row in walk(*item.values(), birth_time):
                     rows.append(row)
-                    if len(rows) >= tree._BATCH:
-                        yield tree._batch(rows, _WORK)
+                    if len(rows) >= _BATCH:
+                        yield _batch(rows, _WORK)
                         rows = []
             if rows:
-                yield tree._batch(rows, _WORK)
+                yield _batch(rows, _WORK)
 
     return run
 

@@ -1,13 +1,17 @@
 """The tree as a stream: windows, moved directories, slices, restarts, ingest."""
 
 import os
+import subprocess
+import sys
 import time
 
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from firstseen import State
+from firstseen.functions import globs
 from firstseen.sources import tree, watch
 from firstseen.streaming.dedup import ROCKSDB, STATE_STORE
 from firstseen.streaming.tree import ingest_tree
@@ -149,3 +153,20 @@ def test_continuous_ingest(spark, tmp_path):
     ]
     assert names(tmp_path / "dst") == ["one", "two"]
     assert State(spark, state).ledger().filter(F.col("writer") == "batch").count() == 2
+
+
+def test_tasks_need_no_install(tmp_path):
+    """A process that cannot import the package runs the walk and the clock."""
+    put(tmp_path, "tree/a/one", "1")
+    root = os.fsencode(tmp_path / "tree")
+    task = watch._walk_task(root, globs.dir_pruner(globs.parse_globs(["!cache/"]), True), 10)
+    batch = tree._batch([(root, tree.PENDING, *[None] * 5, -1, 1 << 62, False, 0, 1)], watch._WORK)
+    (tmp_path / "task").write_bytes(cloudpickle.dumps((task, batch, watch.TreeWindows)))
+    code = """
+import pickle, pyspark, sys
+task, batch, source = pickle.load(open(sys.argv[1], "rb"))
+print(sum(out.num_rows for out in task(iter([batch]))), source({}).streamReader(None).initialOffset()["until_ns"])
+"""
+    done = subprocess.run(
+        [sys.executable, "-c", code, str(tmp_path / "task")], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert done.stdout.split() == ["1", "-1"]
