@@ -29,6 +29,9 @@ from firstseen.workspace import fresh_folder, mounted, setting, stage
 LOCAL_TZ = "America/New_York"
 # How long the files of a growing tree rest before a batch takes them.
 _SETTLE_MS = 200
+# Payload bytes that one task gets, and those of a batch of rows its Python holds.
+_TASK_BYTES, _BATCH_BYTES = 64 << 20, 4 << 20
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def _hex(df: DataFrame, *columns: str) -> DataFrame:
@@ -47,14 +50,14 @@ def _digested(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
 def _write_tree_task(root: str):
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                target = f"{root}/{row['rel_path']}"
+            columns = (batch.column(name) for name in ("rel_path", "payload", "mtime_ns"))
+            for rel_path, payload, mtime_ns in zip(*columns):  # no second copy of the payloads
+                target = f"{root}/{rel_path.as_py()}"
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 with open(target, "wb") as out:
-                    out.write(row["payload"])
-                os.utime(target, ns=(row["mtime_ns"], row["mtime_ns"]))
-            yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["files"])
+                    out.write(payload.as_buffer())
+                os.utime(target, ns=(mtime_ns.as_py(), mtime_ns.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
 
     return run
 
@@ -72,8 +75,16 @@ def _write_documents(spark: SparkSession, source: tables.TableSource, root: str)
         source.payload.cast("binary").alias("payload"),
         source.mtime_ns.alias("mtime_ns"),
     )
-    spread = rows.repartition(spark.sparkContext.defaultParallelism, "rel_path")
-    spread.mapInArrow(_write_tree_task(root), "files bigint").agg(F.sum("files")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, _tasks_for(rows, "payload"))
+    with setting(spark, _ARROW_BYTES, _BATCH_BYTES):
+        spread = rows.repartition(tasks, "rel_path")
+        spread.mapInArrow(_write_tree_task(root), "files bigint").agg(F.sum("files")).first()
+
+
+def _tasks_for(rows: DataFrame, payload: str) -> int:
+    """How many tasks share the payloads, each with about _TASK_BYTES of them."""
+    total = rows.agg(F.sum(F.octet_length(payload))).first()[0] or 0
+    return max(-(-total // _TASK_BYTES), 1)
 
 
 def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
