@@ -32,6 +32,8 @@ _SETTLE_MS = 200
 # Payload bytes that one task gets, and those of a batch of rows its Python holds.
 _TASK_BYTES, _BATCH_BYTES = 64 << 20, 4 << 20
 _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+# Micro-batches of a document stream.
+_BATCHES = 3
 
 
 def _hex(df: DataFrame, *columns: str) -> DataFrame:
@@ -530,11 +532,12 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a file stream of several micro-batches."""
+    """Documents as a file stream of several micro-batches, each of files of bounded size."""
     folder = fresh_folder(spark, "incoming")
     docs = binding.read(spark, sf_dir, "documents")
-    docs.repartition(3, "doc_id").write.parquet(folder)
-    return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = -(-_tasks_for(docs, "text") // _BATCHES)
+    docs.repartition(_BATCHES * files, "doc_id").write.parquet(folder)
+    return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> tuple[State, str]:

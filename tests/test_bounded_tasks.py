@@ -60,3 +60,18 @@ def test_files_of_the_tree_hold_the_texts(spark, folder):
     written = {path.stem: path for path in root.rglob("*.txt")}
     assert len(written) == ROWS
     assert all(path.read_text() == name.lstrip(".").ljust(TEXT, "x") for name, path in written.items())
+
+
+def test_document_stream_has_three_batches_of_small_files(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "_TASK_BYTES", 50_000, raising=False)
+    batches = []
+    stream = queries._document_stream(spark, folder)
+    take = lambda batch, _: batches.append(
+        [(row["n"], row["b"]) for row in batch.groupBy(F.input_file_name()).agg(
+            F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()]
+    )
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "checkpoint"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert len(batches) == 3
+    assert sum(n for batch in batches for n, _ in batch) == ROWS
+    assert max(b for batch in batches for _, b in batch) <= 2 * 50_000
