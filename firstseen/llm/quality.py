@@ -10,7 +10,8 @@ few vector operations per length.
 Training fits on at most SAMPLE labelled documents, those with the smallest hash
 of their id among the ids that have a document, each of whole text; the bound is a
 parameter. Of the rows with one id and label, the one stored first is taken. Their feature counts
-are made in tasks, so the driver gets at most FEATURES pairs of each. Scoring needs only one number per bucket, the difference of the two
+are made in tasks and go to one more, at most FEATURES pairs of each. That task trains, since every
+step needs the one before; the driver gets the model alone. Scoring needs only one number per bucket, the difference of the two
 classes' logits, since averages are linear.
 
 Defined results. A null or blank text has no features and gets the score of the
@@ -143,8 +144,50 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int = FEATURES) -> Model:
-    """Stochastic gradient descent, one document a step, over (label, buckets, counts)."""
+class Sample:
+    """(label, buckets, counts) of the sampled documents, from a frame that holds the pairs as bytes.
+
+    Only iterating brings them to the driver, a partition at a time.
+    """
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return self.rows.count()
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for row in self.rows.toLocalIterator():
+            yield row["label"], np.frombuffer(row["buckets"], "<i4"), np.frombuffer(row["counts"], "<f4")
+
+    def trained(self, buckets: int) -> Model:
+        """The model, made in one task; zero weights if there are no rows."""
+        for row in self.rows.repartition(1).mapInArrow(_trained(buckets), "weights binary, bias double").collect():
+            return Model(np.frombuffer(row["weights"], "<f4"), row["bias"])
+        return Model(np.zeros(buckets, np.float32), 0.0)
+
+
+def train(rows: Sample | list[tuple[int, np.ndarray, np.ndarray]], buckets: int = FEATURES) -> Model:
+    """Model of (label, buckets, counts): of a list made here, of a ``Sample`` in a task."""
+    return rows.trained(buckets) if isinstance(rows, Sample) else _descended(rows, buckets)
+
+
+def _trained(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, bytes, bytes]] = []
+        for batch in batches:
+            rows += zip(*(batch.column(name).to_pylist() for name in ("label", "buckets", "counts")))
+        if not rows:
+            return
+        rows.sort()
+        model = _descended([(label, np.frombuffer(at, "<i4"), np.frombuffer(n, "<f4")) for label, at, n in rows], buckets)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
+
+    return run
+
+
+def _descended(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int) -> Model:
+    """Stochastic gradient descent, one document a step."""
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (buckets, DIMENSION))
     output, bias = np.zeros((DIMENSION, 2)), np.zeros(2)
@@ -153,6 +196,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int = FEATURE
         if step % len(rows) == 0:
             order = rng.permutation(len(rows))
         label, at, n = rows[order[step % len(rows)]]
+        n = np.asarray(n, float)  # one document's, so that the sample stays as small as it came
         share = n / n.sum() if len(n) else n
         mean = share @ vectors[at]
         logits = mean @ output + bias
@@ -183,11 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     first = places.groupBy("doc_id", "label").agg(F.min(F.struct("file", "row")).alias("at")).select("label", "at.file", "at.row")
     first = stage(first, "quality-sample")
     chosen = located(docs, "text").join(F.broadcast(first), ["file", "row"]).select("label", "text")
-    rows = chosen.mapInArrow(_sampled, "label int, buckets binary, counts binary").collect()
-    rows.sort(key=lambda row: (row["label"], row["buckets"], row["counts"]))
-    if not rows:
-        return Model(np.zeros(FEATURES, np.float32), 0.0)
-    return train([(r["label"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<f4").astype(float)) for r in rows])
+    return train(Sample(chosen.mapInArrow(_sampled, "label int, buckets binary, counts binary")))
 
 
 def _scorer(model):
