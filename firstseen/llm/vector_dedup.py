@@ -1,17 +1,19 @@
-"""Embedding near-dedup by a subspace pigeonhole join.
-
-Unit vectors with cosine of at least c differ by a squared distance of at most
-2 - 2c. They are turned by a fixed random rotation, which spreads that distance
-evenly, and split into BLOCKS subspaces. In one of them a linked pair differs by
-no more than the block's proportional part of the budget. Each block is
-range-joined within that radius: its first GRID coordinates name a cell two radii
-wide, a vector also goes to the neighbouring cells that its ball reaches and that
-come before its own, so a pair within the radius meets in exactly one cell.
-Candidates of a block are verified by the exact cosine in double precision, and
-count in the first block that holds them.
-
-Equal vectors are one class. A cell with more than CELL_ROWS rows is dealt out as
-pairs of chunks, so a task holds at most two chunks. Tasks return per class the
+"""Embedding near-dedup by a bounded product of chunks.
+
+Each distinct vector is stored once, in chunks of at most CELL_ROWS vectors and
+CHUNK_BYTES. A task reads the chunks of two pieces of that table and compares
+every chunk of one to every chunk of the other, so no vector is shuffled or
+copied to disk for its comparisons: disk grows with the rows, only computing with
+their pairs.
+
+A pair is first bounded. Unit vectors are turned by a fixed random rotation, which
+spreads their norm evenly; what the leading coordinates of a pair give to its cosine
+is computed, the rest is at most the product of the remaining norms (Cauchy-Schwarz).
+Both come from one matrix product in single precision, in which the remaining norm is
+one more coordinate. Only pairs whose bound reaches the cosine are verified by the
+exact cosine in double precision.
+
+Equal vectors are one class. A task holds two chunks. Tasks return per class the
 number of its links and one edge to its local component, never the pairs.
 
 Defined results. A vector that is null, empty or zero, or holds a null, NaN or
@@ -25,7 +27,6 @@ an empty result. All links are found: the join has no cap on partners.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 import sys
 from collections.abc import Iterator
@@ -37,36 +38,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firstseen.llm.common import components, spread_join
-from firstseen.workspace import stage
+from firstseen.llm.common import components, drop, spread_join
+from firstseen.workspace import setting, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COSINE = 0.9
-BLOCKS = 4
-GRID = 2
-CELL_ROWS = 8192
+# Most vectors and bytes of a chunk. Larger ones are read less often, the pairs of a task are compared longer.
+CELL_ROWS = 32768
+CHUNK_BYTES = 8 << 20
 SEED = 11
-_TILE = 1024
-_PAIRS = 1 << 15
+_TILE = (512, 1024)
+_VALUES = 1 << 21
 _KEY = 16
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_FILE_ROWS = "spark.sql.files.maxRecordsPerFile"
 
 
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, key, vector): key identifies the content, null if it cannot link."""
+    """(vec_id, key, dim, vector): key identifies the content, null if it cannot link.
+
+    Vectors are kept in single precision where that loses nothing.
+    """
     for batch in batches:
-        keys, vectors = [], []
-        for value in batch.column("embedding").to_pylist():
-            key = vector = None
-            if value and None not in value:
-                x = np.array(value, "<f8") + 0.0  # one zero only
-                if np.isfinite(x).all() and x.any():
-                    vector = x.tobytes()
-                    key = hashlib.sha256(vector).digest()[:_KEY]
-            keys.append(key)
-            vectors.append(vector)
+        lists = batch.column("embedding")
+        starts = lists.offsets.to_numpy()
+        sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(starts), 0)
+        # A null component becomes NaN. One zero only.
+        flat = lists.values.cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False).astype("<f8", copy=False) + 0.0
+        keys: list = [None] * len(sizes)
+        vectors: list = [None] * len(sizes)
+        for dim in np.unique(sizes[sizes > 0]).tolist():
+            same = np.flatnonzero(sizes == dim)
+            step = max(1, _VALUES // dim)
+            for at in range(0, len(same), step):
+                rows = same[at : at + step]
+                x = flat[starts[rows][:, None] + np.arange(dim)]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    narrow = x.astype("<f4")
+                exact = (narrow == x).all(1)
+                for k in np.flatnonzero(np.isfinite(x).all(1) & x.any(1)).tolist():
+                    keys[rows[k]] = hashlib.sha256(x[k].tobytes()).digest()[:_KEY]
+                    vectors[rows[k]] = (narrow[k] if exact[k] else x[k]).tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary())], ["vec_id", "key", "vector"]
+            [batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(vectors, pa.binary())],
+            ["vec_id", "key", "dim", "vector"],
         )
 
 
@@ -76,75 +92,48 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def bounds(dim: int, blocks: int = BLOCKS) -> list[tuple[int, int]]:
-    """Block borders; fewer blocks than asked for if there are fewer dimensions."""
-    edges = np.linspace(0, dim, min(blocks, dim) + 1).astype(int).tolist()
-    return list(zip(edges, edges[1:]))
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     scaled = x / np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
-def cells(turned: np.ndarray, begin: int, end: int, budget: float) -> Iterator[tuple[tuple[int, ...], np.ndarray, bool]]:
-    """(cell, rows, home) of a block: own cells, and earlier ones that a ball reaches."""
-    width = end - begin
-    radius = math.sqrt(budget * width / turned.shape[1]) * (1 + 1e-6) + 1e-9
-    grid = min(GRID, width)
-    at = turned[:, begin : begin + grid]
-    own = np.floor(at / (2 * radius)).astype(int)
-    low, high = np.floor((at - radius) / (2 * radius)).astype(int), np.floor((at + radius) / (2 * radius)).astype(int)
-    for step in itertools.product((-1, 0, 1), repeat=grid):
-        there = own + np.array(step)
-        earlier = step < (0,) * grid
-        reached = ((there >= low) & (there <= high)).all(1)
-        if earlier or not any(step):
-            for cell in np.unique(there[reached], axis=0):
-                yield tuple(cell.tolist()), np.flatnonzero(reached & (there == cell).all(1)), not any(step)
+def leading(dim: int, cosine: float) -> int:
+    """How many coordinates are multiplied for the bound: unrelated vectors must not reach the cosine."""
+    return max(1, min(dim, math.ceil(dim * (4 / 3 - cosine))))
 
 
-def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indices, vectors) of a batch by length of the vectors."""
-    raw = batch.column("vector").to_pylist()
-    sizes = np.array([len(v) // 8 for v in raw], int)
-    for dim in np.unique(sizes):
-        rows = np.flatnonzero(sizes == dim)
-        yield rows, np.frombuffer(b"".join([raw[i] for i in rows]), "<f8").reshape(-1, dim)
+def bounding(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Leading coordinates of the turned unit vectors and the norm of the rest: products are bounds of the cosine."""
+    part = x @ turn
+    rest = np.sqrt(np.maximum(1 - (part * part).sum(1, keepdims=True), 0))
+    return np.hstack([part, rest]).astype(np.float32)
 
 
-def _placed(budget: float, chunks: dict | None):
-    """Cells of each vector: their sizes, or (unit, part) rows if chunk counts are given."""
+def _packed(most: int, most_bytes: int):
+    """Chunks of (key, n, dim, vector) rows, each of one length and precision."""
+
+    def chunk(dim: int, size: int, rows: list[tuple]) -> pa.RecordBatch:
+        keys, counts, vectors = zip(*rows)
+        values = [dim, size > 4 * dim, b"".join(keys), np.array(counts, "<i8").tobytes(), b"".join(vectors)]
+        types = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], ["dim", "wide", "keys", "counts", "vectors"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[tuple]] = {}
+        total = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column("key").to_pylist()
-            counted: dict[str, int] = {}
-            out: list[tuple] = []
-            for rows, x in _rows_of(batch):
-                turned = unit(x) @ rotation(x.shape[1])
-                for block, (begin, end) in enumerate(bounds(x.shape[1])):
-                    for cell, found, home in cells(turned, begin, end, budget):
-                        name = f"{x.shape[1]}/{block}/{','.join(map(str, cell))}"
-                        if chunks is None:
-                            counted[name] = counted.get(name, 0) + len(found)
-                            continue
-                        n = chunks.get(name, 1)
-                        for i in rows[found].tolist():
-                            mine = int.from_bytes(keys[i][:4], "little") % n
-                            out.extend((f"{name}/{min(mine, o)}-{max(mine, o)}", i, mine, home) for o in range(n))
-            if chunks is None:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], ["cell", "n"])
-                continue
-            for at in range(0, len(out), 50_000):
-                units, place, mine, home = zip(*out[at : at + 50_000])
-                taken = batch.take(pa.array(place))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(units, pa.string()), pa.array(mine, pa.int32()), pa.array(home), taken.column("key"), taken.column("n"), taken.column("vector")],
-                    ["unit", "chunk", "home", "key", "n", "vector"],
-                )
+            for key, n, dim, vector in zip(*(batch.column(name).to_pylist() for name in ("key", "n", "dim", "vector"))):
+                kind = (dim, len(vector))
+                rows = held.setdefault(kind, [])
+                rows.append((key, n, vector))
+                total += len(vector)
+                if len(rows) >= most or len(rows) * len(vector) >= most_bytes:
+                    total -= len(rows) * len(vector)
+                    yield chunk(*kind, held.pop(kind))
+                elif total > 8 * most_bytes:  # many lengths
+                    yield from (chunk(*kind, rows) for kind, rows in held.items())
+                    held, total = {}, 0
+        yield from (chunk(*kind, rows) for kind, rows in held.items())
 
     return run
 
@@ -164,92 +153,129 @@ def _merge(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarra
             labels = nearer
 
 
-def _verified(x, turned, left, right, block, limits, edges, cosine):
-    """Which candidates link, and were not already met in an earlier block."""
-    first = np.ones(len(left), bool)
-    for earlier in range(block + 1):
-        begin, end = edges[earlier]
-        apart = turned[left, begin:end] - turned[right, begin:end]
-        within = (apart * apart).sum(1) <= limits[earlier]
-        first &= within if earlier == block else ~within
-    at = np.flatnonzero(first)
-    ok = (x[left[at]] * x[right[at]]).sum(1) >= cosine
-    return left[at[ok]], right[at[ok]]
-
-
-def _joined(cosine: float, budget: float):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("key")
-        name = table.column("unit")[0].as_py()
-        dim, block, _, pair = name.split("/")
-        dim, block = int(dim), int(block)
-        one, two = map(int, pair.split("-"))
-        raw = table.column("vector").to_pylist()
-        x = unit(np.frombuffer(b"".join(raw), "<f8").reshape(-1, dim))
-        turned = x @ rotation(dim)
-        edges = bounds(dim)
-        # Limits take in rounding; candidates found in single precision get more room.
-        limits = [budget * (end - begin) / dim + 1e-9 for begin, end in edges]
-        begin, end = edges[block]
-        part = turned[:, begin:end].astype(np.float32)
-        norms = (part * part).sum(1)
-        n = table.column("n").to_numpy()
-        home = table.column("home").to_numpy()
-        chunk = table.column("chunk").to_numpy()
-        left_rows, right_rows = np.flatnonzero(chunk == one), np.flatnonzero(chunk == two)
-        labels, links = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for at in range(0, len(left_rows), _TILE):
-            rows = left_rows[at : at + _TILE]
-            apart = norms[rows][:, None] + norms[right_rows][None, :] - 2 * (part[rows] @ part[right_rows].T)
-            near = apart <= limits[block] + 1e-5
-            near &= home[rows][:, None] | home[right_rows][None, :]
-            i, j = np.nonzero(near)
-            i, j = rows[i], right_rows[j]
-            if one == two:
-                i, j = i[i < j], j[i < j]
-            for k in range(0, len(i), _PAIRS):
-                a, b = _verified(x, turned, i[k : k + _PAIRS], j[k : k + _PAIRS], block, limits, edges, cosine)
-                np.add.at(links, a, n[b])
-                np.add.at(links, b, n[a])
-                labels = _merge(labels, a, b)
+def _candidates(left: np.ndarray, right: np.ndarray, same: bool, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows whose bound reaches the limit; of a chunk with itself, each pair once."""
+    room = np.empty(_TILE[0] * _TILE[1], np.float32)  # fresh memory for each tile is slow
+    for i in range(0, len(left), _TILE[0]):
+        for j in range(i if same else 0, len(right), _TILE[1]):
+            a, b = left[i : i + _TILE[0]], right[j : j + _TILE[1]]
+            bound = np.matmul(a, b.T, out=room[: len(a) * len(b)].reshape(len(a), len(b)))
+            some = np.flatnonzero(bound.max(1) >= limit)
+            if len(some):
+                a, b = np.nonzero(bound[some] >= limit)
+                a, b = some[a] + i, b + j
+                yield (a[a < b], b[a < b]) if same else (a, b)
+
+
+def _joined(cosine: float):
+    def opened(row: dict, end: str, turns: dict[int, np.ndarray]) -> tuple:
+        dim = row["dim"]
+        if dim not in turns:
+            turns[dim] = rotation(dim)[:, : leading(dim, cosine)]
+        x = unit(np.frombuffer(row[f"vectors{end}"], "<f8" if row[f"wide{end}"] else "<f4").reshape(-1, dim).astype("<f8"))
+        return row[f"keys{end}"], np.frombuffer(row[f"counts{end}"], "<i8"), x, bounding(x, turns[dim])
+
+    def links_of(left: tuple, right: tuple, same: bool) -> pa.RecordBatch | None:
+        (keys, n, x, part), (other_keys, other_n, y, other_part) = left, right
+        dim, shift = x.shape[1], 0 if same else len(x)
+        if not same:
+            keys, n = keys + other_keys, np.concatenate([n, other_n])
+        links, labels = np.zeros(len(n), np.int64), np.arange(len(n))
+        most = max(256, _VALUES // dim)
+        # Room for the rounding of single precision: a product's terms add up to 1 at most.
+        limit = cosine - (dim + 16) * 2.0**-23
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def verify() -> None:
+            nonlocal labels, held
+            a, b = (np.concatenate(pairs) for pairs in zip(*waiting))
+            waiting.clear()
+            held = 0
+            for k in range(0, len(a), most):
+                i, j = a[k : k + most], b[k : k + most]
+                ok = (x[i] * y[j]).sum(1) >= cosine
+                i, j = i[ok], j[ok] + shift
+                np.add.at(links, i, n[j])
+                np.add.at(links, j, n[i])
+                labels = _merge(labels, i, j)
+
+        for pairs in _candidates(part, other_part, same, limit):
+            waiting.append(pairs)
+            held += len(pairs[0])
+            if held >= most:
+                verify()
+        if waiting:
+            verify()
         found = np.flatnonzero(links)
-        keys = table.column("key")
-        return pa.table({"key": keys.take(pa.array(found)), "root": keys.take(pa.array(labels[found])), "links": pa.array(links[found])})
+        if not len(found):
+            return None
+        name = lambda at: pa.array([keys[k : k + _KEY] for k in (at * _KEY).tolist()], pa.binary())
+        return pa.RecordBatch.from_arrays([name(found), name(labels[found]), pa.array(links[found])], ["key", "root", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, np.ndarray] = {}
+        at = left = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if at != row["id"]:  # the rows of a chunk follow each other
+                    at, left = row["id"], opened(row, "", turns)
+                same = at == row["id2"]
+                found = links_of(left, left if same else opened(row, "2", turns), same)
+                if found is not None:
+                    yield found
 
     return run
 
 
-def linked(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
+def meetings(chunks: DataFrame) -> DataFrame:
+    """Each two chunks of one length, and each with itself, once.
+
+    Which of two comes first goes by a hash, so that all tasks have work.
+    """
+    others = chunks.withColumnsRenamed({name: f"{name}2" for name in chunks.columns})
+    first = F.pmod(F.xxhash64(F.least("id", "id2"), F.greatest("id", "id2")), F.lit(2)) == 0
+    met = (F.col("dim") == F.col("dim2")) & ((F.col("id") == F.col("id2")) | ((F.col("id") < F.col("id2")) == first))
+    return chunks.hint("shuffle_replicate_nl").join(others, met)
+
+
+def linked(chunks: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(key, root, links): links of each class to others, in parts; ``root`` is linked to it.
 
-    ``classes`` holds (key, n, vector), one row per distinct vector, staged.
+    ``chunks`` come from ``chunked``. Planned with one row in a batch for Python.
     """
-    budget = 2 - 2 * cosine
-    sizes = classes.select("key", "vector").mapInArrow(_placed(budget, None), "cell string, n long")
-    # Cells are bounded by geometry: coordinates of unit vectors lie within -1 and 1.
-    crowded = sizes.groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > CELL_ROWS).collect()
-    chunks = {row["cell"]: -(-row["n"] // (CELL_ROWS // 2)) for row in crowded}
-    schema = "unit string, chunk int, home boolean, key binary, n long, vector binary"
-    placed = classes.mapInArrow(_placed(budget, chunks), schema)
-    return placed.groupBy("unit").applyInArrow(_joined(cosine, budget), "key binary, root binary, links long")
+    return meetings(chunks).mapInArrow(_joined(cosine), "key binary, root binary, links long")
+
+
+def chunked(classes: DataFrame) -> DataFrame:
+    """``classes`` (key, n, dim, vector), one row per distinct vector, staged as numbered chunks."""
+    chunks = classes.mapInArrow(_packed(CELL_ROWS, CHUNK_BYTES), "dim int, wide boolean, keys binary, counts binary, vectors binary")
+    with setting(classes.sparkSession, _FILE_ROWS, "1"):
+        return stage(chunks.withColumn("id", F.monotonically_increasing_id()), "vector-chunks")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows = vectors.select("vec_id", "embedding")
-    schema = T.StructType([rows.schema["vec_id"], T.StructField("key", T.BinaryType()), T.StructField("vector", T.BinaryType())])
+    spark = rows.sparkSession
+    schema = T.StructType([
+        rows.schema["vec_id"], T.StructField("key", T.BinaryType()), T.StructField("dim", T.IntegerType()), T.StructField("vector", T.BinaryType())
+    ])
     prepared = stage(rows.mapInArrow(_prepared, schema), "vectors")
-    members = prepared.select("vec_id", "key")
+    members = stage(prepared.select("vec_id", "key"), "vector-members")
     able = F.col("key").isNotNull()
-    classes = stage(
-        prepared.filter(able).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"), F.first("vector").alias("vector")),
-        "vector-classes",
+    chunks = chunked(
+        prepared.filter(able).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("dim").alias("dim"), F.first("vector").alias("vector"))
     )
-    found = stage(linked(classes.select("key", "n", "vector"), cosine), "vector-links")
+    drop(prepared)
+    with setting(spark, _ARROW_ROWS, "1"):
+        found = stage(linked(chunks, cosine), "vector-links")
+    drop(chunks)
+    classes = members.filter(able).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"))
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("key").agg(F.sum("links").alias("links"))
     named = stage(
-        classes.drop("vector").join(counted, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
+        classes.join(counted, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
         .select("key", "n", "first_id", "links", F.coalesce("root", "key").alias("root")),
         "vector-facts",
     )
@@ -258,6 +284,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         spread_join(named, smallest, "root").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"),
         "vector-results",
     )
-    linking = spread_join(stage(members.filter(able), "vector-members"), facts, "key").select("vec_id", "n_links", "component_id")
+    linking = spread_join(members.filter(able), facts, "key").select("vec_id", "n_links", "component_id")
     alone = members.filter(~able).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linking.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
